@@ -9,14 +9,18 @@ its adaptive skew handling can split a hot key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.variants import bin_of
+from statloom.functions.variants import bin_of, clip_low
+from statloom.schemas import CHR_DOMAIN
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_SPANS = 4
 
 
 def _width(field: T.StructField) -> Column:
@@ -28,15 +32,67 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row, texts measured."""
+    return sum((_width(f) for f in df.schema.fields), F.lit(16)).cast("bigint")
+
+
 def data_bytes(df: DataFrame) -> int:
     """Measured size of a side list; one aggregation over it, nothing else reaches the driver."""
-    width = sum((_width(f) for f in df.schema.fields), F.lit(16))
-    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
+
+
+def hint_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when `size`, an upper bound, is under the limit; else the join is left to Spark."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint when the measured size is under the limit; otherwise leave the join to Spark."""
-    return F.broadcast(df) if data_bytes(df) <= limit else df
+    """`hint_small` with the measured size of the frame itself."""
+    return hint_small(df, data_bytes(df), limit)
+
+
+@dataclass(frozen=True)
+class RangeProfile:
+    """What one small job tells about a list of ranges: at most 24 spans, and its sizes."""
+
+    spans: tuple[tuple[int, int, int], ...]
+    list_bytes: int
+    binned_bytes: int
+
+    def nearby(self) -> Column:
+        """Literal predicate that prunes row groups by CHR and POS; it never drops a row inside a span.
+
+        Few chromosomes are tested span by span. Many share one outer range, which
+        keeps the generated code short; the join that follows is exact in either case.
+        """
+        if len(self.spans) > MAX_SPANS:
+            low, high = min(s[1] for s in self.spans), max(s[2] for s in self.spans)
+            return F.col("CHR").isin([s[0] for s in self.spans]) & F.col("POS").between(low, high)
+        tests = [(F.col("CHR") == c) & F.col("POS").between(lo, hi) for c, lo, hi in self.spans]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> RangeProfile:
+    """Span per chromosome, size of the list, and size once cut into bins; one row per chromosome is read."""
+    size = row_bytes(ranges)
+    bins = bin_of(F.col(end), width) - bin_of(F.col(start), width) + 1
+    rows = (
+        ranges.where(F.col("CHR").between(*CHR_DOMAIN) & (F.col(start) <= F.col(end)))
+        .groupBy("CHR")
+        .agg(
+            clip_low(F.min(start)).alias("lo"),
+            F.max(end).alias("hi"),
+            F.sum(size).alias("list_bytes"),
+            F.sum((size + 8) * bins).alias("binned_bytes"),
+        )
+        .collect()
+    )
+    return RangeProfile(
+        tuple(sorted((r["CHR"], r["lo"], r["hi"]) for r in rows)),
+        sum(r["list_bytes"] for r in rows),
+        sum(r["binned_bytes"] for r in rows),
+    )
 
 
 def explode_bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:

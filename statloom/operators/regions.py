@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.variants import clip_low
 from statloom.operators.joins import (
-    broadcast_if_small,
     disjoint_pieces,
     explode_bins,
+    hint_small,
     keep_inside,
     pair_inside,
+    profile_ranges,
 )
 from statloom.operators.slices import over_threshold, with_mlog10p
 from statloom.schemas import CHR_DOMAIN, trait_keys
+from statloom.session import cut_lineage
 
 REGION_BIN = 100_000
 
@@ -29,19 +29,6 @@ def chromosome_envelope(regions: DataFrame) -> DataFrame:
     )
 
 
-def inside_envelope(df: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows within the envelope of their chromosome.
-
-    The envelope (at most 24 rows) is read once and becomes a literal
-    predicate, which prunes row groups in a table sorted by CHR and POS.
-    """
-    bounds = chromosome_envelope(regions).collect()
-    spans = [
-        (F.col("CHR") == b["CHR"]) & F.col("POS").between(b["min_start"], b["max_end"]) for b in bounds
-    ]
-    return df.where(reduce(lambda a, b: a | b, spans, F.lit(False)))
-
-
 def is_snp_list(regions: DataFrame) -> bool:
     """SNP mode: every region is one base long (END = START + 1)."""
     return regions.where(~F.coalesce(F.col("END") == F.col("START") + 1, F.lit(False))).isEmpty()
@@ -49,15 +36,17 @@ def is_snp_list(regions: DataFrame) -> bool:
 
 def snp_semi_join(sumstats: DataFrame, regions: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Variants at the listed positions (CHR, START), all alleles; optional threshold."""
+    seen = profile_ranges(regions, "START", "END", REGION_BIN)
     points = regions.select("CHR", F.col("START").alias("POS")).distinct()
-    rows = inside_envelope(over_threshold(with_mlog10p(sumstats), threshold), regions)
-    return rows.join(broadcast_if_small(points), ["CHR", "POS"], "left_semi").select(*rows.columns)
+    rows = over_threshold(with_mlog10p(sumstats.where(seen.nearby())), threshold)
+    return rows.join(hint_small(points, seen.list_bytes), ["CHR", "POS"], "left_semi").select(*rows.columns)
 
 
 def region_semi_join(sumstats: DataFrame, regions: DataFrame, width: int = REGION_BIN) -> DataFrame:
     """Variants inside at least one region, each once."""
-    pieces = disjoint_pieces(regions, ["CHR"], "START", "END", width)
-    return keep_inside(inside_envelope(sumstats, regions), broadcast_if_small(pieces), ["CHR"], width)
+    seen = profile_ranges(regions, "START", "END", width)
+    pieces = hint_small(disjoint_pieces(regions, ["CHR"], "START", "END", width), seen.binned_bytes)
+    return keep_inside(sumstats.where(seen.nearby()), pieces, ["CHR"], width)
 
 
 def significant_regions(
@@ -69,29 +58,45 @@ def significant_regions(
     taken map-side in the stage of the join, so variant-region pairs are never shuffled.
     """
     traits = trait_keys(sumstats.columns)
-    listed = regions.select("CHR", "START", "END").distinct()
-    hits = over_threshold(with_mlog10p(inside_envelope(sumstats, regions)), threshold)
+    listed = regions.select("CHR", "START", "END")
+    seen = profile_ranges(listed, "START", "END", width)
+    hits = over_threshold(with_mlog10p(sumstats.where(seen.nearby())), threshold)
     places = hits.select(*traits, "CHR", "POS").distinct()
-    binned = broadcast_if_small(explode_bins(listed, "START", "END", width))
+    binned = hint_small(explode_bins(listed.distinct(), "START", "END", width), seen.binned_bytes)
     pairs = pair_inside(places, binned, ["CHR"], "START", "END", width)
     return pairs.select(*traits, "CHR", "START", "END").distinct()
 
 
 def region_pvalue_filter(
-    sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN
+    sumstats: DataFrame,
+    regions: DataFrame,
+    threshold: float,
+    width: int = REGION_BIN,
+    significant: DataFrame | None = None,
 ) -> DataFrame:
-    """All variants of every region that has one over the threshold, trait by trait."""
+    """All variants of every region that has one over the threshold, trait by trait.
+
+    The qualifying (trait, region) list is written once; a second, pruned pass over the
+    table then needs no shuffle as long as that list can be broadcast.
+    """
     if threshold <= 0:
         return region_semi_join(sumstats, regions, width)
     traits = trait_keys(sumstats.columns)
     scored = with_mlog10p(sumstats)
-    kept = significant_regions(scored, regions, threshold, width)
-    pieces = disjoint_pieces(kept, [*traits, "CHR"], "START", "END", width)
-    return keep_inside(inside_envelope(scored, regions), pieces, [*traits, "CHR"], width)
+    kept = significant
+    if kept is None:
+        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width))
+    seen = profile_ranges(kept, "START", "END", width)
+    pieces = hint_small(disjoint_pieces(kept, [*traits, "CHR"], "START", "END", width), seen.binned_bytes)
+    return keep_inside(scored.where(seen.nearby()), pieces, [*traits, "CHR"], width)
 
 
 def region_flags(
-    sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN
+    sumstats: DataFrame,
+    regions: DataFrame,
+    threshold: float,
+    width: int = REGION_BIN,
+    significant: DataFrame | None = None,
 ) -> DataFrame:
     """One row per trait and listed region: does any variant exceed the threshold?
 
@@ -99,17 +104,22 @@ def region_flags(
     chromosome's envelope.
     """
     traits = trait_keys(sumstats.columns)
-    scored = with_mlog10p(sumstats)
-    present = inside_envelope(scored, regions).select(*traits, "CHR").distinct()
-    true_for = significant_regions(scored, regions, threshold, width).withColumn("hit", F.lit(True))
-    asked = present.join(broadcast_if_small(regions.select("CHR", "START", "END")), "CHR")
-    flagged = asked.join(true_for, [*traits, "CHR", "START", "END"], "left")
+    listed = regions.select("CHR", "START", "END")
+    seen = profile_ranges(listed, "START", "END", width)
+    kept = significant if significant is not None else significant_regions(sumstats, regions, threshold, width)
+    spans = F.broadcast(chromosome_envelope(listed))
+    covered = sumstats.where(seen.nearby()).join(spans, "CHR")
+    present = covered.where(F.col("POS").between(F.col("min_start"), F.col("max_end"))).select(*traits, "CHR").distinct()
+    asked = present.join(hint_small(listed, seen.list_bytes), "CHR")
+    flagged = asked.join(kept.withColumn("hit", F.lit(True)), [*traits, "CHR", "START", "END"], "left")
     return flagged.select(
         *traits, "CHR", "START", "END", F.coalesce("hit", F.lit(False)).alias("PVALUE_FILT_FLAG")
     )
 
 
-def extract_regions(sumstats: DataFrame, regions: DataFrame, threshold: float = 0.0) -> tuple[DataFrame, DataFrame | None]:
+def extract_regions(
+    sumstats: DataFrame, regions: DataFrame, threshold: float = 0.0
+) -> tuple[DataFrame, DataFrame | None]:
     """(variants, flags): SNP mode or region mode by the shape of the list.
 
     Flags exist in region mode with a threshold only. In SNP mode START is the position.
@@ -118,4 +128,6 @@ def extract_regions(sumstats: DataFrame, regions: DataFrame, threshold: float =
         return snp_semi_join(sumstats, regions, threshold), None
     if threshold <= 0:
         return region_semi_join(sumstats, regions), None
-    return region_pvalue_filter(sumstats, regions, threshold), region_flags(sumstats, regions, threshold)
+    kept = cut_lineage(significant_regions(sumstats, regions, threshold))
+    found = region_pvalue_filter(sumstats, regions, threshold, significant=kept)
+    return found, region_flags(sumstats, regions, threshold, significant=kept)

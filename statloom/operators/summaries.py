@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.variants import bin_of, harmonised_snpid
-from statloom.operators.joins import broadcast_if_small
+from statloom.operators.joins import broadcast_if_small, data_bytes, hint_small
 from statloom.schemas import CHR_DOMAIN, trait_keys
 
 # --- fixed values: genome-wide and suggestive lines, smallest plot ---
@@ -27,15 +27,17 @@ def pheno_variance(sumstats: DataFrame, samples: DataFrame) -> DataFrame:
     """
     traits = trait_keys(sumstats.columns)
     se, eaf = F.col("SE").cast("double"), F.col("EAF").cast("double")
+    sizes = samples.select(*traits, "N")
+    size = data_bytes(sizes)
     values = (
-        sumstats.join(broadcast_if_small(samples.select(*traits, "N")), traits)
+        sumstats.join(hint_small(sizes, size), traits)
         .select(*traits, (se * se * F.col("N") * 2 * eaf * (1 - eaf)).alias("v"))
         .where(F.col("v").isNotNull())
     )
     ends = F.percentile_approx("v", list(_BRACKET), _ACCURACY)
     bracket = values.groupBy(*traits).agg(ends.alias("ends"), F.count(F.lit(1)).alias("n"))
     bracket = bracket.select(*traits, "n", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
-    placed = values.join(broadcast_if_small(bracket), traits)
+    placed = values.join(hint_small(bracket, 2 * size), traits)
     kept = placed.where(F.col("v") <= F.col("high"))
     place = F.when(F.col("v") < F.col("low"), F.lit(None).cast("double")).otherwise(F.col("v"))
     counted = kept.groupBy(*traits, "n", place.alias("v")).agg(F.count(F.lit(1)).alias("k"))
