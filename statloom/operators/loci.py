@@ -74,7 +74,8 @@ def gap_cluster_id(df: DataFrame, hole: int = HOLE) -> DataFrame:
     """Every row with the number of breaks before it in its chromosome."""
     keys = [*trait_keys(df.columns), "CHR", "gap_bin"]
     numbered = _clustered_bins(df, hole).select(*keys, "cluster")
-    return df.withColumn("gap_bin", bin_of(F.col("POS"), hole + 1)).join(numbered, keys).drop("gap_bin")
+    placed = df.withColumn("gap_bin", bin_of(F.col("POS"), hole + 1)).join(numbered, keys)
+    return placed.select(*df.columns, "cluster")
 
 
 def best_in_cluster(df: DataFrame, hole: int = HOLE) -> DataFrame:

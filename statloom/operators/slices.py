@@ -59,13 +59,13 @@ def in_traits(df: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = catalog.select(*groups, F.col("data_id").alias("TRAITID")).distinct()
     listed = wanted.limit(MAX_LISTED_TRAITS + 1).collect()
     if len(listed) > MAX_LISTED_TRAITS:
-        return df.join(broadcast_if_small(wanted), [*groups, "TRAITID"], "left_semi")
+        return df.join(broadcast_if_small(wanted), [*groups, "TRAITID"], "left_semi").select(*df.columns)
     kept = df
     for column in [*groups, "TRAITID"]:
         kept = kept.where(F.col(column).isin(sorted({row[column] for row in listed})))
     if not groups or not listed:
         return kept
-    return kept.join(F.broadcast(wanted), [*groups, "TRAITID"], "left_semi")
+    return kept.join(F.broadcast(wanted), [*groups, "TRAITID"], "left_semi").select(*df.columns)
 
 
 def in_group(df: DataFrame, project: str, study: str) -> DataFrame:
@@ -76,7 +76,8 @@ def in_group(df: DataFrame, project: str, study: str) -> DataFrame:
 def at_positions(df: DataFrame, positions: DataFrame) -> DataFrame:
     """Rows at any of the listed (CHR, POS) points."""
     points = positions.select("CHR", "POS")
-    return df.join(hint_small(points.distinct(), data_bytes(points)), ["CHR", "POS"], "left_semi")
+    listed = hint_small(points.distinct(), data_bytes(points))
+    return df.join(listed, ["CHR", "POS"], "left_semi").select(*df.columns)
 
 
 def in_range(df: DataFrame, chrom: int, start: int, end: int) -> DataFrame:

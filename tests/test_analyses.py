@@ -1,0 +1,368 @@
+"""Every analysis against a plain-Python brute force on random small tables, and hand-made edges."""
+
+import math
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from statloom.operators import leads, loci, meta, regions, slices, summaries
+from statloom.operators.joins import disjoint_pieces
+
+SCHEMA = "CHR int, TRAITID string, POS int, EA string, NEA string, BETA double, SE double, EAF double, MLOG10P double"
+FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
+
+
+def random_rows(seed, n=600, span=3_000, ties=False):
+    rng = random.Random(seed)
+    seen, rows = set(), []
+    for _ in range(n):
+        ea = rng.choice(["A", "C", "AT", "G"])
+        key = (rng.choice([1, 2, 23]), rng.choice(["t1", "t1", "t1", "t2", "t3"]), rng.randint(1, span), ea, "T")
+        if key in seen:
+            continue
+        seen.add(key)
+        p = float(rng.randint(0, 9)) if ties else rng.random() * 9
+        rows.append((*key, rng.uniform(-1, 1), rng.uniform(0.01, 0.5), rng.random(), p))
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def as_dicts(rows):
+    return [dict(zip(FIELDS, r)) for r in rows]
+
+
+def key_of(r):
+    return (r["CHR"], r["TRAITID"], r["POS"], r["EA"], r["NEA"])
+
+
+def random_regions(seed, n=25, span=3_000):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        start = rng.randint(0, span)
+        out.append((rng.choice([1, 2, 7]), start, start + rng.randint(1, 400)))
+    return [*out, out[0], (1, 900, 800)]
+
+
+REGION_SCHEMA = "CHR int, START int, END int"
+
+
+@pytest.mark.parametrize("width", [64, 1_000, 100_000])
+def test_region_semi_join(spark, width):
+    rows, listed = random_rows(1), random_regions(2)
+    got = regions.region_semi_join(frame(spark, rows), spark.createDataFrame(listed, REGION_SCHEMA), width)
+    want = [r for r in rows if any(c == r[0] and s <= r[2] <= e for c, s, e in listed)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_pieces_are_disjoint_and_cover(spark):
+    listed = random_regions(3, n=60)
+    pieces = disjoint_pieces(spark.createDataFrame(listed, REGION_SCHEMA), ["CHR"], "START", "END", 100).collect()
+    covered = [(p["CHR"], x) for p in pieces for x in range(p["lo"], p["hi"] + 1)]
+    assert len(covered) == len(set(covered))
+    assert set(covered) == {(c, x) for c, s, e in listed for x in range(s, e + 1)}
+    assert all(p["lo"] // 100 == p["hi"] // 100 == p["bin"] for p in pieces)
+
+
+@pytest.mark.parametrize("width", [64, 100_000])
+def test_region_pvalue_filter_and_flags(spark, width):
+    rows, listed = random_rows(4, ties=True), random_regions(5)
+    table, asked = frame(spark, rows), spark.createDataFrame(listed, REGION_SCHEMA)
+    dicts = as_dicts(rows)
+    hits = {
+        (t, *g) for g in listed for t in ("t1", "t2", "t3")
+        if any(d["TRAITID"] == t and d["CHR"] == g[0] and g[1] <= d["POS"] <= g[2] and d["MLOG10P"] > 8 for d in dicts)
+    }
+    got = regions.region_pvalue_filter(table, asked, 8.0, width).collect()
+    want = [d for d in dicts if any(t == d["TRAITID"] and c == d["CHR"] and s <= d["POS"] <= e for t, c, s, e in hits)]
+    assert sorted(key_of(r) for r in got) == sorted(key_of(d) for d in want)
+
+    flags = regions.region_flags(table, asked, 8.0, width).collect()
+    want_flags = []
+    for t in ("t1", "t2", "t3"):
+        for c in {g[0] for g in listed}:
+            lo = max(1, min(g[1] for g in listed if g[0] == c and g[1] <= g[2]))
+            hi = max(g[2] for g in listed if g[0] == c)
+            if any(d["TRAITID"] == t and d["CHR"] == c and lo <= d["POS"] <= hi for d in dicts):
+                want_flags += [(t, *g, (t, *g) in hits) for g in listed if g[0] == c]
+    assert sorted(tuple(f) for f in flags) == sorted(want_flags)
+
+
+def test_snp_mode_is_chosen_by_shape(spark):
+    rows = random_rows(6)
+    points = sorted({(r[0], r[2]) for r in rows})[::7] + [(5, 5)]
+    listed = spark.createDataFrame([(c, p, p + 1) for c, p in points] * 2, REGION_SCHEMA)
+    got, flags = regions.extract_regions(frame(spark, rows), listed, 3.0)
+    assert flags is None
+    assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in rows if (r[0], r[2]) in points and r[8] > 3)
+    mixed = listed.union(spark.createDataFrame([(1, 1, 500)], REGION_SCHEMA))
+    assert not regions.is_snp_list(mixed)
+
+
+def test_no_region_matches(spark):
+    got, flags = regions.extract_regions(frame(spark, random_rows(7)), spark.createDataFrame([(9, 1, 500)], REGION_SCHEMA), 2.0)
+    assert got.columns == FIELDS and got.isEmpty()
+    assert flags.columns == ["TRAITID", "CHR", "START", "END", "PVALUE_FILT_FLAG"] and flags.isEmpty()
+
+
+def brute_loci(rows, limit, sig, hole, flanks):
+    out = []
+    groups = {}
+    for d in as_dicts(rows):
+        if d["MLOG10P"] > limit:
+            groups.setdefault((d["TRAITID"], d["CHR"]), []).append(d)
+    for (trait, chrom), members in groups.items():
+        members.sort(key=lambda d: (d["POS"], d["EA"], d["NEA"]))
+        clusters = [[members[0]]]
+        for d in members[1:]:
+            if d["POS"] - clusters[-1][-1]["POS"] > hole:
+                clusters.append([])
+            clusters[-1].append(d)
+        for cluster in clusters:
+            best = min(cluster, key=lambda d: (-d["MLOG10P"], d["POS"], d["EA"], d["NEA"]))
+            if best["MLOG10P"] > sig:
+                lo = cluster[0]["POS"] - flanks
+                start, end = (1 if lo < 0 else lo), cluster[-1]["POS"] + flanks
+                inside = sorted(key_of(m) for m in members if start <= m["POS"] <= end)
+                out.append((trait, chrom, start, end, best["POS"], best["EA"], best["MLOG10P"], inside))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hole, flanks, ties", [(20, 10, False), (0, 0, True), (57, 100, True), (5_000, 50, False)])
+def test_locus_breaker(spark, hole, flanks, ties):
+    rows = random_rows(8, ties=ties)
+    segments, intervals = loci.locus_breaker(frame(spark, rows), maf=0.0, limit=3.3, significant=5.0, hole=hole, flanks=flanks)
+    inside = {}
+    for r in intervals.collect():
+        inside.setdefault((r["TRAITID"], r["locus"]), []).append(key_of(r))
+    got = sorted(
+        (s["TRAITID"], s["CHR"], s["locus_start"], s["locus_end"], s["POS"], s["EA"], s["MLOG10P"], sorted(inside[s["TRAITID"], s["locus"]]))
+        for s in segments.collect()
+    )
+    assert got == brute_loci(rows, 3.3, 5.0, hole, flanks)
+
+
+def test_locus_edges(spark):
+    def row(pos, p, eaf=0.5):
+        return (1, "t", pos, "A", "C", 0.1, 0.1, eaf, p)
+
+    rows = [row(100, 6.0), row(350, 4.0), row(601, 9.0), row(2_000, 3.3), row(3_000, 5.0), row(700, 9.5, eaf=0.005)]
+    segments, _ = loci.locus_breaker(frame(spark, rows), hole=250, flanks=100)
+    got = sorted((s["locus"], s["POS"]) for s in segments.collect())
+    assert got == [("1:0:450", 100), ("1:501:701", 601)]
+    clipped, _ = loci.locus_breaker(frame(spark, rows), hole=250, flanks=101)
+    assert sorted(s["locus"] for s in clipped.collect()) == ["1:1:451", "1:500:702"]
+
+
+def test_locus_breaker_without_candidates(spark):
+    segments, intervals = loci.locus_breaker(frame(spark, [(1, "t", 5, "A", "C", 0.1, 0.1, 0.5, 1.0)]))
+    assert segments.isEmpty() and intervals.isEmpty()
+    assert {"locus", "TRAITID", "SNPID"} <= set(intervals.columns)
+
+
+@pytest.mark.parametrize("hole", [0, 40, 1_000])
+def test_clusters_partition_the_rows(spark, hole):
+    rows = random_rows(9)
+    got = loci.gap_cluster_id(frame(spark, rows), hole).collect()
+    assert sorted(key_of(r) for r in got) == sorted(r[:5] for r in rows)
+    spans = {}
+    for r in got:
+        spans.setdefault((r["TRAITID"], r["CHR"], r["cluster"]), []).append(r["POS"])
+    ordered = {}
+    for (t, c, k), places in spans.items():
+        ordered.setdefault((t, c), []).append((k, min(places), max(places)))
+    for chain in ordered.values():
+        chain.sort()
+        assert [k for k, _, _ in chain] == list(range(len(chain)))
+        assert all(b[1] - a[2] > hole for a, b in zip(chain, chain[1:]))
+
+
+def test_position_gap_across_blocks(spark):
+    places = [5, 5, 900_000, 1_000_001, 3_500_000, 3_750_000]
+    rows = [(1, "t", p, "ACGTNN"[i], "T", 0.1, 0.1, 0.5, 5.0) for i, p in enumerate(places)]
+    got = sorted((r["POS"], r["n_variants"], r["gap"], r["is_break"]) for r in loci.position_gap(frame(spark, rows), 250_000).collect())
+    assert got == [(5, 2, None, False), (900_000, 1, 899_995, True), (1_000_001, 1, 100_001, False), (3_500_000, 1, 2_499_999, True), (3_750_000, 1, 250_000, False)]
+
+
+def brute_lead(dicts, trait, chrom, lo, hi):
+    window = [d for d in dicts if d["TRAITID"] == trait and d["CHR"] == chrom and lo <= d["POS"] <= hi]
+    if not window:
+        return None
+    return min(window, key=lambda d: (-d["MLOG10P"], len(d["EA"]) > 1 or len(d["NEA"]) > 1, d["POS"], d["EA"], d["NEA"]))
+
+
+@pytest.mark.parametrize("width", [7, 50, 10_000])
+def test_best_in_windows(spark, width):
+    rows = random_rows(10, ties=True)
+    rng = random.Random(11)
+    windows = sorted({(rng.choice(["t1", "t2", "t9"]), rng.choice([1, 2, 7]), s, s + rng.randint(0, 900)) for s in range(1, 3_000, 40)})
+    asked = spark.createDataFrame(windows, "TRAITID string, CHR int, START int, END int")
+    got = {(r["TRAITID"], r["CHR"], r["START"], r["END"]): (r["lead"]["POS"], r["lead"]["EA"], -r["lead"]["rank"])
+           for r in leads.best_in_windows(frame(spark, rows), asked, width).collect()}
+    want = {}
+    for w in windows:
+        best = brute_lead(as_dicts(rows), *w)
+        if best:
+            want[w] = (best["POS"], best["EA"], best["MLOG10P"])
+    assert got == want
+
+
+def test_lead_search_rows(spark):
+    rows = [
+        (1, "t", 1_000, "A", "C", 0.1, 0.1, 0.5, 6.0),
+        (1, "t", 1_000, "AT", "C", 0.2, 0.1, 0.5, 9.0),
+        (1, "t", 1_500, "G", "T", 0.3, 0.1, 0.5, 9.0),
+        (1, "t", 600_000, "G", "T", 0.4, 0.1, 0.5, 20.0),
+        (2, "t", 50, "A", "C", 0.5, 0.1, 0.5, 1.0),
+    ]
+    listed = spark.createDataFrame(
+        [("t", "s", 1, 1_000, "A", "C", "cis"), ("t", "s", 1, 1_000, "A", "C", "cis"), ("t", "s", 1, 1_000, "T", "C", "TRANS "),
+         ("t", "s", 3, 10, "A", "C", None), ("t", "s", 2, 2_000_000, "A", "C", "cis")],
+        "TRAITID string, SOURCE_ID string, CHR int, POS int, EA string, NEA string, CIS_TRANS string",
+    )
+    got = sorted(
+        ((r["SOURCEID_SNP"], r["SNPID_LEAD"], r["MLOG10P_LEAD"], r["SNPID_EXACT"], r["BETA_EXACT"]) for r in leads.lead_snp_search(frame(spark, rows), listed).collect()),
+        key=str,
+    )
+    assert got == sorted(
+        [("s:1:1000:A:C", "1:1500:G:T", 9.0, "1:1000:A:C", 0.1)] * 2
+        + [("s:1:1000:T:C", "1:600000:G:T", 20.0, None, None), ("s:3:10:A:C", None, None, None, None), ("s:2:2000000:A:C", None, None, None, None)],
+        key=str,
+    )
+
+
+def test_flanks_and_clipping(spark):
+    listed = spark.createDataFrame([(100, " CIS"), (100, "trans"), (100, "x"), (100, None)], "POS int, CIS_TRANS string")
+    got = [(r["START"], r["END"]) for r in leads.with_window(listed, 50, 70).collect()]
+    assert got == [(50, 150), (30, 170), (1, 1_000_100), (1, 1_000_100)]
+    assert leads.with_window(listed.drop("CIS_TRANS")).first()["END"] == 1_000_100
+
+
+def test_meta_against_definition(spark):
+    rows = random_rows(12, n=500, span=40)
+    got = {r["SNP"]: r for r in meta.meta_z_p(meta.ivw_meta(frame(spark, rows), unique=True)).collect()}
+    by_variant = {}
+    for d in as_dicts(rows):
+        by_variant.setdefault(f"{d['CHR']}:{d['POS']}:{d['EA']}:{d['NEA']}", []).append(d)
+    assert set(got) == set(by_variant)
+    for snp, members in by_variant.items():
+        w = [1 / m["SE"] ** 2 for m in members]
+        b = sum(x * m["BETA"] for x, m in zip(w, members)) / sum(w)
+        se = math.sqrt(1 / sum(w))
+        q = sum(x * (m["BETA"] - b) ** 2 for x, m in zip(w, members))
+        i2 = max(0.0, (q - (len(members) - 1)) / q * 100) if len(members) > 1 and q > 0 else 0.0
+        r = got[snp]
+        assert (r["BETA"], r["SE"], r["n_traits"]) == (pytest.approx(b), pytest.approx(se), len(members))
+        assert r["I_SQUARED"] == pytest.approx(i2, abs=1e-6)
+        assert r["P"] == pytest.approx(math.erfc(abs(b / se) / math.sqrt(2)), rel=1e-7)
+
+
+def test_meta_of_one_trait_returns_it(spark):
+    rows = [r for r in random_rows(13) if r[1] == "t2"]
+    got = {r["SNP"]: (r["BETA"], r["SE"], r["I_SQUARED"]) for r in meta.ivw_meta(frame(spark, rows)).collect()}
+    for r in rows:
+        assert got[f"{r[0]}:{r[2]}:{r[3]}:{r[4]}"] == (pytest.approx(r[5]), pytest.approx(r[6]), 0.0)
+
+
+def test_meta_ignores_copies_and_unusable_rows(spark):
+    rows = [
+        (1, "a", 5, "A", "C", 0.2, 0.1, 0.5, 1.0), (1, "a", 5, "A", "C", 0.2, 0.1, 0.5, 1.0), (1, "a", 5, "A", "C", 0.9, 0.3, 0.5, 1.0),
+        (1, "b", 5, "A", "C", 0.4, 0.1, 0.5, 1.0), (1, "c", 5, "A", "C", 0.4, 0.0, 0.5, 1.0), (1, "d", 5, "A", "C", 0.4, None, 0.5, 1.0),
+        (1, "d", 6, "A", "C", None, 0.1, 0.5, 1.0),
+    ]
+    got = meta.ivw_meta(frame(spark, rows)).collect()
+    assert [(r["SNP"], round(r["BETA"], 9), r["n_traits"]) for r in got] == [("1:5:A:C", 0.3, 2)]
+    report = {r["TRAITID"]: (r["n_rows"], r["n_unpoolable"], r["n_copies"]) for r in meta.pooling_report(frame(spark, rows)).collect()}
+    assert report == {"a": (3, 0, 2), "b": (1, 0, 0), "c": (1, 1, 0), "d": (2, 2, 0)}
+
+
+def test_meta_labels_every_trait_of_the_group(spark):
+    rows = frame(spark, random_rows(14)).withColumn("project", F.lit("p")).withColumn("study", F.when(F.col("TRAITID") == "t3", "s2").otherwise("s1"))
+    listed = spark.createDataFrame([("p", "s1", "t2"), ("p", "s1", "t1"), ("p", "s2", "t3")], "project string, study string, data_id string")
+    got = meta.meta_analysis(rows, listed, unique=True)
+    assert got.columns == ["project", "study", "SNP", "TRAITID", "BETA", "SE", "P", "I_SQUARED", "Z_SCORE"]
+    assert {(r["study"], r["TRAITID"]) for r in got.select("study", "TRAITID").distinct().collect()} == {("s1", "t1_t2"), ("s2", "t3")}
+
+
+def test_wide_effects(spark):
+    rows = random_rows(15, span=60)
+    got = {r["SNP"]: r for r in meta.wide_effects(frame(spark, rows), ["t2", "t1"]).collect()}
+    want = {f"{r[0]}:{r[2]}:{r[3]}:{r[4]}" for r in rows if r[1] in ("t1", "t2")}
+    assert set(got) == want
+    for r in rows:
+        snp = f"{r[0]}:{r[2]}:{r[3]}:{r[4]}"
+        if r[1] == "t2":
+            assert (got[snp]["BETA"], got[snp]["SE"]) == (r[5], r[6])
+        if r[1] == "t1":
+            assert (got[snp]["BETA_1"], got[snp]["SE_1"]) == (r[5], r[6])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 500, 501])
+def test_pheno_variance_is_the_exact_median(spark, n):
+    rows = random_rows(16, n=4 * n, span=10_000)[:n]
+    samples = spark.createDataFrame([("t1", 100), ("t2", 200), ("t3", 300)], "TRAITID string, N long")
+    got = {r["TRAITID"]: r["pheno_variance"] for r in summaries.pheno_variance(frame(spark, rows), samples).collect()}
+    size = {"t1": 100, "t2": 200, "t3": 300}
+    values = {}
+    for d in as_dicts(rows):
+        values.setdefault(d["TRAITID"], []).append(d["SE"] ** 2 * size[d["TRAITID"]] * 2 * d["EAF"] * (1 - d["EAF"]))
+    assert got == {t: pytest.approx(statistics.median(v), rel=1e-12) for t, v in values.items()}
+
+
+def test_pheno_variance_with_many_equal_values(spark):
+    rows = [(1, "t1", i + 1, "A", "C", 0.1, 0.1 if i % 3 else 0.2, 0.5, 1.0) for i in range(1_000)]
+    samples = spark.createDataFrame([("t1", 100)], "TRAITID string, N long")
+    assert summaries.pheno_variance(frame(spark, rows), samples).first()["pheno_variance"] == pytest.approx(0.5)
+
+
+def test_manhattan(spark):
+    rows = random_rows(17)
+    got = summaries.manhattan_table(frame(spark, rows), 7.0, 4.0).collect()
+    assert len(got) == len(rows)
+    end = {c: max(r[2] for r in rows if r[0] == c) for c in (1, 2, 23)}
+    offset = {1: 0, 2: end[1], 23: end[1] + end[2]}
+    assert all(r["genome_pos"] == offset[r["CHR"]] + r["POS"] and r["above_threshold"] == (r["MLOG10P"] > 7) for r in got)
+    with pytest.raises(ValueError, match="40"):
+        summaries.manhattan_table(frame(spark, rows[:39]))
+    with pytest.raises(ValueError, match="must contain"):
+        summaries.manhattan_table(frame(spark, rows).drop("MLOG10P"))
+
+
+def test_result_shape(spark):
+    rows = frame(spark, [(1, "t", 1000, "A", "C", 0.1, 0.05, 0.5, 1.0)])
+    got = slices.as_result(rows.drop("MLOG10P"), keep_trait=False)
+    assert got.columns[0] == "SNPID" and "TRAITID" not in got.columns
+    assert (got.first()["SNPID"], got.first()["MLOG10P"]) == ("1:1000:A:C", pytest.approx(1.3419861, abs=1e-6))
+    with pytest.raises(KeyError, match="EA, NEA"):
+        slices.with_snpid(rows.drop("EA", "NEA"))
+    with pytest.raises(ValueError, match="Attribute NOPE not found"):
+        slices.select_attributes(rows, "BETA,NOPE")
+    assert slices.full_stats(rows, attributes="BETA").columns == ["SNPID", "CHR", "TRAITID", "POS", "BETA"]
+
+
+def test_thresholds_are_strict_and_can_be_off(spark):
+    rows = frame(spark, random_rows(18, ties=True))
+    assert slices.over_threshold(rows, 0).count() == rows.count()
+    assert slices.over_threshold(rows, 5).count() == rows.where("MLOG10P > 5").count()
+    edge = frame(spark, [(1, "t", i, "A", "C", 0.1, 0.1, e, 1.0) for i, e in enumerate((0.01, 0.99, 0.0099, 0.991))])
+    assert slices.maf_between(edge, 0.01).count() == 2
+
+
+def test_domains(spark):
+    rows = [(c, "t", p, "A", "C", 0.1, 0.1, 0.5, 1.0) for c, p in ((1, 1), (24, 250_000_000), (0, 5), (25, 5), (1, 0), (1, 250_000_001))]
+    rows.append((1, "t", 7, "A", None, 0.1, 0.1, 0.5, 1.0))
+    good, bad = slices.split_valid(frame(spark, rows))
+    assert (good.count(), bad.count()) == (2, 5)
+
+
+def test_long_trait_selection_uses_a_join(spark, monkeypatch):
+    monkeypatch.setattr(slices, "MAX_LISTED_TRAITS", 1)
+    rows = random_rows(19)
+    chosen = spark.createDataFrame([("t1",), ("t3",)], "data_id string")
+    got = slices.in_traits(frame(spark, rows), chosen)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in rows if r[1] in ("t1", "t3"))
