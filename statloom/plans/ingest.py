@@ -5,15 +5,16 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.text import slug
 from statloom.operators.catalog import catalog_upsert, to_catalog_row, validate_catalog
 from statloom.operators.joins import broadcast_if_small
-from statloom.operators.slices import split_valid
+from statloom.operators.slices import validate_sumstats
 from statloom.schemas import CATALOG_SCHEMA, GROUP_COLUMNS
-from statloom.sources.files import content_ids
+from statloom.session import cut_lineage
+from statloom.sources.files import absolute_column, content_ids, location, location_column
 from statloom.sources.manifest import require_columns
 from statloom.sources.sinks import append_sumstats, save_catalog
 from statloom.sources.sumstats import read_sumstats_files, read_table
@@ -22,14 +23,16 @@ log = logging.getLogger(__name__)
 
 
 def known_files(manifest: DataFrame) -> DataFrame:
-    """Manifest rows with `data_id`; files that do not exist are logged and left out."""
-    named = require_columns(manifest)
-    ids = content_ids(named.repartition("file_path"))
-    rows = named.join(broadcast_if_small(ids), "file_path")
+    """Manifest rows with `data_id`; files that do not exist are logged and left out.
+
+    Every file is hashed once: the ids are written to the shared folder before they are used.
+    """
+    named = require_columns(manifest).withColumn("file_path", absolute_column(F.col("file_path")))
+    ids = cut_lineage(content_ids(named))
     lost = [r["file_path"] for r in ids.where(F.col("data_id").isNull()).limit(20).collect()]
     if lost:
         log.warning("Skipping files that do not exist, for example: %s", lost)
-    return rows.where(F.col("data_id").isNotNull())
+    return named.join(broadcast_if_small(ids.where(F.col("data_id").isNotNull())), "file_path")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -56,17 +59,13 @@ def ingest_metadata(files: DataFrame, catalog_path: str) -> None:
     save_catalog(catalog_upsert(stored, fresh), catalog_path)
 
 
-def _file_name(path) -> F.Column:
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
 def ingest_sumstats(
     files: DataFrame, table_path: str, with_pvalue: bool = True, dedup: bool = False
 ) -> DataFrame | None:
     """Append the rows of `known_files` to the table; returns quarantined rows if there are any.
 
     Ingesting a file again duplicates its rows, unless `dedup` leaves out
-    traits the table already holds.
+    traits the table already holds. Invalid rows are counted while the good ones are written.
     """
     spark = files.sparkSession
     listed = files.select(
@@ -82,12 +81,18 @@ def ingest_sumstats(
     paths = sorted(r["file_path"] for r in listed.select("file_path").distinct().collect())
     if not paths:
         return None
-    rows = read_sumstats_files(spark, paths, with_pvalue).withColumn("_file", _file_name(F.col("file_path")))
-    owners = listed.withColumn("_file", _file_name(F.col("file_path"))).drop("file_path")
-    owned = rows.drop("file_path").join(broadcast_if_small(owners), "_file").drop("_file")
-    good, bad = split_valid(owned)
-    append_sumstats(good, table_path)
-    return None if bad.isEmpty() else bad
+    named = spark.createDataFrame([(p, location(p)) for p in paths], "file_path string, location string")
+    owners = listed.join(F.broadcast(named), "file_path").drop("file_path")
+    rows = read_sumstats_files(spark, paths, with_pvalue)
+    rows = rows.withColumn("location", location_column(F.col("file_path"))).drop("file_path")
+    checked = validate_sumstats(rows.join(broadcast_if_small(owners), "location").drop("location"))
+    invalid = Observation()
+    counted = checked.observe(invalid, F.count_if(~F.col("valid")).alias("n"))
+    append_sumstats(counted.where("valid").drop("valid"), table_path)
+    if not invalid.get["n"]:
+        return None
+    log.warning("%d rows lie outside the domains and were not stored", invalid.get["n"])
+    return checked.where("not valid").drop("valid")
 
 
 def ingest(

@@ -7,14 +7,37 @@ reaches the driver, as it must for any Spark read of listed files.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 8 * 1024 * 1024
+MAX_TASKS = 20_000
+
+
+def absolute_column(path: Column) -> Column:
+    """Relative paths are meant from the driver's working directory."""
+    rooted = path.rlike("^(/|[a-zA-Z][a-zA-Z0-9+.-]*:)")
+    return F.when(rooted, path).otherwise(F.concat(F.lit(os.getcwd().rstrip("/") + "/"), path))
+
+
+def location(path: str) -> str:
+    """A listed path as Spark names it in its file metadata: absolute, without a file: prefix."""
+    local = re.sub("^file:/+", "/", path)
+    if re.match("^[a-zA-Z][a-zA-Z0-9+.-]*:", local):
+        return local
+    return os.path.normpath(os.path.abspath(local))
+
+
+def location_column(path: Column) -> Column:
+    """The same name from a `_metadata.file_path` column, percent escapes undone."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "/")
 
 
 def _open(path: str):
@@ -57,8 +80,10 @@ def _probe(batches: Iterator[pd.DataFrame], probe) -> Iterator[pd.DataFrame]:
 
 
 def _per_file(paths: DataFrame, probe) -> DataFrame:
+    """One task per listed file (up to MAX_TASKS), however short the listing itself is."""
     listed = paths.select("file_path").distinct()
-    return listed.mapInPandas(lambda batches: _probe(batches, probe), "file_path string, found string")
+    spread = listed.repartition(max(1, min(listed.count(), MAX_TASKS)))
+    return spread.mapInPandas(lambda batches: _probe(batches, probe), "file_path string, found string")
 
 
 def content_ids(paths: DataFrame, length: int | None = 10) -> DataFrame:
@@ -75,8 +100,7 @@ def content_ids(paths: DataFrame, length: int | None = 10) -> DataFrame:
 
 def gzip_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Distinct header line to the files that have it; only the first block of a file is read."""
-    slices = max(1, min(len(paths), 1000))
-    listed = spark.createDataFrame([(p,) for p in paths], "file_path string").repartition(slices, "file_path")
+    listed = spark.createDataFrame([(p,) for p in paths], "file_path string")
     found = _per_file(listed, _gzip_header).where(F.col("found").isNotNull())
     grouped: dict[str, list[str]] = {}
     for row in found.collect():

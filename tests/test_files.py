@@ -280,3 +280,15 @@ def test_export_plot_table(tables):
 def test_nothing_matches(tables, tmp_path):
     results = export(*tables, {"project": "none"})
     assert results["metadata"].isEmpty() and results["result"].isEmpty()
+
+
+def test_odd_and_relative_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "in").mkdir()
+    write_gz(tmp_path / "in" / "a b+c%41.tsv.gz", some_rows(8))
+    write_gz(tmp_path / "plain.tsv.gz", some_rows(9))
+    listed = spark.createDataFrame([("p", "s", "GWAS", f"{tmp_path}/in/a b+c%41.tsv.gz"), ("p", "s", "GWAS", "./in/../plain.tsv.gz")],
+                                   "project string, study string, category string, file_path string")
+    assert ingest(listed, f"{tmp_path}/t", f"{tmp_path}/c") is None
+    counts = [r["count"] for r in read_table(spark, f"{tmp_path}/t").groupBy("TRAITID").count().collect()]
+    assert counts == [80, 80]
