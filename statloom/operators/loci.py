@@ -16,6 +16,7 @@ from statloom.functions.variants import bin_of, locus_name, snpid
 from statloom.operators.joins import explode_bins, pair_inside
 from statloom.operators.slices import maf_between, over_threshold, with_mlog10p
 from statloom.schemas import trait_keys
+from statloom.session import cut_lineage
 
 # --- fixed values: default thresholds and distances ---
 MAF = 0.01
@@ -168,7 +169,10 @@ def locus_breaker(
     flanks: int = FLANKS,
     variance: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(segments, intervals) for all traits of the table in one plan each."""
-    candidates = locus_candidates(sumstats, maf, limit)
+    """(segments, intervals) for all traits of the table in one plan each.
+
+    The candidates, a small part of the table, are written once; both results start from them.
+    """
+    candidates = cut_lineage(locus_candidates(sumstats, maf, limit), "candidates")
     segments = locus_segments(candidates, significant, hole, flanks, variance)
     return segments, locus_intervals(candidates, segments, hole, flanks)

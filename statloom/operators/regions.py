@@ -85,7 +85,7 @@ def region_pvalue_filter(
     scored = with_mlog10p(sumstats)
     kept = significant
     if kept is None:
-        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width))
+        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width), "regions")
     seen = profile_ranges(kept, "START", "END", width)
     pieces = hint_small(disjoint_pieces(kept, [*traits, "CHR"], "START", "END", width), seen.binned_bytes)
     return keep_inside(scored.where(seen.nearby()), pieces, [*traits, "CHR"], width)
@@ -128,6 +128,6 @@ def extract_regions(
         return snp_semi_join(sumstats, regions, threshold), None
     if threshold <= 0:
         return region_semi_join(sumstats, regions), None
-    kept = cut_lineage(significant_regions(sumstats, regions, threshold))
+    kept = cut_lineage(significant_regions(sumstats, regions, threshold), "regions")
     found = region_pvalue_filter(sumstats, regions, threshold, significant=kept)
     return found, region_flags(sumstats, regions, threshold, significant=kept)

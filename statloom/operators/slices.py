@@ -63,9 +63,10 @@ def in_traits(df: DataFrame, catalog: DataFrame) -> DataFrame:
     kept = df
     for column in [*groups, "TRAITID"]:
         kept = kept.where(F.col(column).isin(sorted({row[column] for row in listed})))
-    if not groups or not listed:
+    if not groups:
         return kept
-    return kept.join(F.broadcast(wanted), [*groups, "TRAITID"], "left_semi").select(*df.columns)
+    whole_key = F.concat_ws("\u0001", *groups, "TRAITID")
+    return kept.where(whole_key.isin(sorted("\u0001".join(row) for row in listed)))
 
 
 def in_group(df: DataFrame, project: str, study: str) -> DataFrame:

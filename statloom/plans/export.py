@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from statloom.operators import catalog as cat
 from statloom.operators import leads, loci, meta, regions, slices, summaries
 from statloom.schemas import ATTRIBUTES, GROUP_COLUMNS
-from statloom.session import cut_lineage
 from statloom.sources import sinks
 
 log = logging.getLogger(__name__)
@@ -80,10 +79,9 @@ def export(
             samples = cat.project_catalog(found, [*GROUP_COLUMNS, "data_id", "total_samples"])
             samples = samples.withColumnRenamed("data_id", "TRAITID").withColumnRenamed("total_samples", "N")
             variance = summaries.pheno_variance(slices.maf_between(rows, maf), samples)
-        kept = cut_lineage(loci.locus_candidates(rows, maf, pvalue_limit))
-        segments = loci.locus_segments(kept, pvalue_sig, hole_size, locus_flanks, variance)
-        results["segments"] = segments
-        results["intervals"] = loci.locus_intervals(kept, segments, hole_size, locus_flanks)
+        results["segments"], results["intervals"] = loci.locus_breaker(
+            rows, maf, pvalue_limit, pvalue_sig, hole_size, locus_flanks, variance
+        )
     elif region_list is not None:
         found, flags = regions.extract_regions(rows, region_list, pvalue_filt)
         results["result"] = described(_requested(found, attributes))

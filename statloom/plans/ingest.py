@@ -28,7 +28,7 @@ def known_files(manifest: DataFrame) -> DataFrame:
     Every file is hashed once: the ids are written to the shared folder before they are used.
     """
     named = require_columns(manifest).withColumn("file_path", absolute_column(F.col("file_path")))
-    ids = cut_lineage(content_ids(named))
+    ids = cut_lineage(content_ids(named), "ids")
     lost = [r["file_path"] for r in ids.where(F.col("data_id").isNull()).limit(20).collect()]
     if lost:
         log.warning("Skipping files that do not exist, for example: %s", lost)
@@ -82,7 +82,7 @@ def ingest_sumstats(
     if not paths:
         return None
     named = spark.createDataFrame([(p, location(p)) for p in paths], "file_path string, location string")
-    owners = listed.join(F.broadcast(named), "file_path").drop("file_path")
+    owners = listed.join(broadcast_if_small(named), "file_path").drop("file_path")
     rows = read_sumstats_files(spark, paths, with_pvalue)
     rows = rows.withColumn("location", location_column(F.col("file_path"))).drop("file_path")
     checked = validate_sumstats(rows.join(broadcast_if_small(owners), "location").drop("location"))

@@ -157,7 +157,32 @@ _INCOMING = _CATALOG + """, changed AS (
   SELECT project, study, data_id, category, CASE category WHEN 'pQTL' THEN 'GRCh38' ELSE build END AS build, trait_desc FROM catalog)"""
 
 
+_STORED = """CHR, POS, EA, NEA, round(CAST(CAST(EAF AS FLOAT) AS DOUBLE), 4) AS EAF, round(CAST(CAST(SE AS FLOAT) AS DOUBLE), 4) AS SE,
+               round(CAST(CAST(BETA AS FLOAT) AS DOUBLE), 4) AS BETA, round(CAST(CAST(MLOG10P AS FLOAT) AS DOUBLE), 4) AS MLOG10P"""
+
 ORACLES: dict[str, str] = {
+    "read_manifest": """SELECT CASE r_name WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) END AS project,
+        upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS study,
+        substr(sha256(CAST(s_suppkey AS VARCHAR)), 1, 10) AS data_id, CASE s_suppkey % 3 WHEN 0 THEN 'GWAS' WHEN 1 THEN 'pQTL' ELSE 'eQTL' END AS category,
+        CASE WHEN s_suppkey % 2 = 0 THEN 'GRCh37' ELSE 'GRCh38' END AS build, n_name || ' , ' || r_name AS population, s_name AS notes_source_id,
+        CASE WHEN s_acctbal > 0 THEN p_brand END AS notes_consortium, CAST(floor(p_retailprice) AS BIGINT) AS total_samples, p_name AS trait_desc,
+        p_type || '|' || p_brand AS trait_protein_ids
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON p_partkey = s_suppkey""",
+    "read_sumstats_tsv": f"WITH {_SUMSTATS} SELECT {_STORED} FROM sumstats",
+    "read_sumstats_parquet": f"WITH {_SUMSTATS} SELECT TRAITID, {_STORED} FROM sumstats",
+    "ingest_sumstats": f"WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, {_STORED} FROM by_study",
+    "ingest_metadata": f"""WITH {_CATALOG} SELECT project, study, data_id, category,
+        CASE category WHEN 'pQTL' THEN upper(trait_desc) ELSE trait_desc END AS trait_desc, total_samples FROM catalog""",
+    "write_result": f"WITH {_SUMSTATS} SELECT * FROM sumstats",
+    "multi_trait_export": f"""WITH {_SUMSTATS}, {_CATALOG} SELECT {_snpid("s.")} AS SNPID, s.TRAITID, s.BETA, s.MLOG10P, c.category AS meta_category,
+        c.out_name AS output_prefix
+        FROM sumstats s JOIN (SELECT *, 'out_' || project || '_' || study || '_' || notes_source_id AS out_name FROM catalog) c ON s.TRAITID = c.data_id
+        WHERE s.MLOG10P > 6 AND c.category = 'pQTL' AND c.trait_desc ILIKE '%red%'""",
+    "write_partitioned_by_trait": f"""WITH {_KEPT}, {_CATALOG}, {_clusters('kept', 250_000)}, {_loci()}
+        SELECT 'out_' || c.project || '_' || c.study || '_' || c.data_id AS output_prefix, count(*) AS n_loci
+        FROM loci l JOIN catalog c ON l.TRAITID = c.data_id GROUP BY ALL""",
+    "write_metadata_sidecar": f"""WITH {_CATALOG} SELECT project, study, category, data_id, notes_source_id, build, trait_desc, total_samples
+        FROM catalog WHERE category = 'GWAS'""",
     "cast_sumstats": f"""WITH {_SUMSTATS}
         SELECT CHR, TRAITID, POS, EA, NEA, round(CAST(CAST(EAF AS FLOAT) AS DOUBLE), 4) AS EAF, round(CAST(CAST(SE AS FLOAT) AS DOUBLE), 4) AS SE,
                round(CAST(CAST(BETA AS FLOAT) AS DOUBLE), 4) AS BETA, round(CAST(CAST(MLOG10P AS FLOAT) AS DOUBLE), 4) AS MLOG10P FROM sumstats""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,14 @@ from pyspark.sql import functions as F
 from statloom.functions import normal, text, variants
 from statloom.operators import catalog as cat
 from statloom.operators import leads, loci, meta, regions, slices, summaries
+from statloom.plans import export as exporting
+from statloom.plans import ingest as ingesting
 from statloom.plans import views
+from statloom.session import scratch_path
+from statloom.sources import manifest as manifests
+from statloom.sources import sinks
+from statloom.sources import sumstats as sumstats_files
+from statloom.sources.files import location_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +92,87 @@ def validate_sumstats(spark, sf):
     return slices.validate_sumstats(moved).groupBy("CHR", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- stored and read back
+
+
+def _file_list(spark, path):
+    return [unquote(f) for f in spark.read.format("binaryFile").load(path).inputFiles()]
+
+
+def _shown(df):
+    """Stored 32-bit numbers as rounded doubles."""
+    floats = [c for c, t in df.dtypes if t == "float"]
+    return df.select(*[F.round(F.col(c).cast("double"), 4).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
+def read_manifest(spark, sf):
+    path = scratch_path(spark, "manifest")
+    views.manifest(spark, sf).write.csv(path, sep="\t", header=True)
+    return manifests.read_manifest(spark, path)
+
+
+def read_sumstats_tsv(spark, sf):
+    path = scratch_path(spark, "tsv")
+    rows = views.sumstats(spark, sf).withColumn("N", F.lit(5))
+    rows.select("N", "SE", "BETA", "POS", "CHR", "NEA", "EA", "EAF", "MLOG10P").write.csv(path, sep="\t", header=True, compression="gzip")
+    files = [f for f in _file_list(spark, path) if f.endswith(".gz")]
+    return _shown(sumstats_files.read_sumstats_files(spark, files).drop("file_path"))
+
+
+def read_sumstats_parquet(spark, sf):
+    path = scratch_path(spark, "parquet")
+    views.sumstats(spark, sf).write.parquet(path)
+    files = [f for f in _file_list(spark, path) if f.endswith(".parquet")]
+    return _shown(sumstats_files.read_sumstats_files(spark, files).drop("file_path"))
+
+
+def ingest_sumstats(spark, sf):
+    """One gzip file per study (a made-up trait each), through the manifest into the table and back."""
+    path = scratch_path(spark, "ingest")
+    rows = views.sumstats_by_study(spark, sf).repartition("project", "study")
+    rows.drop("TRAITID").write.partitionBy("project", "study").csv(f"{path}/in", sep="\t", header=True, compression="gzip")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/in").select(
+        location_column(F.col("_metadata.file_path")).alias("file_path"))
+    rows = listed.select(
+        F.regexp_extract("file_path", "project=([^/]+)", 1).alias("project"), F.regexp_extract("file_path", "study=([^/]+)", 1).alias("study"),
+        F.lit("GWAS").alias("category"), "file_path")
+    ingesting.ingest(rows, f"{path}/table", f"{path}/catalog")
+    return _shown(sumstats_files.read_table(spark, f"{path}/table").drop("TRAITID"))
+
+
+def ingest_metadata(spark, sf):
+    path = scratch_path(spark, "catalog")
+    rows = views.manifest(spark, sf)
+    ingesting.ingest_metadata(rows, path)
+    ingesting.ingest_metadata(rows.where(F.col("category") == "pQTL").withColumn("trait_desc", F.upper("trait_desc")), path)
+    return cat.project_catalog(ingesting.read_catalog(spark, path), ["project", "study", "data_id", "category", "trait_desc", "total_samples"])
+
+
+def write_result(spark, sf):
+    target = sinks.write_result(views.sumstats(spark, sf), scratch_path(spark, "result"), "csv.gz")
+    return spark.read.csv(target, header=True, schema=views.sumstats(spark, sf).schema)
+
+
+def multi_trait_export(spark, sf):
+    template = {"category": "pQTL", "trait": [{"desc": "red"}]}
+    results = exporting.export(views.sumstats_by_study(spark, sf), views.catalog(spark, sf), template, pvalue_thr=6.0, attributes="BETA,MLOG10P")
+    written = exporting.write_export(results, scratch_path(spark, "export") + "/out", "parquet")
+    return spark.read.parquet(written["result"]).select("SNPID", "TRAITID", "BETA", "MLOG10P", "meta_category", "output_prefix")
+
+
+def write_partitioned_by_trait(spark, sf):
+    segments, _ = loci.locus_breaker(views.sumstats_by_study(spark, sf), maf=0.1)
+    names = cat.output_prefix(views.catalog(spark, sf).select("project", "study", "data_id"), "out")
+    target = sinks.write_partitioned_by_trait(segments, names, scratch_path(spark, "segments"), "parquet")
+    return spark.read.parquet(target).groupBy("output_prefix").agg(F.count(F.lit(1)).alias("n_loci"))
+
+
+def write_metadata_sidecar(spark, sf):
+    found = cat.meta_query(views.catalog(spark, sf), {"category": "GWAS", "output": ["build", "trait_desc", "total_samples"]})
+    target = sinks.write_metadata_sidecar(found, scratch_path(spark, "sidecar"))
+    return spark.read.csv(target, header=True, schema=found.schema)
+
+
 # ---------------------------------------------------------------- slices
 
 
@@ -553,7 +642,8 @@ def rsid_resolve(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        cast_sumstats, content_id, read_regions_bed, read_snp_list, read_trait_snps, validate_sumstats,
+        read_manifest, read_sumstats_tsv, read_sumstats_parquet, ingest_sumstats, ingest_metadata, write_result,
+        multi_trait_export, write_partitioned_by_trait, write_metadata_sidecar, cast_sumstats, content_id, read_regions_bed, read_snp_list, read_trait_snps, validate_sumstats,
         select_attributes, mlog10p_fallback, trait_slice, position_points, position_range, pvalue_threshold,
         maf_filter, process_result, full_stats, group_slice, snp_semi_join, region_semi_join,
         region_semi_join_overlapping, region_pvalue_filter, region_flags, chromosome_envelope, lead_snp_search,

@@ -43,10 +43,11 @@ def location_column(path: Column) -> Column:
 def _open(path: str):
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri(path)
+    place = location(path)
+    if place.startswith("/"):
+        system, inner = fs.LocalFileSystem(), place
     else:
-        system, inner = fs.LocalFileSystem(), path
+        system, inner = fs.FileSystem.from_uri(place)
     if system.get_file_info(inner).type != fs.FileType.File:
         return None
     return system.open_input_stream(inner, compression=None)

@@ -34,11 +34,7 @@ def save_catalog(df: DataFrame, path: str) -> None:
     writer.mode("overwrite").parquet(path)
 
 
-def write_result(df: DataFrame, path: str, file_format: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:
-    """Write a result directory `<path>.<format>`; csv carries a header, csv.gz uses fast gzip."""
-    if file_format not in FORMATS:
-        raise ValueError("Format must be either 'parquet', 'csv.gz', or 'csv'")
-    target = f"{path}.{file_format}"
+def _write(df: DataFrame, target: str, file_format: str, partition_by: tuple[str, ...]) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if file_format == "parquet":
         writer.option("compression", "snappy").parquet(target)
@@ -46,6 +42,25 @@ def write_result(df: DataFrame, path: str, file_format: str = "parquet", partiti
         writer.option("header", True).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").csv(target)
     else:
         writer.option("header", True).csv(target)
+
+
+def _has_files(df: DataFrame, target: str) -> bool:
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
+    return bool(files.inputFiles())
+
+
+def write_result(df: DataFrame, path: str, file_format: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:
+    """Write a result directory `<path>.<format>`; csv carries a header, csv.gz uses fast gzip.
+
+    A frame without rows still leaves a file with its header or schema.
+    """
+    if file_format not in FORMATS:
+        raise ValueError("Format must be either 'parquet', 'csv.gz', or 'csv'")
+    target = f"{path}.{file_format}"
+    _write(df, target, file_format, partition_by)
+    if partition_by and not _has_files(df, target):
+        log.warning("Nothing to write to %s", target)
+        _write(df.sparkSession.createDataFrame([], df.schema).coalesce(1), target, file_format, ())
     return target
 
 

@@ -1,0 +1 @@
+"""Ingest of manifests as they arrive."""

@@ -292,3 +292,36 @@ def test_odd_and_relative_paths(spark, tmp_path, monkeypatch):
     assert ingest(listed, f"{tmp_path}/t", f"{tmp_path}/c") is None
     counts = [r["count"] for r in read_table(spark, f"{tmp_path}/t").groupBy("TRAITID").count().collect()]
     assert counts == [80, 80]
+
+
+def test_stored_files_are_sorted_and_split(spark, tmp_path):
+    """Rows of a written file follow project, study, CHR, TRAITID, POS, also when one position holds a third of them."""
+    rng = random.Random(10)
+    rows = [("p", rng.choice(["s", "s2"]), rng.choice([1, 2, 3]), rng.choice(["t", "u"]), rng.randint(1, 10_000), float(i)) for i in range(4_000)]
+    rows += [("p", "s", 1, "t", 77, float(i)) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "project string, study string, CHR int, TRAITID string, POS int, BETA double").repartition(4)
+    with_small_parts = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in with_small_parts.items():
+        spark.conf.set(name, value)
+    try:
+        sinks.append_sumstats(df, f"{tmp_path}/t")
+    finally:
+        for name in with_small_parts:
+            spark.conf.unset(name)
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    stored, hot = [], 0
+    for path in files:
+        part = spark.read.parquet(str(path)).collect()
+        key = [(r["CHR"], r["TRAITID"], r["POS"]) for r in part]
+        assert key == sorted(key)
+        hot += any(k == (1, "t", 77) for k in key)
+        stored += part
+    assert len(stored) == 6_000 and hot > 1
+
+
+@pytest.mark.parametrize("file_format", ["parquet", "csv"])
+def test_an_empty_partitioned_result_keeps_its_columns(spark, tmp_path, file_format):
+    df = spark.createDataFrame([(1, "a")], "x int, y string").where("x > 5")
+    target = sinks.write_result(df, f"{tmp_path}/o", file_format, ("y",))
+    back = spark.read.parquet(target) if file_format == "parquet" else spark.read.csv(target, header=True)
+    assert back.columns == ["x", "y"] and back.isEmpty()
