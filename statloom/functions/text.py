@@ -52,16 +52,19 @@ def json_field(json: Column, name: str) -> Column:
 def nested_key(json: Column, name: str, depth: int = 4) -> Column:
     """First value found under `name`, searching an object before the objects inside it.
 
-    Objects nested deeper than `depth` levels are not opened.
+    Objects nested deeper than `depth` levels are not opened. Every object is parsed
+    once: it is bound as the single element of an array.
     """
-    fields = F.from_json(json, "map<string,string>")
-    if depth <= 1:
-        return fields[name]
-    objects = F.filter(F.map_values(fields), lambda v: F.ltrim(v).startswith("{"))
-    inner = F.filter(
-        F.transform(objects, lambda v: nested_key(v, name, depth - 1)), lambda v: v.isNotNull()
-    )
-    return F.when(F.map_contains_key(fields, name), fields[name]).otherwise(F.try_element_at(inner, F.lit(1)))
+    opened = F.array(F.from_json(json, "map<string,string>"))
+
+    def search(fields: Column) -> Column:
+        if depth <= 1:
+            return fields[name]
+        objects = F.filter(F.map_values(fields), lambda v: F.ltrim(v).startswith("{"))
+        found = F.filter(F.transform(objects, lambda v: nested_key(v, name, depth - 1)), lambda v: v.isNotNull())
+        return F.when(F.map_contains_key(fields, name), fields[name]).otherwise(F.try_element_at(found, F.lit(1)))
+
+    return F.transform(opened, search)[0]
 
 
 def ancestry_code(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from statloom.operators import catalog as cat
 from statloom.operators import leads, loci, meta, regions, slices, summaries
 from statloom.schemas import ATTRIBUTES, GROUP_COLUMNS
+from statloom.session import cut_lineage
 from statloom.sources import sinks
 
 log = logging.getLogger(__name__)
@@ -59,14 +60,17 @@ def export(
     case_sensitive: bool = False,
     exact_match: bool = False,
 ) -> dict[str, DataFrame]:
-    """Result frames by name; `metadata` is always among them.
+    """Result frames by name; `metadata` is always among them. The catalog is searched once.
 
     The analysis is the first one asked for, in the order: loci, regions or
     SNPs, lead SNPs, meta-analysis, full statistics.
     """
     leads_asked = trait_snps is not None and not locusbreaker and region_list is None
-    metadata = selected_metadata(
-        catalog, template, linked=trait_snps is not None, case_sensitive=case_sensitive, exact_match=exact_match
+    metadata = cut_lineage(
+        selected_metadata(
+            catalog, template, linked=trait_snps is not None, case_sensitive=case_sensitive, exact_match=exact_match
+        ),
+        "metadata",
     )
     rows = slices.in_traits(sumstats, metadata)
     described = (lambda df: df) if skip_meta else (lambda df: cat.metadata_broadcast(df, metadata))

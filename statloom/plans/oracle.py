@@ -173,6 +173,8 @@ ORACLES: dict[str, str] = {
     "ingest_sumstats": f"WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, {_STORED} FROM by_study",
     "ingest_metadata": f"""WITH {_CATALOG} SELECT project, study, data_id, category,
         CASE category WHEN 'pQTL' THEN upper(trait_desc) ELSE trait_desc END AS trait_desc, total_samples FROM catalog""",
+    "natural_order": f"""WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_early
+        FROM by_study GROUP BY project, study""",
     "write_result": f"WITH {_SUMSTATS} SELECT * FROM sumstats",
     "multi_trait_export": f"""WITH {_SUMSTATS}, {_CATALOG} SELECT {_snpid("s.")} AS SNPID, s.TRAITID, s.BETA, s.MLOG10P, c.category AS meta_category,
         c.out_name AS output_prefix

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import normal, text, variants
@@ -148,6 +148,18 @@ def ingest_metadata(spark, sf):
     return cat.project_catalog(ingesting.read_catalog(spark, path), ["project", "study", "data_id", "category", "trait_desc", "total_samples"])
 
 
+def natural_order(spark, sf):
+    """Rows of every stored file that do not follow the one before in CHR, TRAITID, POS order."""
+    path = scratch_path(spark, "ordered")
+    sinks.append_sumstats(views.sumstats_by_study(spark, sf), path)
+    key = F.struct("CHR", "TRAITID", "POS")
+    along = Window.partitionBy("file").orderBy("row")
+    stored = sumstats_files.read_table(spark, path).select(
+        "project", "study", key.alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    checked = stored.withColumn("early", F.col("key") < F.lag("key").over(along))
+    return checked.groupBy("project", "study").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("early").alias("n_early"))
+
+
 def write_result(spark, sf):
     target = sinks.write_result(views.sumstats(spark, sf), scratch_path(spark, "result"), "csv.gz")
     return spark.read.csv(target, header=True, schema=views.sumstats(spark, sf).schema)
@@ -642,7 +654,7 @@ def rsid_resolve(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        read_manifest, read_sumstats_tsv, read_sumstats_parquet, ingest_sumstats, ingest_metadata, write_result,
+        read_manifest, read_sumstats_tsv, read_sumstats_parquet, ingest_sumstats, ingest_metadata, natural_order, write_result,
         multi_trait_export, write_partitioned_by_trait, write_metadata_sidecar, cast_sumstats, content_id, read_regions_bed, read_snp_list, read_trait_snps, validate_sumstats,
         select_attributes, mlog10p_fallback, trait_slice, position_points, position_range, pvalue_threshold,
         maf_filter, process_result, full_stats, group_slice, snp_semi_join, region_semi_join,
