@@ -20,7 +20,7 @@ from statloom.functions.variants import bin_of, clip_low
 from statloom.schemas import CHR_DOMAIN
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_SPANS = 4
+MAX_SPANS = 32
 
 
 def _width(field: T.StructField) -> Column:
@@ -43,8 +43,12 @@ def data_bytes(df: DataFrame) -> int:
 
 
 def hint_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint when `size`, an upper bound, is under the limit; else the join is left to Spark."""
-    return F.broadcast(df) if size <= limit else df
+    """Broadcast hint when `size`, an upper bound, is under the limit; otherwise a merge hint.
+
+    The merge hint keeps Spark from broadcasting on a file-size estimate, which compression and
+    exploded bins can make far too low; adaptive skew handling splits hot keys of a merge join.
+    """
+    return F.broadcast(df) if size <= limit else df.hint("merge")
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -52,44 +56,67 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return hint_small(df, data_bytes(df), limit)
 
 
+Span = tuple[int, int, int]
+
+
+def _in_spans(spans: Sequence[Span]) -> Column:
+    by_chr: dict[int, list[Column]] = {}
+    for chrom, low, high in spans:
+        by_chr.setdefault(chrom, []).append(F.col("POS").between(low, high))
+    tests = [(F.col("CHR") == c) & reduce(lambda a, b: a | b, inside) for c, inside in by_chr.items()]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 @dataclass(frozen=True)
 class RangeProfile:
-    """What one small job tells about a list of ranges: at most 24 spans, and its sizes."""
+    """What a small job tells about a list of ranges: spans for pruning, and its sizes."""
 
-    spans: tuple[tuple[int, int, int], ...]
+    envelope: tuple[Span, ...]
+    spans: tuple[Span, ...]
     list_bytes: int
     binned_bytes: int
 
     def nearby(self) -> Column:
-        """Literal predicate that prunes row groups by CHR and POS; it never drops a row inside a span.
+        """Literal predicate on CHR and POS that keeps every row inside a range.
 
-        Few chromosomes are tested span by span. Many share one outer range, which
-        keeps the generated code short; the join that follows is exact in either case.
+        It reaches the Parquet scan and skips row groups and pages. The join that
+        follows is the exact test.
         """
-        if len(self.spans) > MAX_SPANS:
-            low, high = min(s[1] for s in self.spans), max(s[2] for s in self.spans)
-            return F.col("CHR").isin([s[0] for s in self.spans]) & F.col("POS").between(low, high)
-        tests = [(F.col("CHR") == c) & F.col("POS").between(lo, hi) for c, lo, hi in self.spans]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
+        return _in_spans(self.spans)
+
+    def in_envelope(self) -> Column:
+        """Literal predicate: between the smallest start (at least 1) and largest end of the chromosome."""
+        return _in_spans(self.envelope)
 
 
 def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> RangeProfile:
-    """Span per chromosome, size of the list, and size once cut into bins; one row per chromosome is read."""
+    """Envelope per chromosome, size of the list, and its size once cut into bins.
+
+    A list of at most MAX_SPANS ranges is its own spans; a longer one is pruned by
+    its envelope. No more than that many rows reach the driver.
+    """
     size = row_bytes(ranges)
     bins = bin_of(F.col(end), width) - bin_of(F.col(start), width) + 1
+    usable = F.col(start) <= F.col(end)
+    inside = ranges.where(F.col("CHR").between(*CHR_DOMAIN))
     rows = (
-        ranges.where(F.col("CHR").between(*CHR_DOMAIN) & (F.col(start) <= F.col(end)))
-        .groupBy("CHR")
+        inside.groupBy("CHR")
         .agg(
             clip_low(F.min(start)).alias("lo"),
             F.max(end).alias("hi"),
+            F.count(F.lit(1)).alias("n"),
             F.sum(size).alias("list_bytes"),
-            F.sum((size + 8) * bins).alias("binned_bytes"),
+            F.sum(F.when(usable, (size + 8) * bins).otherwise(0)).alias("binned_bytes"),
         )
         .collect()
     )
+    spans = envelope = {(r["CHR"], r["lo"], r["hi"]) for r in rows}
+    if len(rows) < sum(r["n"] for r in rows) <= MAX_SPANS:
+        listed = inside.where(usable).select("CHR", clip_low(F.col(start)).alias("lo"), F.col(end).alias("hi"))
+        spans = {(r["CHR"], r["lo"], r["hi"]) for r in listed.limit(MAX_SPANS).collect()}
     return RangeProfile(
-        tuple(sorted((r["CHR"], r["lo"], r["hi"]) for r in rows)),
+        tuple(sorted(envelope)),
+        tuple(sorted(spans)),
         sum(r["list_bytes"] for r in rows),
         sum(r["binned_bytes"] for r in rows),
     )

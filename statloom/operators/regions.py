@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.variants import clip_low
 from statloom.operators.joins import (
+    data_bytes,
     disjoint_pieces,
     explode_bins,
     hint_small,
@@ -106,12 +107,13 @@ def region_flags(
     traits = trait_keys(sumstats.columns)
     listed = regions.select("CHR", "START", "END")
     seen = profile_ranges(listed, "START", "END", width)
-    kept = significant if significant is not None else significant_regions(sumstats, regions, threshold, width)
-    spans = F.broadcast(chromosome_envelope(listed))
-    covered = sumstats.where(seen.nearby()).join(spans, "CHR")
-    present = covered.where(F.col("POS").between(F.col("min_start"), F.col("max_end"))).select(*traits, "CHR").distinct()
+    kept = significant
+    if kept is None:
+        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width), "regions")
+    hits = hint_small(kept.withColumn("hit", F.lit(True)), data_bytes(kept))
+    present = sumstats.where(seen.in_envelope()).select(*traits, "CHR").distinct()
     asked = present.join(hint_small(listed, seen.list_bytes), "CHR")
-    flagged = asked.join(kept.withColumn("hit", F.lit(True)), [*traits, "CHR", "START", "END"], "left")
+    flagged = asked.join(hits, [*traits, "CHR", "START", "END"], "left")
     return flagged.select(
         *traits, "CHR", "START", "END", F.coalesce("hit", F.lit(False)).alias("PVALUE_FILT_FLAG")
     )

@@ -1,18 +1,45 @@
 """Summary statistics, a catalog and side lists derived from the driver's tables.
 
-Every view covers its whole source tables; nothing is sampled or cut.
+Every view covers its whole source tables; nothing is sampled or cut. The
+summary-statistics views are kept as stored tables, so that queries meet them as they
+meet an ingested table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from statloom.functions.text import short_hash, slug
+from statloom.session import scratch_path
+from statloom.sources.sinks import append_sumstats
+
+
+_schemas: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the driver's tables; its schema is read from the files once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _store(df: Callable[[], DataFrame], spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view as a stored table in its native order, written once per application and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        append_sumstats(df(), path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def _id(column: Column) -> Column:
@@ -42,6 +69,20 @@ def _grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (part, supplier): the supplier is the trait, the part the variant."""
+    return _store(lambda: _sumstats(spark, sf_dir), spark, sf_dir, "sumstats")
+
+
+def sumstats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `sumstats`, with several variants at a position, indels and many tied p-values."""
+    return _store(lambda: _sumstats_dense(spark, sf_dir), spark, sf_dir, "dense")
+
+
+def sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`sumstats` with the project and study of each trait, partitioned by them."""
+    return _store(lambda: _sumstats_by_study(spark, sf_dir), spark, sf_dir, "by_study")
+
+
+def _sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped_lines(spark, sf_dir).select(
         (F.lit(1) + F.col("l_partkey") % 22).cast("int").alias("CHR"),
         _id(F.col("l_suppkey")).alias("TRAITID"),
@@ -55,8 +96,7 @@ def sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sumstats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `sumstats`, with several variants at a position, indels and many tied p-values."""
+def _sumstats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     indel = F.when(F.col("l_partkey") % 10 == 0, F.lit("TT")).otherwise(F.lit(""))
     return _grouped_lines(spark, sf_dir).select(
         (F.lit(1) + F.col("l_partkey") % 22).cast("int").alias("CHR"),
@@ -111,15 +151,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_catalog_row(manifest(spark, sf_dir))
 
 
-def sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`sumstats` with the project and study of each trait, as the stored table has them."""
+def _sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     studies = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     ).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     named = studies.select(
         slug(F.col("r_name")).alias("project"), slug(F.col("n_name")).alias("study"), _id(F.col("s_suppkey")).alias("TRAITID")
     )
-    return sumstats(spark, sf_dir).join(named, "TRAITID")
+    return _sumstats(spark, sf_dir).join(named, "TRAITID")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,11 @@ def append_sumstats(df: DataFrame, path: str) -> None:
     even one much-copied position is spread over many tasks, and each task writes
     one or few files with narrow CHR and POS statistics.
     """
-    key = [*GROUP_COLUMNS, *DIMENSIONS]
+    groups = [c for c in GROUP_COLUMNS if c in df.columns]
+    key = [*groups, *DIMENSIONS]
     spread = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*key, "_row").drop("_row")
     ordered = spread.sortWithinPartitions(*key)
-    ordered.write.partitionBy(*GROUP_COLUMNS).option("compression", "zstd").mode("append").parquet(path)
+    ordered.write.partitionBy(*groups).option("compression", "zstd").mode("append").parquet(path)
 
 
 def save_catalog(df: DataFrame, path: str) -> None:

@@ -86,13 +86,21 @@ def test_region_pvalue_filter_and_flags(spark, width):
     want_flags = []
     for t in ("t1", "t2", "t3"):
         for c in {g[0] for g in listed}:
-            lo = max(1, min(g[1] for g in listed if g[0] == c and g[1] <= g[2]))
+            lo = max(1, min(g[1] for g in listed if g[0] == c))
             hi = max(g[2] for g in listed if g[0] == c)
             if any(d["TRAITID"] == t and d["CHR"] == c and lo <= d["POS"] <= hi for d in dicts):
                 want_flags += [(t, *g, (t, *g) in hits) for g in listed if g[0] == c]
     assert sorted(tuple(f) for f in flags) == sorted(want_flags)
 
 
+def test_flags_need_a_variant_in_the_envelope_only(spark):
+    rows = [(1, "between", 500, "A", "C", 0.1, 0.1, 0.5, 9.0), (1, "outside", 2_000, "A", "C", 0.1, 0.1, 0.5, 9.0),
+            (1, "inside", 120, "A", "C", 0.1, 0.1, 0.5, 9.0)]
+    listed = spark.createDataFrame([(1, 100, 200), (1, 900, 1_000)], REGION_SCHEMA)
+    got = sorted((r["TRAITID"], r["START"], r["PVALUE_FILT_FLAG"]) for r in regions.region_flags(frame(spark, rows), listed, 8.0).collect())
+    assert got == [("between", 100, False), ("between", 900, False), ("inside", 100, True), ("inside", 900, False)]
+
+
 def test_snp_mode_is_chosen_by_shape(spark):
     rows = random_rows(6)
     points = sorted({(r[0], r[2]) for r in rows})[::7] + [(5, 5)]
