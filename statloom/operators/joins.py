@@ -42,18 +42,23 @@ def data_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
-def hint_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def fits(size: int) -> bool:
+    """Whether data of at most `size` bytes may be broadcast."""
+    return size <= BROADCAST_BYTES
+
+
+def hint_small(df: DataFrame, size: int) -> DataFrame:
     """Broadcast hint when `size`, an upper bound, is under the limit; otherwise a merge hint.
 
     The merge hint keeps Spark from broadcasting on a file-size estimate, which compression and
     exploded bins can make far too low; adaptive skew handling splits hot keys of a merge join.
     """
-    return F.broadcast(df) if size <= limit else df.hint("merge")
+    return F.broadcast(df) if fits(size) else df.hint("merge")
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """`hint_small` with the measured size of the frame itself."""
-    return hint_small(df, data_bytes(df), limit)
+    return hint_small(df, data_bytes(df))
 
 
 Span = tuple[int, int, int]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.normal import mlog10p_from_z, z_score
 from statloom.functions.variants import snpid
-from statloom.operators.joins import broadcast_if_small, data_bytes, hint_small
+from statloom.operators.joins import broadcast_if_small, hint_small, profile_ranges
 from statloom.schemas import ATTRIBUTES, CHR_DOMAIN, DIMENSIONS, GROUP_COLUMNS, POS_DOMAIN
 
 MAX_LISTED_TRAITS = 1000
@@ -77,8 +77,9 @@ def in_group(df: DataFrame, project: str, study: str) -> DataFrame:
 def at_positions(df: DataFrame, positions: DataFrame) -> DataFrame:
     """Rows at any of the listed (CHR, POS) points."""
     points = positions.select("CHR", "POS")
-    listed = hint_small(points.distinct(), data_bytes(points))
-    return df.join(listed, ["CHR", "POS"], "left_semi").select(*df.columns)
+    seen = profile_ranges(points, "POS", "POS", POS_DOMAIN[1])
+    listed = hint_small(points.distinct(), seen.list_bytes)
+    return df.where(seen.nearby()).join(listed, ["CHR", "POS"], "left_semi").select(*df.columns)
 
 
 def in_range(df: DataFrame, chrom: int, start: int, end: int) -> DataFrame:

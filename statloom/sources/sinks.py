@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.joins import BROADCAST_BYTES, data_bytes
+from statloom.operators.joins import data_bytes, fits
 from statloom.schemas import DIMENSIONS, GROUP_COLUMNS
 
 log = logging.getLogger(__name__)
@@ -91,5 +91,4 @@ def write_metadata_sidecar(meta: DataFrame, prefix: str) -> str:
     flat = meta.select(
         *[F.to_json(c).alias(c) if t.startswith(("array", "map")) else F.col(c) for c, t in meta.dtypes]
     )
-    small = data_bytes(flat) <= BROADCAST_BYTES
-    return write_result(flat.coalesce(1) if small else flat, f"{prefix}_meta", "csv")
+    return write_result(flat.coalesce(1) if fits(data_bytes(flat)) else flat, f"{prefix}_meta", "csv")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import leads, loci, meta, regions, slices, summaries
+from statloom.operators import joins
 from statloom.operators.joins import disjoint_pieces
 
 SCHEMA = "CHR int, TRAITID string, POS int, EA string, NEA string, BETA double, SE double, EAF double, MLOG10P double"
@@ -374,3 +375,41 @@ def test_long_trait_selection_uses_a_join(spark, monkeypatch):
     chosen = spark.createDataFrame([("t1",), ("t3",)], "data_id string")
     got = slices.in_traits(frame(spark, rows), chosen)
     assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in rows if r[1] in ("t1", "t3"))
+
+
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """Every size check fails and Spark's own threshold is off: all joins shuffle."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_lists_take_the_shuffled_way_with_equal_results(spark, no_broadcast):
+    test_region_semi_join(spark, 1_000)
+    test_region_pvalue_filter_and_flags(spark, 100_000)
+    test_snp_mode_is_chosen_by_shape(spark)
+    test_best_in_windows(spark, 50)
+    test_lead_search_rows(spark)
+    test_pheno_variance_is_the_exact_median(spark, 500)
+    test_meta_labels_every_trait_of_the_group(spark)
+
+
+@pytest.mark.parametrize("width", [50, 10_000])
+def test_a_hot_trait_and_position(spark, width):
+    """A third of all rows share one place, another third one trait and chromosome."""
+    rng = random.Random(20)
+    hot = [(1, "t1", 500, "A" * (1 + i % 40), "T" * (1 + i // 40), 0.1, 0.2, 0.5, float(i % 11)) for i in range(400)]
+    wide = [(1, "t1", p, "A", "T", 0.2, 0.1, 0.5, rng.random() * 9) for p in rng.sample(range(1, 3_000), 400)]
+    rows = list({r[:5]: r for r in [*hot, *wide, *random_rows(21, 400)]}.values())
+    table = frame(spark, rows).repartition(5)
+    asked = [("t1", 1, 400, 600), ("t1", 1, 500, 500), ("t1", 1, 1, 3_000), ("t2", 2, 1, 999)]
+    got = {(r["TRAITID"], r["CHR"], r["START"], r["END"]): (r["lead"]["POS"], r["lead"]["EA"], r["lead"]["NEA"])
+           for r in leads.best_in_windows(table, spark.createDataFrame(asked * 30, "TRAITID string, CHR int, START int, END int"), width).collect()}
+    for w in asked:
+        best = brute_lead(as_dicts(rows), *w)
+        assert got[w] == (best["POS"], best["EA"], best["NEA"])
+    segments, _ = loci.locus_breaker(table, maf=0.0, hole=30, flanks=5)
+    want = brute_loci(rows, 3.3, 5.0, 30, 5)
+    assert sorted((s["TRAITID"], s["CHR"], s["locus_start"], s["locus_end"], s["POS"], s["EA"]) for s in segments.collect()) == [w[:6] for w in want]
