@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from statloom.functions.text import slug
 from statloom.operators.catalog import catalog_upsert, to_catalog_row, validate_catalog
 from statloom.operators.joins import broadcast_if_small
-from statloom.operators.slices import validate_sumstats
+from statloom.operators.slices import in_traits, validate_sumstats
 from statloom.schemas import CATALOG_SCHEMA, GROUP_COLUMNS
 from statloom.session import cut_lineage
 from statloom.sources.files import absolute_column, content_ids, location, location_column
@@ -73,7 +73,8 @@ def ingest_sumstats(
     )
     if dedup:
         try:
-            stored = read_table(spark, table_path).select(*GROUP_COLUMNS, "TRAITID").distinct()
+            same = in_traits(read_table(spark, table_path), listed.withColumnRenamed("TRAITID", "data_id"))
+            stored = same.select(*GROUP_COLUMNS, "TRAITID").distinct()
             listed = listed.join(stored, [*GROUP_COLUMNS, "TRAITID"], "left_anti")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
