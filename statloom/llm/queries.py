@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statloom.llm.common import table
 
@@ -21,6 +22,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.substrings import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -29,6 +37,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_bpe, op8_token_counts)}
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.dart_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op10_dart_minhash)}
 
 ORACLES: dict[str, str] = {}
