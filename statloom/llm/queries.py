@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from statloom.llm.common import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.sharding import shard_documents
 
@@ -43,6 +49,6 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op10_dart_minhash)}
 
 ORACLES: dict[str, str] = {}
