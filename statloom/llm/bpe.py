@@ -3,7 +3,7 @@
 Encoding: texts are split into words (the pieces that merges cannot cross) in blocks of documents. A block keeps
 for each document its words' numbers, and deals its distinct words to buckets by their hash. A bucket sees each
 distinct word of the whole corpus and encodes it once; its ids go back to every block that has the word, and
-the block joins them to its documents by position. What travels are numbers and distinct words, not texts.
+the block joins them to its documents by position. What is shuffled are numbers and distinct words, not texts.
 
 Decoding: every id meets its piece in the vocabulary's table, whose size the vocabulary file bounds; the pieces of a
 document are put together by position.
@@ -11,6 +11,7 @@ document are put together by position.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -21,15 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.common import texts
-from statloom.session import cut_lineage
 
 #: Bytes of text that a block of documents holds at least before it is closed.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 12_000_000
 #: Documents for each bucket of distinct words; and the most buckets.
 BUCKET_DOCUMENTS, MOST_BUCKETS = 2_000, 100_000
 
@@ -131,53 +130,51 @@ def _unpack_words(payload: bytes) -> list[str]:
 
 
 class _Block:
-    """Documents whose words are numbered together."""
+    """Documents whose words are numbered together, common words first."""
 
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.docs: list[tuple[int | None, np.ndarray]] = []
-        self.bytes = 0
+        self.doc_ids: list[int | None] = []
+        self.docs: list[np.ndarray] = []
+        self.size = 0
+        self.seal = hashlib.blake2b(digest_size=8)
 
-    def add(self, doc_id: int | None, words: list[str], size: int) -> None:
+    def add(self, doc_id: int | None, text: str, words: list[str]) -> None:
         numbers = self.numbers
-        self.docs.append((doc_id, np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words))))
-        self.bytes += size
-
-    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
-        """Bucket -1: the documents, by their words' ranks (common words first); others: the distinct words."""
+        self.docs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+        self.doc_ids.append(doc_id)
+        self.size += len(text)
+        self.seal.update(b"%d:%d:" % (doc_id or 0, len(text)) + text.encode())
+
+    def rows(self, buckets: int, of_words: bool) -> Iterator[tuple]:
+        """The block's distinct words, a row for each bucket; or its documents, as bucket -1."""
+        key = int.from_bytes(self.seal.digest(), "little", signed=True)
         words = list(self.numbers)
-        counts = np.zeros(len(words), np.int64)
-        for _, numbers in self.docs:
-            counts += np.bincount(numbers, minlength=len(words))
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        for doc_id, numbers in self.docs:
-            yield block, -1, doc_id, rank[numbers]
-        dealt: dict[int, list[int]] = {}
-        for at, i in enumerate(order.tolist()):
-            dealt.setdefault(zlib.crc32(words[i].encode()) % buckets, []).append(at)
-        for bucket, places in dealt.items():
-            yield block, bucket, None, (np.array(places), [words[order[p]] for p in places])
-
-
-def _blocks(path: str, buckets: int):
+        order = np.argsort(-np.bincount(np.concatenate(self.docs), minlength=len(words)), kind="stable")
+        if not of_words:
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            for doc_id, numbers in zip(self.doc_ids, self.docs):
+                yield key, -1, doc_id, _pack(rank[numbers])
+            return
+        dealt = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int32)[order]
+        by_bucket = np.argsort(dealt, kind="stable")
+        for places in np.split(by_bucket, np.flatnonzero(np.diff(dealt[by_bucket])) + 1):
+            if len(places):
+                head = _pack(np.diff(places, prepend=0))
+                yield key, int(dealt[places[0]]), None, len(head).to_bytes(4, "little") + head + _pack_words([words[i] for i in order[places].tolist()])
+
+
+def _blocks(path: str, buckets: int, of_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        part, number, block = TaskContext.get().partitionId(), 0, _Block()
+        vocab, block = vocabulary(path), _Block()
 
         def close() -> Iterator[pa.RecordBatch]:
-            key, chunk, size = (part << 24) | number, [], 0
-            for row in block.rows(key, buckets):
-                if row[1] < 0:
-                    payload = _pack(row[3])
-                else:
-                    places, words = row[3]
-                    head = _pack(places)
-                    payload = len(head).to_bytes(4, "little") + head + _pack_words(words)
-                chunk.append((row[0], row[1], row[2], payload))
-                size += len(payload)
-                if size > 4_000_000:
+            chunk, size = [], 0
+            for row in block.rows(buckets, of_words):
+                chunk.append(row)
+                size += len(row[3])
+                if size > 2_000_000:
                     yield _batch(chunk)
                     chunk, size = [], 0
             if chunk:
@@ -186,10 +183,10 @@ def _blocks(path: str, buckets: int):
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py()
-                block.add(doc_id, vocab.words(text), len(text))
-                if block.bytes >= BLOCK_BYTES:
+                block.add(doc_id, text, vocab.words(text))
+                if block.size >= BLOCK_BYTES:
                     yield from close()
-                    number, block = number + 1, _Block()
+                    block = _Block()
         if block.docs:
             yield from close()
 
@@ -247,7 +244,7 @@ class _Words:
         for payload in payloads:
             a = 4 + int.from_bytes(payload[:4], "little")
             b = a + 4 + int.from_bytes(payload[a : a + 4], "little")
-            places.append(_unpack(payload[4:a]))
+            places.append(np.cumsum(_unpack(payload[4:a])))
             lengths.append(_unpack(payload[a + 4 : b]))
             flats.append(_unpack(payload[b:]))
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
@@ -258,6 +255,8 @@ class _Words:
         self.start[place], self.length[place] = start, length
 
     def ids(self, ranks: np.ndarray) -> np.ndarray:
+        if len(ranks) and int(ranks.max()) >= len(self.start):
+            raise ValueError("a block lacks its words: the documents were read in another order the second time")
         return _take_runs(self.flat, self.start[ranks], self.length[ranks])
 
 
@@ -297,17 +296,16 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     A null text is empty and has no ids; a null doc_id stays null; repeated rows come out as often as they
     came in; an empty table gives an empty one. A hot word is one entry per block, so no group grows
-    with a word's frequency. The blocks are written to the shared folder, since their numbers are
-    those of the tasks that made them.
+    with a word's frequency. Texts are read twice, once for the words and once for the documents; a block's name is a
+    hash of its contents, so that documents read in another order the second time raise an error.
     """
     rows = texts(docs, id_col, text_col)
     buckets = int(min(max(rows.count() // BUCKET_DOCUMENTS, 16), MOST_BUCKETS))
-    blocks = cut_lineage(rows.mapInArrow(_blocks(vocabulary_path, buckets), _BLOCKS), "words")
-    of_words = blocks.where("bucket >= 0")
+    of_words = rows.mapInArrow(_blocks(vocabulary_path, buckets, True), _BLOCKS)
+    of_documents = rows.mapInArrow(_blocks(vocabulary_path, buckets, False), _BLOCKS)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_bucket = of_words.repartition(max(spread, min(buckets, 4 * spread)), "bucket").sortWithinPartitions("bucket")
-    coded = by_bucket.mapInArrow(_encode_words(vocabulary_path), _BLOCKS)
-    together = blocks.where("bucket < 0").unionByName(coded)
+    together = of_documents.unionByName(by_bucket.mapInArrow(_encode_words(vocabulary_path), _BLOCKS))
     by_block = together.repartition("block").sortWithinPartitions("block", F.desc("bucket"))
     return by_block.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
@@ -349,8 +347,6 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def decoded_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded again."""
-    import hashlib
-
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimals = _decimal_table(vocabulary_path)
         for batch in batches:

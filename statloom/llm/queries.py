@@ -14,6 +14,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.edit_embedding import fingerprints
 
@@ -61,6 +67,6 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_edit_embedding, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op9_toxicity, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_embeddings, op4_edit_embedding, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op9_toxicity, op10_dart_minhash)}
 
 ORACLES: dict[str, str] = {}
