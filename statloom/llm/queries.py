@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from statloom.llm.common import table
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.mixing import mix
 
@@ -67,6 +73,6 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_embeddings, op4_edit_embedding, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op9_toxicity, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_mixing, op3_embeddings, op4_edit_embedding, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op9_toxicity, op10_dart_minhash)}
 
 ORACLES: dict[str, str] = {}
