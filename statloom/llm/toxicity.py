@@ -138,7 +138,7 @@ def _pick_terms(sample: DataFrame, rows: int, toxic: int) -> list[str]:
     counted = sample.mapInArrow(_count_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     base = toxic / rows
     expected = F.col("n") * base
-    counted = counted.where((F.col("toxic") >= max(3.0, BACKING * toxic)) & (F.col("toxic") > 2 * expected) & (F.col("toxic") * 2 > F.col("n")))
+    counted = counted.where((F.col("toxic") >= max(3.0, BACKING * toxic)) & (F.col("toxic") - expected > 2 * F.sqrt(expected)) & (F.col("toxic") > F.col("n") * max(0.5, min(0.95, 1.2 * base))))
     strength = (F.col("toxic") - expected) / F.sqrt(expected + 0.5) * F.col("toxic") / F.col("n")
     best = counted.withColumn("strength", strength).orderBy(F.desc("strength"), F.length("term"), "term").limit(2 * TERMS)
     return _without_echoes([(r["term"], r["n"], r["toxic"]) for r in best.collect()])[:TERMS]
