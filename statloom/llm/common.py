@@ -101,3 +101,32 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             end = max(begin + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 4096) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows that come sorted by integer keys, as tables of whole groups with the groups' ends; a table has `most` rows or one group."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part])
+        values = np.stack([part.column(k).to_numpy().astype(np.int64) for k in keys])
+        ends = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        begin = 0
+        while begin < (ends[-1] if len(ends) else 0):
+            fitting = ends[(ends > begin) & (ends <= begin + most)]
+            own = fitting if len(fitting) else ends[ends > begin][:1]
+            yield part.slice(begin, int(own[-1]) - begin).combine_chunks(), (own - begin).tolist()
+            begin = int(own[-1])
+        rest = part.slice(begin)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), [rest.num_rows]
+
+
+def spanning_links(close: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row with a link in a symmetric table of links: its name, and the smallest name that it reaches."""
+    has, label = close.any(axis=1), names.copy()
+    while True:
+        best = np.minimum(label, np.where(close, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+        if (best == label).all():
+            return names[has], label[has]
+        label = best

@@ -6,14 +6,13 @@ document keeps, for each coordinate, the earliest dart in its regions. Two docum
 the probability of their (weighted) Jaccard similarity. Only the darts before a time that fills about all
 coordinates are thrown; documents with gaps left throw for twice as long.
 
-Documents that share a band become candidates by pivots: a bucket's members meet its most connected
-member first, then 4, 16, ... pivots, until all members are of one class or all have met. So a group of
-thousands of copies costs comparisons in proportion to its size, and none is left out.
+Documents that share a band share a bucket, and the documents of a bucket are compared exactly, in tiles: a bucket of any
+size is cut into chunks, and each pair of chunks is a tile, which reports one link for each document that
+has any. The bands are taken in three rounds; a bucket whose documents are all of one class by then is not compared.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import mix64, powers, small_batches, text_buffer, texts, word_hashes, word_spans
+from statloom.llm.common import mix64, powers, small_batches, sorted_groups, spanning_links, text_buffer, texts, word_hashes, word_spans
 from statloom.llm.graph import components
 from statloom.session import cut_lineage
 
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 6 coordinates: a pair at similarity 0.8 is missed with a probability of 6e-5, one at 0.85 with 4e-8.
 BANDS, ROWS = 32, 6
+#: Bands after which a round ends; documents of a chunk; bytes of text unpacked, and shingles compared, at once.
+ROUNDS, CHUNK, AT_ONCE, COLUMNS = (4, 12), 256, 2_000_000, 20_000
 
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
@@ -139,72 +140,83 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
 
-def _verify(k: int, similarity: float, weighted: bool):
-    def elements(packed: bytes) -> np.ndarray:
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-        starts, ends, first = word_spans(data, np.array([0, len(data)]))
+def _sets(packed: list[bytes], k: int, weighted: bool) -> list[np.ndarray]:
+    """The distinct shingles of each compressed text."""
+    expand, out, begin = zstandard.ZstdDecompressor(), [], 0
+    while begin < len(packed):
+        raw, size = [], 0
+        while begin + len(raw) < len(packed) and (not raw or size < AT_ONCE):
+            raw.append(expand.decompress(packed[begin + len(raw)]))
+            size += len(raw[-1])
+        offsets = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts, ends, first = word_spans(data, offsets)
         e, row = shingles(word_hashes(data, starts, ends), first, k)
-        return np.unique(regions(e, row) if weighted else e)
+        if weighted:
+            e = regions(e, row)
+        cuts = np.searchsorted(row, np.arange(len(raw) + 1))
+        out += [np.unique(e[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        begin += len(raw)
+    return out
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets have at least this Jaccard similarity: a symmetric table without its diagonal.
+
+    Shared elements are counted by a product of membership tables, some columns at a time.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.float64)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes.astype(np.int64))
+    shared = count[place] > 1
+    row, place = row[shared], np.unique(place[shared], return_inverse=True)[1]
+    both = np.zeros((n, n))
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[row[a:b], place[a:b] - low] = 1
+        both += table @ table.T
+    out = (both > 0) & (both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _compare(k: int, similarity: float, weighted: bool):
+    """Rows come sorted by tile; a document links to the smallest one that it reaches within the tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-        for batch in batches:
-            close = np.zeros(batch.num_rows, bool)
-            for i, (a, b, pa_, pb) in enumerate(zip(*(batch.column(c) for c in ("a", "b", "packed_a", "packed_b")))):
-                sets = []
-                for key, packed in ((a.as_py(), pa_), (b.as_py(), pb)):
-                    if key not in known:
-                        if len(known) >= 200:
-                            known.popitem(last=False)
-                        known[key] = elements(packed.as_py())
-                    sets.append(known[key])
-                x, y = sets
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                close[i] = both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close)], ["a", "b", "close"])
+        for part, ends in sorted_groups(batches, ("key", "a", "b"), 2 * CHUNK):
+            names, roots = part.column("doc_id").to_numpy(), part.column("root").to_numpy()
+            packed, begin, found = part.column("packed"), 0, []
+            for end in ends:
+                own = slice(begin, end)
+                if end - begin > 1 and (roots[own] != roots[begin]).any():
+                    found.append(spanning_links(similar(_sets(packed.slice(begin, end - begin).to_pylist(), k, weighted), similarity), names[own]))
+                begin = end
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
 
     return run
 
 
-def _classes_of(members: DataFrame, packed: DataFrame, k: int, similarity: float, weighted: bool) -> DataFrame:
-    """node, root over all documents (doc_id, n) that share a bucket (key) and are similar enough."""
-    links, tested, labels, pivots_wanted = None, None, None, 1
-    degrees = members.join(members.groupBy("key").agg(F.count("*").alias("_c")), "key")
-    degrees = cut_lineage(degrees.groupBy("doc_id").agg(F.sum("_c").alias("degree")), "degrees")
-    active = cut_lineage(members.join(degrees, "doc_id").withColumn("root", F.col("doc_id")), "active")
-    while True:
-        # the most connected member is the first pivot; later ones are drawn by hash, 4 times as many each round
-        per_key = active.groupBy("key").agg(
-            F.count("*").alias("_size"), F.min("root").alias("_least"), F.max("root").alias("_most"), F.max(F.struct("degree", -F.col("doc_id"))).alias("_top")
-        )
-        per_key = cut_lineage(per_key.where("_least < _most").select("key", "_size", (-F.col("_top.col2")).alias("_first")), "buckets")
-        if per_key.isEmpty():
-            break
-        open_ = cut_lineage(active.join(per_key, "key"), "open")
-        draw = F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 11) / F.lit(2.0**53)
-        chosen = F.col("doc_id") == F.col("_first") if pivots_wanted == 1 else draw * F.col("_size") < pivots_wanted
-        pivots = open_.where(chosen).select("key", F.col("doc_id").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
-        near = (F.least("n", "m") + 0.0 >= similarity * F.greatest("n", "m") - 1e-9) & (F.col("root") != F.col("pivot_root"))
-        pairs = open_.join(cut_lineage(pivots, "pivots"), "key").where(near)
-        pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a")), "a")
-        with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b")), "b")
-        judged = cut_lineage(with_b.mapInArrow(_verify(k, similarity, weighted), "a long, b long, close boolean"), "judged")
-        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        found = judged.where("close").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        largest = per_key.agg(F.max("_size")).first()[0]
-        if pivots_wanted >= largest:
-            break
-        pivots_wanted *= 4
-        if not found.isEmpty():
-            labels = components(links)
-            known = labels.select(F.col("node").alias("doc_id"), F.col("root").alias("_new"))
-            open_ = open_.join(known, "doc_id", "left").withColumn("root", F.coalesce("_new", "doc_id"))
-        active = cut_lineage(open_.select("key", "doc_id", "n", "degree", "root"), "active")
+def _links_of(members: DataFrame, packed: DataFrame, links: DataFrame, k: int, similarity: float, weighted: bool) -> DataFrame:
+    """`links` and those that join all documents of a bucket (band, key) which are similar enough."""
+    bounds = [*ROUNDS, 1 << 30]
+    for low, high in zip([0, *ROUNDS], bounds):
+        active = members.where(F.col("band").between(low, high - 1))
+        known = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
+        active = cut_lineage(active.join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("_root", "doc_id").alias("root")), "active")
+        buckets = active.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+        buckets = cut_lineage(buckets.where("least < most").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+        chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int")
+        chunked = active.join(buckets, "key").withColumn("chunk", chunk)
+        tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        tiled = tiled.select("key", "doc_id", "root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+        full = tiled.join(packed, "doc_id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        found = full.select("key", "a", "b", "doc_id", "root", "packed").mapInArrow(_compare(k, similarity, weighted), "a long, b long")
+        links = links.unionByName(cut_lineage(found.where("a <> b"), "links"))
     return links
 
 
@@ -234,7 +246,7 @@ def near_duplicates(
     # a repeated doc_id with different texts joins their classes
     copies = cut_lineage(signed.join(same, ["h1", "h2"]).select("doc_id", "rep").distinct(), "copies")
     leaders = signed.where("n > 0").join(same.withColumn("doc_id", F.col("rep")), ["h1", "h2", "doc_id"], "left_semi")
-    spread = leaders.select("doc_id", "n", F.explode("keys").alias("key"))
+    spread = leaders.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared = cut_lineage(spread.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "shared")
     members = cut_lineage(spread.join(shared, "key", "left_semi").dropDuplicates(["key", "doc_id"]), "members")
     needed = cut_lineage(members.select("doc_id").distinct(), "needed")
@@ -242,9 +254,7 @@ def near_duplicates(
         source.where("doc_id IS NOT NULL").mapInArrow(_compress, "doc_id long, packed binary").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed"
     )
     links = copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = _classes_of(members, packed, words, similarity, weighted)
-    if found is not None:
-        links = links.unionByName(found)
+    links = _links_of(members, packed, links, words, similarity, weighted)
     labels = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
     out = source.select("doc_id").join(labels, "doc_id", "left")
     out = out.select("doc_id", F.coalesce("_root", "doc_id").alias("class_id"))

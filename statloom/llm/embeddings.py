@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import sorted_groups, spanning_links
 from statloom.llm.graph import components
 from statloom.session import cut_lineage
 
@@ -105,23 +106,15 @@ def _tile(x: np.ndarray, codes: np.ndarray, copies: np.ndarray, reps: np.ndarray
     has = close.any(axis=1)
     if not has.any():
         return None
-    label = reps.copy()
-    while True:
-        best = np.minimum(label, np.where(close, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (best == label).all():
-            break
-        label = best
-    return reps[has], (close @ copies)[has], label[has]
+    name, label = spanning_links(close, reps)
+    return name, (close @ copies)[has], label
 
 
 def _compare(cosine: float):
     """Rows come sorted by tile; a tile is compared when its last row is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def tiles(part: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
-            part = part.combine_chunks()
+        for part, ends in sorted_groups(batches, ("t", "key", "a", "b")):
             x = _matrix(part.column("embedding").chunk(0))
             codes = np.frombuffer(b"".join(part.column("code").to_pylist()), "<u4").reshape(part.num_rows, -1)
             copies, reps, chunks, table, a, b = (part.column(c).to_numpy() for c in ("copies", "rep", "chunk", "t", "a", "b"))
@@ -134,19 +127,7 @@ def _compare(cosine: float):
                         found.append(out)
                 begin = end
             if found:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "links", "label"])
-
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            part = part if rest is None else pa.concat_tables([rest, part])
-            keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("t", "key", "a", "b")])
-            ends = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
-            if ends:
-                yield from tiles(part.slice(0, ends[-1]), ends)
-            rest = part.slice(ends[-1] if ends else 0)
-        if rest is not None and rest.num_rows:
-            yield from tiles(rest, [rest.num_rows])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["rep", "links", "label"])
 
     return run
 
