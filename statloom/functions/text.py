@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.schemas import ANCESTRIES
@@ -49,24 +51,48 @@ def json_field(json: Column, name: str) -> Column:
     return F.from_json(json, "map<string,string>")[name]
 
 
-def nested_key(json: Column, name: str, depth: int = 4) -> Column:
+def json_depth(json: Column) -> Column:
+    """How deep objects and lists are nested in a JSON text; 0 for a plain value or null."""
+    bare = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, mark: Column) -> Column:
+        change = F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct((state["now"] + change).alias("now"), F.greatest(state["most"], state["now"] + change).alias("most"))
+
+    return F.coalesce(F.aggregate(marks, start, step)["most"], F.lit(0))
+
+
+def nested_key(json: Column, name: str, depth: int) -> Column:
     """First value found under `name`, searching an object before the objects inside it.
 
-    Objects nested deeper than `depth` levels are not opened. Every object is parsed
-    once: it is bound as the single element of an array.
+    `depth` levels are opened, at least as many as the data has (see `with_nested_keys`, which measures it);
+    deeper objects are an error, never passed over. Every object is parsed once: it is
+    bound as the single element of an array.
     """
     opened = F.array(F.from_json(json, "map<string,string>"))
 
     def search(fields: Column) -> Column:
-        if depth <= 1:
-            return fields[name]
         objects = F.filter(F.map_values(fields), lambda v: F.ltrim(v).startswith("{"))
+        if depth <= 1:
+            too_deep = F.raise_error(F.lit(f"objects are nested deeper than the levels searched for {name}")).cast("string")
+            return F.when(F.map_contains_key(fields, name), fields[name]).when(F.size(objects) > 0, too_deep)
         found = F.filter(F.transform(objects, lambda v: nested_key(v, name, depth - 1)), lambda v: v.isNotNull())
         return F.when(F.map_contains_key(fields, name), fields[name]).otherwise(F.try_element_at(found, F.lit(1)))
 
     return F.transform(opened, search)[0]
 
 
+def with_nested_keys(df: DataFrame, json: str, names: Mapping[str, str]) -> DataFrame:
+    """Add a column per (new column: key) with the first value under the key, at whatever depth it lies.
+
+    One small aggregation measures how deep the texts are nested.
+    """
+    depth = df.agg(F.max(json_depth(F.col(json)))).first()[0] or 1
+    return df.withColumns({column: nested_key(F.col(json), key, max(depth, 1)) for column, key in names.items()})
+
+
 def ancestry_code(text: Column) -> Column:
     """Full ancestry name or short code to the short code; unknown text gives null."""
     lookup = {name.lower(): code for code, name in ANCESTRIES.items()}

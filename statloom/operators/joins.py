@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions.variants import bin_of, clip_low
-from statloom.schemas import CHR_DOMAIN
+from statloom.schemas import CHR_DOMAIN, POS_DOMAIN
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_SPANS = 32
+#: Settings of the session, read at each use, and their defaults.
+BROADCAST_SETTING, BROADCAST_BYTES = "spark.statloom.broadcastBytes", 64 * 1024 * 1024
+SPANS_SETTING, MAX_SPANS = "spark.statloom.pruningSpans", 64
+#: Width of the cells by which long range lists are summed up: at most 6,000 cells on 24 chromosomes.
+SPAN_CELL = 1_000_000
 
 
 def _width(field: T.StructField) -> Column:
@@ -42,18 +45,17 @@ def data_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
-def fits(size: int) -> bool:
-    """Whether data of at most `size` bytes may be broadcast."""
-    return size <= BROADCAST_BYTES
+def _setting(df: DataFrame, name: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(name, str(default)))
 
 
 def hint_small(df: DataFrame, size: int) -> DataFrame:
-    """Broadcast hint when `size`, an upper bound, is under the limit; otherwise a merge hint.
+    """Broadcast hint when `size`, an upper bound, is within the session's limit; beyond it the frame as it is.
 
-    The merge hint keeps Spark from broadcasting on a file-size estimate, which compression and
-    exploded bins can make far too low; adaptive skew handling splits hot keys of a merge join.
+    The join is then Spark's to plan: an equality join with adaptive skew handling, before whose shuffle
+    a runtime Bloom filter of this side cuts the large one.
     """
-    return F.broadcast(df) if fits(size) else df.hint("merge")
+    return F.broadcast(df) if size <= _setting(df, BROADCAST_SETTING, BROADCAST_BYTES) else df
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -94,11 +96,33 @@ class RangeProfile:
         return _in_spans(self.envelope)
 
 
+def merge_spans(spans: Sequence[Span], limit: int) -> list[Span]:
+    """Spans joined where they touch, then across the smallest gaps until at most `limit` are left.
+
+    A chromosome keeps at least one span.
+    """
+    merged: list[list[int]] = []
+    for chrom, low, high in sorted(spans):
+        if merged and merged[-1][0] == chrom and low <= merged[-1][2] + 1:
+            merged[-1][2] = max(merged[-1][2], high)
+        else:
+            merged.append([chrom, low, high])
+    gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(merged, merged[1:])) if a[0] == b[0])
+    closed = {i for _, i in gaps[: max(0, len(merged) - limit)]}
+    out: list[list[int]] = []
+    for i, span in enumerate(merged):
+        if i - 1 in closed:
+            out[-1][2] = span[2]
+        else:
+            out.append(span)
+    return [tuple(s) for s in out]
+
+
 def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> RangeProfile:
-    """Envelope per chromosome, size of the list, and its size once cut into bins.
+    """Envelope per chromosome, spans for pruning, size of the list, and its size once cut into bins.
 
-    A list of at most MAX_SPANS ranges is its own spans; a longer one is pruned by
-    its envelope. No more than that many rows reach the driver.
+    Two small jobs: one row per chromosome, and one per cell of SPAN_CELL bases that a range touches. Spans follow the
+    ranges of a list of any length; the longer it is, the more of its gaps are closed.
     """
     size = row_bytes(ranges)
     bins = bin_of(F.col(end), width) - bin_of(F.col(start), width) + 1
@@ -109,19 +133,25 @@ def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> Range
         .agg(
             clip_low(F.min(start)).alias("lo"),
             F.max(end).alias("hi"),
-            F.count(F.lit(1)).alias("n"),
             F.sum(size).alias("list_bytes"),
             F.sum(F.when(usable, (size + 8) * bins).otherwise(0)).alias("binned_bytes"),
         )
         .collect()
     )
-    spans = envelope = {(r["CHR"], r["lo"], r["hi"]) for r in rows}
-    if len(rows) < sum(r["n"] for r in rows) <= MAX_SPANS:
-        listed = inside.where(usable).select("CHR", clip_low(F.col(start)).alias("lo"), F.col(end).alias("hi"))
-        spans = {(r["CHR"], r["lo"], r["hi"]) for r in listed.limit(MAX_SPANS).collect()}
+    placed = inside.where(usable & (F.col(end) >= 1)).select(
+        "CHR", clip_low(F.col(start)).cast("bigint").alias("lo"), F.least(F.col(end), F.lit(POS_DOMAIN[1])).cast("bigint").alias("hi")
+    )
+    edge = F.col("bin").cast("bigint") * F.lit(SPAN_CELL)
+    cells = (
+        explode_bins(placed, "lo", "hi", SPAN_CELL)
+        .groupBy("CHR", "bin")
+        .agg(F.min(F.greatest("lo", edge)).alias("lo"), F.max(F.least("hi", edge + F.lit(SPAN_CELL - 1))).alias("hi"))
+        .collect()
+    )
+    spans = merge_spans([(r["CHR"], r["lo"], r["hi"]) for r in cells], _setting(ranges, SPANS_SETTING, MAX_SPANS))
     return RangeProfile(
-        tuple(sorted(envelope)),
-        tuple(sorted(spans)),
+        tuple(sorted((r["CHR"], r["lo"], r["hi"]) for r in rows)),
+        tuple(spans),
         sum(r["list_bytes"] for r in rows),
         sum(r["binned_bytes"] for r in rows),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.variants import clip_low
 from statloom.operators.joins import (
-    data_bytes,
+    broadcast_if_small,
     disjoint_pieces,
     explode_bins,
     hint_small,
@@ -19,7 +19,9 @@ from statloom.operators.slices import over_threshold, with_mlog10p
 from statloom.schemas import CHR_DOMAIN, trait_keys
 from statloom.session import cut_lineage
 
+#: Bases of a bin of the range joins, and blocks of regions that a trait meets one by one.
 REGION_BIN = 100_000
+FLAG_BLOCKS = 16
 
 
 def chromosome_envelope(regions: DataFrame) -> DataFrame:
@@ -50,24 +52,44 @@ def region_semi_join(sumstats: DataFrame, regions: DataFrame, width: int = REGIO
     return keep_inside(sumstats.where(seen.nearby()), pieces, ["CHR"], width)
 
 
-def significant_regions(
+def significant_places(
     sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN
 ) -> DataFrame:
-    """(trait, CHR, START, END) of regions with at least one variant over the threshold.
-
-    Only significant positions take part, once each. The distinct (trait, region) is
-    taken map-side in the stage of the join, so variant-region pairs are never shuffled.
+    """(trait, CHR, POS) of variants over the threshold near a region, once each, and (trait, CHR, null) of every
+    trait with a variant inside the chromosome's envelope. One pass over the table, written once.
     """
     traits = trait_keys(sumstats.columns)
-    listed = regions.select("CHR", "START", "END")
+    seen = profile_ranges(regions.select("CHR", "START", "END"), "START", "END", width)
+    scored = with_mlog10p(sumstats.where(seen.in_envelope()))
+    over = (F.col("MLOG10P") > float(threshold)) if threshold > 0 else F.lit(True)
+    place = F.when(over & seen.nearby(), F.col("POS"))
+    found = scored.select(*traits, "CHR", F.explode(F.array_distinct(F.array(F.lit(None).cast("int"), place))).alias("POS"))
+    return cut_lineage(found.distinct(), "places")
+
+
+def _regions_hit(places: DataFrame, listed: DataFrame, width: int) -> DataFrame:
+    """(trait, CHR, START, END) of regions that hold a place."""
+    traits = trait_keys(places.columns)
     seen = profile_ranges(listed, "START", "END", width)
-    hits = over_threshold(with_mlog10p(sumstats.where(seen.nearby())), threshold)
-    places = hits.select(*traits, "CHR", "POS").distinct()
     binned = hint_small(explode_bins(listed.distinct(), "START", "END", width), seen.binned_bytes)
-    pairs = pair_inside(places, binned, ["CHR"], "START", "END", width)
+    pairs = pair_inside(places.where(F.col("POS").isNotNull()), binned, ["CHR"], "START", "END", width)
     return pairs.select(*traits, "CHR", "START", "END").distinct()
 
 
+def significant_regions(
+    sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN, places: DataFrame | None = None
+) -> DataFrame:
+    """(trait, CHR, START, END) of regions with at least one variant over the threshold.
+
+    Only significant places take part, once each. The distinct (trait, region) is
+    taken map-side in the stage of the join, so variant-region pairs are never shuffled.
+    """
+    listed = regions.select("CHR", "START", "END")
+    if places is None:
+        places = significant_places(sumstats, regions, threshold, width)
+    return _regions_hit(places, listed, width)
+
+
 def region_pvalue_filter(
     sumstats: DataFrame,
     regions: DataFrame,
@@ -97,22 +119,23 @@ def region_flags(
     regions: DataFrame,
     threshold: float,
     width: int = REGION_BIN,
-    significant: DataFrame | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """One row per trait and listed region: does any variant exceed the threshold?
 
-    A trait has rows for a chromosome only if it has a variant inside the
-    chromosome's envelope.
+    A trait has rows for a chromosome only if it has a variant inside the chromosome's envelope. One pass over
+    the table gives both that and the significant places (`places`, see `significant_places`). Traits
+    meet the regions of a chromosome in blocks, so a long list is spread over many tasks.
     """
     traits = trait_keys(sumstats.columns)
     listed = regions.select("CHR", "START", "END")
-    seen = profile_ranges(listed, "START", "END", width)
-    kept = significant
-    if kept is None:
-        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width), "regions")
-    hits = hint_small(kept.withColumn("hit", F.lit(True)), data_bytes(kept))
-    present = sumstats.where(seen.in_envelope()).select(*traits, "CHR").distinct()
-    asked = present.join(hint_small(listed, seen.list_bytes), "CHR")
+    if places is None:
+        places = significant_places(sumstats, regions, threshold, width)
+    hits = _regions_hit(places, listed, width).withColumn("hit", F.lit(True))
+    present = places.select(*traits, "CHR").distinct()
+    block = F.pmod(F.xxhash64("START", "END"), F.lit(FLAG_BLOCKS)).cast("int")
+    spread = present.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(FLAG_BLOCKS - 1))))
+    asked = spread.join(broadcast_if_small(listed.withColumn("block", block)), ["CHR", "block"]).drop("block")
     flagged = asked.join(hits, [*traits, "CHR", "START", "END"], "left")
     return flagged.select(
         *traits, "CHR", "START", "END", F.coalesce("hit", F.lit(False)).alias("PVALUE_FILT_FLAG")
@@ -130,6 +153,7 @@ def extract_regions(
         return snp_semi_join(sumstats, regions, threshold), None
     if threshold <= 0:
         return region_semi_join(sumstats, regions), None
-    kept = cut_lineage(significant_regions(sumstats, regions, threshold), "regions")
+    places = significant_places(sumstats, regions, threshold)
+    kept = cut_lineage(significant_regions(sumstats, regions, threshold, places=places), "regions")
     found = region_pvalue_filter(sumstats, regions, threshold, significant=kept)
-    return found, region_flags(sumstats, regions, threshold, significant=kept)
+    return found, region_flags(sumstats, regions, threshold, places=places)

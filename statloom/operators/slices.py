@@ -13,8 +13,6 @@ from statloom.functions.variants import snpid
 from statloom.operators.joins import broadcast_if_small, hint_small, profile_ranges
 from statloom.schemas import ATTRIBUTES, CHR_DOMAIN, DIMENSIONS, GROUP_COLUMNS, POS_DOMAIN
 
-MAX_LISTED_TRAITS = 1000
-
 
 def parse_attributes(attributes: str | Iterable[str]) -> list[str]:
     """A comma-separated text or a list of names; an unknown name is an error."""
@@ -22,7 +20,7 @@ def parse_attributes(attributes: str | Iterable[str]) -> list[str]:
     names = [n.strip() for n in names]
     for name in names:
         if name not in ATTRIBUTES:
-            raise ValueError(f"Attribute {name} not found")
+            raise ValueError(f"unknown attribute {name!r}; choose from {', '.join(ATTRIBUTES)}")
     return names
 
 
@@ -52,21 +50,12 @@ def in_trait(df: DataFrame, trait: str) -> DataFrame:
 def in_traits(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of the catalog's traits, within their project and study where the table has them.
 
-    A short selection becomes a literal list that prunes partitions and row
-    groups; a longer one is a semi join.
+    One semi join for a selection of any size; where it is broadcast, Spark prunes the table's
+    partitions by it at run time. A record with a null in its key selects nothing.
     """
     groups = [c for c in GROUP_COLUMNS if c in df.columns and c in catalog.columns]
     wanted = catalog.select(*groups, F.col("data_id").alias("TRAITID")).distinct()
-    listed = wanted.limit(MAX_LISTED_TRAITS + 1).collect()
-    if len(listed) > MAX_LISTED_TRAITS:
-        return df.join(broadcast_if_small(wanted), [*groups, "TRAITID"], "left_semi").select(*df.columns)
-    kept = df
-    for column in [*groups, "TRAITID"]:
-        kept = kept.where(F.col(column).isin(sorted({row[column] for row in listed})))
-    if not groups:
-        return kept
-    whole_key = F.concat_ws("\u0001", *groups, "TRAITID")
-    return kept.where(whole_key.isin(sorted("\u0001".join(row) for row in listed)))
+    return df.join(broadcast_if_small(wanted), [*groups, "TRAITID"], "left_semi").select(*df.columns)
 
 
 def in_group(df: DataFrame, project: str, study: str) -> DataFrame:
@@ -101,7 +90,7 @@ def with_snpid(df: DataFrame) -> DataFrame:
     """Add SNPID and move it first."""
     missing = sorted({"CHR", "POS", "EA", "NEA"} - set(df.columns))
     if missing:
-        raise KeyError(f"Missing required columns in DataFrame: {', '.join(missing)}")
+        raise KeyError(f"a SNPID needs the columns {', '.join(missing)}")
     others = [c for c in df.columns if c != "SNPID"]
     key = snpid(F.col("CHR"), F.col("POS"), F.col("EA"), F.col("NEA"))
     return df.select(key.alias("SNPID"), *others)
@@ -135,9 +124,3 @@ def validate_sumstats(df: DataFrame) -> DataFrame:
     ok = F.col("CHR").between(*CHR_DOMAIN) & F.col("POS").between(*POS_DOMAIN)
     present: list[Column] = [F.col(c).isNotNull() for c in ("TRAITID", *ATTRIBUTES) if c in df.columns]
     return df.withColumn("valid", F.coalesce(reduce(lambda a, b: a & b, present, ok), F.lit(False)))
-
-
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows)."""
-    checked = validate_sumstats(df)
-    return checked.where("valid").drop("valid"), checked.where("not valid").drop("valid")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.variants import bin_of, harmonised_snpid
 from statloom.operators.joins import broadcast_if_small, data_bytes, hint_small
-from statloom.schemas import CHR_DOMAIN, trait_keys
+from statloom.schemas import CHR_DOMAIN, GROUP_COLUMNS, trait_keys
+from statloom.session import cut_lineage
+
+log = logging.getLogger(__name__)
 
 # --- fixed values: genome-wide and suggestive lines, smallest plot ---
 GENOME_WIDE = 7.30103
@@ -57,13 +62,23 @@ def pheno_variance(sumstats: DataFrame, samples: DataFrame) -> DataFrame:
     return middle.select(*traits, median.alias("pheno_variance"))
 
 
-def check_plottable(df: DataFrame) -> None:
-    """Plots need CHR, POS and MLOG10P and at least forty variants."""
+def plottable(df: DataFrame) -> DataFrame:
+    """The rows of traits that can be plotted: those with at least forty variants.
+
+    CHR, POS and MLOG10P must be there; no trait of forty variants is an error, some without are logged.
+    """
     missing = {"CHR", "POS", "MLOG10P"} - set(df.columns)
     if missing:
-        raise ValueError(f"Input DataFrame must contain columns: {sorted(missing)}")
-    if df.limit(MIN_POINTS).count() < MIN_POINTS:
-        raise ValueError(f"Fewer than {MIN_POINTS} variants: cannot make a Manhattan table")
+        raise ValueError(f"a Manhattan table needs the columns {sorted(missing)}")
+    traits = [c for c in (*GROUP_COLUMNS, "TRAITID") if c in df.columns]
+    counted = cut_lineage(df.groupBy(*traits).agg(F.count(F.lit(1)).alias("n")), "variants-per-trait")
+    small = counted.where(F.col("n") < MIN_POINTS).count()
+    enough = counted.where(F.col("n") >= MIN_POINTS)
+    if enough.isEmpty():
+        raise ValueError(f"no trait has the {MIN_POINTS} variants that a Manhattan table needs")
+    if small:
+        log.warning("%d traits have fewer than %d variants and are not plotted", small, MIN_POINTS)
+    return df.join(broadcast_if_small(enough.drop("n")), traits, "left_semi").select(*df.columns) if small and traits else df
 
 
 def manhattan_table(
@@ -74,8 +89,7 @@ def manhattan_table(
     A chromosome begins where the largest position of the one before it ends.
     The offsets are one row per chromosome, at most 24.
     """
-    check_plottable(df)
-    inside = df.where(F.col("CHR").between(*CHR_DOMAIN))
+    inside = plottable(df).where(F.col("CHR").between(*CHR_DOMAIN))
     lengths = inside.groupBy("CHR").agg(F.max("POS").alias("length"))
     before = Window.orderBy("CHR").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lengths.select(

@@ -57,13 +57,17 @@ def export(
     trans_flanks: int = leads.TRANS_FLANKS,
     skip_meta: bool = False,
     plot_out: bool = False,
+    suggestive: float = summaries.SUGGESTIVE,
+    unique: bool = False,
+    labels: bool = False,
     case_sensitive: bool = False,
     exact_match: bool = False,
 ) -> dict[str, DataFrame]:
     """Result frames by name; `metadata` is always among them. The catalog is searched once.
 
     The analysis is the first one asked for, in the order: loci, regions or
-    SNPs, lead SNPs, meta-analysis, full statistics.
+    SNPs, lead SNPs, meta-analysis, full statistics. A meta-analysis names its traits once per study, in `meta_labels`,
+    or with `labels` on every row; `unique` states that no trait has copies of a variant.
     """
     leads_asked = trait_snps is not None and not locusbreaker and region_list is None
     metadata = cut_lineage(
@@ -95,12 +99,14 @@ def export(
         asked = leads.link_traits(trait_snps, metadata)
         results["result"] = described(leads.lead_snp_search(rows, asked, cis_flanks, trans_flanks))
     elif meta_analysis:
-        results["meta_analysis"] = meta.meta_analysis(rows, metadata)
+        results["meta_analysis"] = meta.meta_analysis(rows, metadata, unique, labels)
+        if not labels:
+            results["meta_labels"] = meta.trait_labels(metadata)
     else:
         found = slices.full_stats(rows, threshold=pvalue_thr, attributes=attributes)
         results["result"] = described(found)
     if plot_out and "result" in results and not leads_asked:
-        results["manhattan"] = summaries.manhattan_table(slices.with_mlog10p(results["result"]))
+        results["manhattan"] = summaries.manhattan_table(slices.with_mlog10p(results["result"]), suggestive=suggestive)
     return results
 
 
@@ -126,7 +132,7 @@ def write_export(results: Mapping[str, DataFrame], prefix: str, file_format: str
         if kind == "metadata":
             continue
         target = prefix if kind == "result" else f"{prefix}_{kind}"
-        if kind == "meta_analysis":
+        if kind in ("meta_analysis", "meta_labels"):
             written[kind] = sinks.write_result(df, target, file_format, GROUP_COLUMNS)
         elif kind != "pvalue_filt" or not df.isEmpty():
             written[kind] = sinks.write_partitioned_by_trait(df, names, target, file_format)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import logging
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.text import slug
-from statloom.operators.catalog import catalog_upsert, to_catalog_row, validate_catalog
+from statloom.operators.catalog import catalog_delete, catalog_modify, catalog_upsert, to_catalog_row, validate_catalog
 from statloom.operators.joins import broadcast_if_small
-from statloom.operators.slices import in_traits, validate_sumstats
-from statloom.schemas import CATALOG_SCHEMA, GROUP_COLUMNS
-from statloom.session import cut_lineage
+from statloom.operators.slices import validate_sumstats
+from statloom.schemas import CATALOG_KEY, CATALOG_SCHEMA, GROUP_COLUMNS
+from statloom.session import cut_lineage, scratch_path
 from statloom.sources.files import absolute_column, content_ids, location, location_column
 from statloom.sources.manifest import require_columns
 from statloom.sources.sinks import append_sumstats, save_catalog
@@ -29,12 +31,23 @@ def known_files(manifest: DataFrame) -> DataFrame:
     """
     named = require_columns(manifest).withColumn("file_path", absolute_column(F.col("file_path")))
     ids = cut_lineage(content_ids(named), "ids")
-    lost = [r["file_path"] for r in ids.where(F.col("data_id").isNull()).limit(20).collect()]
-    if lost:
-        log.warning("Skipping files that do not exist, for example: %s", lost)
+    report(ids.where(F.col("data_id").isNull()).select("file_path"), "files that do not exist and are skipped")
     return named.join(broadcast_if_small(ids.where(F.col("data_id").isNotNull())), "file_path")
 
 
+def report(df: DataFrame, what: str) -> int:
+    """Log how many rows there are, each of them below it, and where the whole list is kept; nothing for none."""
+    path = scratch_path(df.sparkSession, "report")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    count = kept.count()
+    if count:
+        log.warning("%d %s; the list is in %s", count, what, path)
+        for row in kept.toLocalIterator():
+            log.warning("  %s", ", ".join(str(v) for v in row))
+    return count
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The stored catalog; an empty one where nothing is stored yet."""
     try:
@@ -50,50 +63,124 @@ def ingest_metadata(files: DataFrame, catalog_path: str) -> None:
     """Upsert the records of `known_files` rows; partitions without news are not touched."""
     spark = files.sparkSession
     records = validate_catalog(to_catalog_row(files))
-    wrong = [r["data_id"] for r in records.where("not valid").limit(20).collect()]
+    wrong = report(records.where("not valid").select("project", "study", "data_id"), "records with a wrong category, build or key")
     if wrong:
-        raise ValueError(f"records with a wrong category, build or key, for example: {wrong}")
+        raise ValueError(f"{wrong} records have a wrong category, build or key; see the log for the list")
     fresh = records.drop("valid")
     touched = broadcast_if_small(fresh.select(*GROUP_COLUMNS).distinct())
     stored = read_catalog(spark, catalog_path).join(touched, list(GROUP_COLUMNS), "left_semi")
     save_catalog(catalog_upsert(stored, fresh), catalog_path)
 
 
+def modify_records(spark: SparkSession, catalog_path: str, patch: DataFrame) -> int:
+    """Store changes to named fields of existing records (see `catalog_modify`); returns how many records changed.
+
+    Only the partitions of the patch are read and written again.
+    """
+    patch = cut_lineage(patch, "patch")  # it may come from the stored catalog itself
+    touched = patch.select(*GROUP_COLUMNS).distinct()
+    stored = read_catalog(spark, catalog_path).join(broadcast_if_small(touched), list(GROUP_COLUMNS), "left_semi")
+    done = cut_lineage(catalog_modify(stored, patch), "modified")
+    save_catalog(done.drop("updated"), catalog_path)
+    return done.where("updated").count()
+
+
+def delete_records(spark: SparkSession, catalog_path: str, keys: DataFrame) -> int:
+    """Take the records with the given keys from the stored catalog; returns how many there were.
+
+    A partition whose records all go is deleted with them.
+    """
+    keys = cut_lineage(keys.select(*CATALOG_KEY), "keys")  # they may come from the stored catalog itself
+    touched = keys.select(*GROUP_COLUMNS).distinct()
+    stored = read_catalog(spark, catalog_path).join(broadcast_if_small(touched), list(GROUP_COLUMNS), "left_semi")
+    before = stored.count()
+    left = cut_lineage(catalog_delete(stored, keys), "left")
+    save_catalog(left, catalog_path, touched)
+    return before - left.count()
+
+
+def _ledger(table_path: str) -> str:
+    return table_path.rstrip("/") + "_traits"
+
+
+def stored_traits(spark: SparkSession, table_path: str) -> DataFrame:
+    """project, study, TRAITID of every trait the table holds, from the ledger that ingest keeps beside it.
+
+    A table without a ledger is read once to write one.
+    """
+    key = [*GROUP_COLUMNS, "TRAITID"]
+    schema = ", ".join(f"{c} string" for c in key)
+    try:
+        return spark.read.schema(schema).parquet(_ledger(table_path)).distinct()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    try:
+        traits = read_table(spark, table_path).select(*key).distinct()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+    traits.write.parquet(_ledger(table_path))
+    return spark.read.schema(schema).parquet(_ledger(table_path))
+
+
+def _same_layout(spark: SparkSession, table_path: str, with_pvalue: bool) -> None:
+    """A table is stored with or without p-values, not both."""
+    try:
+        names = read_table(spark, table_path).columns
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return
+    if ("MLOG10P" in names) != with_pvalue:
+        raise ValueError(f"the table {table_path} is stored with{'' if 'MLOG10P' in names else 'out'} p-values")
+
+
 def ingest_sumstats(
-    files: DataFrame, table_path: str, with_pvalue: bool = True, dedup: bool = False
+    files: DataFrame, table_path: str, with_pvalue: bool = True, dedup: bool = False, files_per_job: int = 10_000
 ) -> DataFrame | None:
     """Append the rows of `known_files` to the table; returns quarantined rows if there are any.
 
-    Ingesting a file again duplicates its rows, unless `dedup` leaves out
-    traits the table already holds. Invalid rows are counted while the good ones are written.
+    Ingesting a file again duplicates its rows, unless `dedup` leaves out traits that the table's
+    ledger names. Files are taken `files_per_job` at a time, so that many paths reach the driver at once at most;
+    each job reads them once, writes the checked rows to the shared folder, and appends the good ones. Invalid rows are counted there.
     """
     spark = files.sparkSession
+    _same_layout(spark, table_path, with_pvalue)
+    key = [*GROUP_COLUMNS, "TRAITID"]
     listed = files.select(
         *[slug(F.col(c)).alias(c) for c in GROUP_COLUMNS], F.col("data_id").alias("TRAITID"), "file_path"
     )
+    known = stored_traits(spark, table_path)
     if dedup:
-        try:
-            same = in_traits(read_table(spark, table_path), listed.withColumnRenamed("TRAITID", "data_id"))
-            stored = same.select(*GROUP_COLUMNS, "TRAITID").distinct()
-            listed = listed.join(stored, [*GROUP_COLUMNS, "TRAITID"], "left_anti")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    paths = sorted(r["file_path"] for r in listed.select("file_path").distinct().collect())
-    if not paths:
+        listed = listed.join(broadcast_if_small(known), key, "left_anti")
+    paths = listed.select("file_path").distinct()
+    jobs = max(1, -(-paths.count() // files_per_job))
+    listed = cut_lineage(listed.withColumn("job", F.pmod(F.xxhash64("file_path"), F.lit(jobs))), "listed")
+    odd = []
+    for job in range(jobs):
+        part = listed.where(F.col("job") == job).drop("job")
+        names = sorted(r["file_path"] for r in part.select("file_path").distinct().collect())
+        if not names:
+            continue
+        named = spark.createDataFrame([(p, location(p)) for p in names], "file_path string, location string")
+        owners = part.join(broadcast_if_small(named), "file_path").drop("file_path")
+        rows = read_sumstats_files(spark, names, with_pvalue)
+        rows = rows.withColumn("location", location_column(F.col("file_path"))).drop("file_path")
+        checked = validate_sumstats(rows.join(broadcast_if_small(owners), "location").drop("location"))
+        checked = cut_lineage(checked, "checked")
+        append_sumstats(checked.where("valid").drop("valid"), table_path)
+        part.select(*key).distinct().write.mode("append").parquet(_ledger(table_path))
+        odd.append(checked.where("not valid").drop("valid"))
+    if not odd:
         return None
-    named = spark.createDataFrame([(p, location(p)) for p in paths], "file_path string, location string")
-    owners = listed.join(broadcast_if_small(named), "file_path").drop("file_path")
-    rows = read_sumstats_files(spark, paths, with_pvalue)
-    rows = rows.withColumn("location", location_column(F.col("file_path"))).drop("file_path")
-    checked = validate_sumstats(rows.join(broadcast_if_small(owners), "location").drop("location"))
-    invalid = Observation()
-    counted = checked.observe(invalid, F.count_if(~F.col("valid")).alias("n"))
-    append_sumstats(counted.where("valid").drop("valid"), table_path)
-    if not invalid.get["n"]:
+    quarantine = reduce(DataFrame.unionByName, odd)
+    count = quarantine.count()
+    if not count:
         return None
-    log.warning("%d rows lie outside the domains and were not stored", invalid.get["n"])
-    return checked.where("not valid").drop("valid")
+    log.warning("%d rows lie outside the domains and were not stored", count)
+    return quarantine
 
 
 def ingest(

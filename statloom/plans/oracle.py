@@ -170,7 +170,7 @@ ORACLES: dict[str, str] = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON p_partkey = s_suppkey""",
     "read_sumstats_tsv": f"WITH {_SUMSTATS} SELECT {_STORED} FROM sumstats",
     "read_sumstats_parquet": f"WITH {_SUMSTATS} SELECT TRAITID, {_STORED} FROM sumstats",
-    "ingest_sumstats": f"WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, {_STORED} FROM by_study",
+    "ingest_sumstats": f"WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, {_STORED}, true AS trait_known FROM by_study",
     "ingest_metadata": f"""WITH {_CATALOG} SELECT project, study, data_id, category,
         CASE category WHEN 'pQTL' THEN upper(trait_desc) ELSE trait_desc END AS trait_desc, total_samples FROM catalog""",
     "natural_order": f"""WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_early
@@ -299,6 +299,18 @@ ORACLES: dict[str, str] = {
         a AS (SELECT {_snpid()} AS SNP, BETA, SE FROM sumstats WHERE TRAITID = (SELECT min(data_id) FROM catalog)),
         b AS (SELECT {_snpid()} AS SNP, BETA, SE FROM sumstats WHERE TRAITID = (SELECT max(data_id) FROM catalog))
         SELECT SNP, a.BETA, a.SE, b.BETA AS BETA_1, b.SE AS SE_1 FROM a FULL OUTER JOIN b USING (SNP)""",
+    "meta_full_outer_all": f"""WITH {_SUMSTATS} SELECT {_snpid()} AS SNP, CAST(count(*) AS INTEGER) AS n_traits, round(sum(BETA), 6) AS sum_beta
+        FROM sumstats GROUP BY 1""",
+    "meta_export": f"""WITH {_SUMSTATS}, {_STUDIES}, {_CATALOG},
+        gwas AS (SELECT b.* FROM by_study b JOIN catalog c ON b.project = c.project AND b.study = c.study AND b.TRAITID = c.data_id
+                 WHERE c.category = 'GWAS'),
+        {_pooled("gwas", "project, study, CHR, POS, EA, NEA")},
+        names AS (SELECT project, study, length(string_agg(data_id, '_' ORDER BY data_id)) AS label_length FROM catalog WHERE category = 'GWAS' GROUP BY ALL)
+        SELECT z.project, z.study, {_snpid("z.")} AS SNP, round(b, 6) AS BETA, round(se, 6) AS SE, CAST(0 AS BIGINT) AS n_copies,
+               CAST(label_length AS INTEGER) AS label_length
+        FROM i2 z JOIN names n2 ON n2.project = z.project AND n2.study = z.study""",
+    "stored_modify": f"""WITH {_CATALOG} SELECT project, study, data_id, CASE category WHEN 'GWAS' THEN 'GRCh38' ELSE build END AS build FROM catalog""",
+    "stored_delete": f"WITH {_CATALOG} SELECT project, study, data_id, category FROM catalog WHERE category <> 'eQTL' AND project <> 'asia'",
     "to_catalog_row": f"""WITH {_CATALOG} SELECT project, study, data_id, category, build, pop1 || '|' || pop2 AS population,
         '{{"desc":"' || trait_desc || '","protein_ids":"' || trait_protein_ids || '"}}' AS trait,
         '{{"samples":"' || CAST(total_samples AS VARCHAR) || '"}}' AS total,
@@ -368,7 +380,8 @@ ORACLES: dict[str, str] = {
     "json_fold": """SELECT c_custkey, '{"key":"' || CAST(c_custkey AS VARCHAR) || '","segment":"' || c_mktsegment || '","none":' ||
         CASE WHEN c_acctbal > 0 THEN '"' || c_name || '"' ELSE 'null' END || '}' AS json FROM customer""",
     "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
-    "nested_key_find": """SELECT event_id, json_extract_string(props, '$.k') AS k, 'x' AS b, CAST(NULL AS VARCHAR) AS absent FROM events""",
+    "nested_key_find": """SELECT event_id, json_extract_string(props, '$.k') AS k, 'x' AS b, CAST(event_id AS VARCHAR) AS deep, '1' AS z,
+        CAST(NULL AS VARCHAR) AS absent FROM events""",
     "locus_name": f"""WITH {_REGIONS} SELECT CAST(CHR AS VARCHAR) || ':' || CAST("START" AS VARCHAR) || ':' || CAST("END" AS VARCHAR) AS locus FROM regions""",
     "clip_low": f"""WITH {_REGIONS} SELECT CHR, CASE WHEN "START" - 500000 < 1 THEN 1 ELSE "START" - 500000 END AS "START" FROM regions""",
     "short_hash": "SELECT c_custkey, substr(sha256(c_name), 1, 10) AS id FROM customer",

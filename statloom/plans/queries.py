@@ -58,7 +58,7 @@ def content_id(spark, sf):
 
 
 def read_regions_bed(spark, sf):
-    from statloom.sources.regions import clean_regions
+    from statloom.sources.regions import read_regions
 
     named = F.concat(F.element_at(F.array(F.lit("chr"), F.lit("CHR"), F.lit("")), (F.col("s_suppkey") % 3 + 1).cast("int")),
                      F.element_at(F.array(F.lit("X"), F.lit("y"), F.lit("M"), F.lit("7"), F.lit("12"), F.lit("_alt")),
@@ -66,25 +66,31 @@ def read_regions_bed(spark, sf):
     raw = views.table(spark, sf, "supplier").select(
         named.alias("CHR"), (F.col("s_suppkey") * 45000).cast("string").alias("START"), (F.col("s_suppkey") * 45000 + 10).cast("string").alias("END")
     )
-    return clean_regions(raw)
+    path = scratch_path(spark, "regions")
+    raw.write.csv(path, sep="\t")
+    return read_regions(spark, path)
 
 
 def read_snp_list(spark, sf):
-    from statloom.sources.regions import clean_snp_list
+    from statloom.sources.regions import read_regions
 
     raw = views.table(spark, sf, "customer").select(
         F.concat(F.lit("chr"), (F.col("c_custkey") % 30).cast("string")).alias("CHR"), F.col("c_custkey").cast("string").alias("POS")
     )
-    return clean_snp_list(raw)
+    path = scratch_path(spark, "points")
+    raw.write.csv(path, header=True)
+    return read_regions(spark, path)
 
 
 def read_trait_snps(spark, sf):
-    from statloom.sources.regions import clean_trait_snps
+    from statloom.sources.regions import load_trait_snps
 
     dense = views.sumstats_dense(spark, sf)
     raw = dense.select(F.col("TRAITID").alias("SOURCE_ID"), F.concat(F.lit("chr"), F.col("CHR").cast("string")).alias("CHR"),
                        "POS", "EA", "NEA")
-    return clean_trait_snps(raw)
+    path = scratch_path(spark, "trait-snps")
+    raw.write.csv(path, header=True)
+    return load_trait_snps(spark, path)
 
 
 def validate_sumstats(spark, sf):
@@ -127,7 +133,11 @@ def read_sumstats_parquet(spark, sf):
 
 
 def ingest_sumstats(spark, sf):
-    """One gzip file per study (a made-up trait each), through the manifest into the table and back."""
+    """One gzip file per study (a made-up trait each), through the manifest into the table and back.
+
+    A trait's id is a hash of file bytes, which no SQL can see; it is compared by what it
+    must be: one id for each study, as the ledger and the catalog have it.
+    """
     path = scratch_path(spark, "ingest")
     rows = views.sumstats_by_study(spark, sf).repartition("project", "study")
     rows.drop("TRAITID").write.partitionBy("project", "study").csv(f"{path}/in", sep="\t", header=True, compression="gzip")
@@ -137,7 +147,12 @@ def ingest_sumstats(spark, sf):
         F.regexp_extract("file_path", "project=([^/]+)", 1).alias("project"), F.regexp_extract("file_path", "study=([^/]+)", 1).alias("study"),
         F.lit("GWAS").alias("category"), "file_path")
     ingesting.ingest(rows, f"{path}/table", f"{path}/catalog")
-    return _shown(sumstats_files.read_table(spark, f"{path}/table").drop("TRAITID"))
+    stored = _shown(sumstats_files.read_table(spark, f"{path}/table"))
+    ledger = ingesting.stored_traits(spark, f"{path}/table")
+    records = ingesting.read_catalog(spark, f"{path}/catalog").select("project", "study", F.col("data_id").alias("TRAITID"))
+    once = ledger.intersect(records).groupBy("project", "study").agg(F.count(F.lit(1)).alias("n"), F.max("TRAITID").alias("own"))
+    known = stored.join(once, ["project", "study"]).withColumn("trait_known", (F.col("n") == 1) & (F.col("TRAITID") == F.col("own")))
+    return known.drop("TRAITID", "n", "own")
 
 
 def ingest_metadata(spark, sf):
@@ -372,6 +387,23 @@ def grouped_meta(spark, sf):
     )
 
 
+def meta_export(spark, sf):
+    """The meta-analysis as `export` runs it, copies looked for, labels kept once per study."""
+    results = exporting.export(views.sumstats_by_study(spark, sf), views.catalog(spark, sf), {"category": "GWAS"}, meta_analysis=True)
+    done = results["meta_analysis"].join(results["meta_labels"].select("project", "study", F.length("TRAITID").alias("label_length")), ["project", "study"])
+    return _rounded(done, "BETA", "SE").select("project", "study", "SNP", "BETA", "SE", "n_copies", "label_length")
+
+
+def meta_full_outer_all(spark, sf):
+    """Every trait of the table side by side; summed up again over its columns."""
+    ids = [r["data_id"] for r in views.catalog(spark, sf).select("data_id").orderBy("data_id").collect()]
+    wide = meta.wide_effects(views.sumstats(spark, sf), ids)
+    betas = ["BETA", *[f"BETA_{i}" for i in range(1, len(ids))]]
+    there = F.aggregate(F.array(*betas), F.lit(0), lambda s, b: s + b.isNotNull().cast("int"))
+    total = F.aggregate(F.array(*betas), F.lit(0.0), lambda s, b: s + F.coalesce(b, F.lit(0.0)))
+    return wide.select("SNP", there.alias("n_traits"), F.round(total, 6).alias("sum_beta"))
+
+
 def meta_with_copies(spark, sf):
     once = views.sumstats(spark, sf)
     pooled = meta.ivw_meta(once.unionByName(once).unionByName(once))
@@ -444,6 +476,25 @@ def catalog_modify(spark, sf):
     return cat.catalog_modify(rows, patch).select("project", "study", "data_id", "build", "updated")
 
 
+def stored_modify(spark, sf):
+    """Changes stored in the catalog and read back."""
+    path = scratch_path(spark, "catalog")
+    sinks.save_catalog(views.catalog(spark, sf), path)
+    rows = ingesting.read_catalog(spark, path)
+    patch = rows.where(F.col("category") == "GWAS").select("project", "study", "data_id", F.lit("GRCh38").alias("build"))
+    ingesting.modify_records(spark, path, patch)
+    return ingesting.read_catalog(spark, path).select("project", "study", "data_id", "build")
+
+
+def stored_delete(spark, sf):
+    """One record in three and all of one project deleted from the stored catalog, partitions and all."""
+    path = scratch_path(spark, "catalog")
+    sinks.save_catalog(views.catalog(spark, sf), path)
+    rows = ingesting.read_catalog(spark, path)
+    ingesting.delete_records(spark, path, rows.where((F.col("category") == "eQTL") | (F.col("project") == "asia")))
+    return ingesting.read_catalog(spark, path).select("project", "study", "data_id", "category")
+
+
 def catalog_delete(spark, sf):
     rows = views.catalog(spark, sf)
     gone = cat.search_catalog(rows, {"category": "eqtl"})
@@ -596,10 +647,12 @@ def json_field(spark, sf):
 
 
 def nested_key_find(spark, sf):
-    nested = F.concat(F.lit('{"z": 1, "outer": {"a": {"b": "x"}, "props": '), F.col("props"), F.lit('}, "k2": "t"}'))
-    rows = views.table(spark, sf, "events").select("event_id", nested.alias("doc"))
-    return rows.select("event_id", text.nested_key(F.col("doc"), "k").alias("k"), text.nested_key(F.col("doc"), "b").alias("b"),
-                       text.nested_key(F.col("doc"), "absent").alias("absent"))
+    """Keys at the top, in the middle and six levels down; of two places the outer or the earlier one counts."""
+    six = F.concat(F.lit('{"z": 1, "l1": {"a": {"b": "x"}, "l2": {"l3": {"l4": {"l5": {"deep": "'), F.col("event_id").cast("string"),
+                   F.lit('", "props": '), F.col("props"), F.lit('}}}}}, "k2": "t", "tail": {"b": "late", "z": "inner"}}'))
+    rows = views.table(spark, sf, "events").select("event_id", six.alias("doc"))
+    found = text.with_nested_keys(rows, "doc", {"k": "k", "b": "b", "deep": "deep", "z": "z", "absent": "absent"})
+    return found.drop("doc")
 
 
 def locus_name(spark, sf):
@@ -661,8 +714,8 @@ QUERIES: dict[str, Query] = {
         region_semi_join_overlapping, region_pvalue_filter, region_flags, chromosome_envelope, lead_snp_search,
         lead_tiebreak, exact_snp_lookup, cis_trans_flanks, trait_link_join, top1_per_window, position_gap,
         gap_cluster_id, best_in_cluster, locus_segments, locus_intervals, locus_breaker, locus_breaker_by_study,
-        ivw_meta, heterogeneity_i2, meta_z_p, grouped_meta, meta_with_copies, pooling_report, meta_full_outer,
-        to_catalog_row, validate_catalog, catalog_upsert, catalog_lookup, catalog_modify, catalog_delete,
+        ivw_meta, heterogeneity_i2, meta_z_p, grouped_meta, meta_with_copies, pooling_report, meta_full_outer, meta_full_outer_all, meta_export,
+        to_catalog_row, validate_catalog, catalog_upsert, catalog_lookup, catalog_modify, catalog_delete, stored_modify, stored_delete,
         search_catalog, search_template, meta_query, scalar_match, data_ids_match, json_match, any_of, all_of,
         distinct_by_id, project_catalog, link_expand, link_id_concat, output_prefix, metadata_broadcast,
         catalog_tree, z_score, norm_p_two_sided, mlog10p_from_z, build_snpid, normalise_chr, is_multiallelic,

@@ -145,10 +145,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog records of `manifest`."""
+    """Catalog records of `manifest`, stored once and read as `read_catalog` reads them."""
     from statloom.operators.catalog import to_catalog_row
+    from statloom.plans.ingest import read_catalog
+    from statloom.sources.sinks import save_catalog
 
-    return to_catalog_row(manifest(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, "catalog")
+    if key not in _stored:
+        path = scratch_path(spark, "records")
+        save_catalog(to_catalog_row(manifest(spark, sf_dir)), path)
+        _stored[key] = path
+    return read_catalog(spark, _stored[key])
 
 
 def _sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,14 +82,6 @@ CATALOG_SCHEMA = T.StructType(
     ]
 )
 
-PUBLICATION_SCHEMA = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("ext_uid", T.StringType()),
-    ]
-)
-
-
 def input_columns(with_pvalue: bool = True) -> list[str]:
     """Columns a summary-statistics file must hold; MLOG10P only when p-values are ingested."""
     return [c for c in INPUT_TYPES if with_pvalue or c != "MLOG10P"]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths handed out, by application.
+_handed_out: dict[str, list[str]] = {}
+
 
 def local_session(cores: int | str = 8, app: str = "statloom") -> SparkSession:
     """A local session for tests and the bench; on a cluster use the cluster's own session."""
@@ -24,12 +29,24 @@ def local_session(cores: int | str = 8, app: str = "statloom") -> SparkSession:
     )
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is set (tests)."""
+    """The cluster's checkpoint folder.
+
+    Only a local master, whose tasks all see the driver's disk, may go without: it gets a folder
+    of its own, which goes when the process ends. Anywhere else a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named is None and current is None:
+        if not _is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="statloom-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     if current is None:
         spark.sparkContext.setCheckpointDir(named)
     elif named is None:
@@ -39,7 +56,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through Spark's file systems; False where there was none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this application wrote to the shared folder; for when no frame that reads it is needed any more."""
+    paths = _handed_out.pop(spark.sparkContext.applicationId, [])
+    return sum(delete_path(spark, p) for p in paths)
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:

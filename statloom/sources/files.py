@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 8 * 1024 * 1024
-MAX_TASKS = 20_000
+#: Session setting: the most tasks that probe listed files, and its default.
+TASKS_SETTING, MAX_TASKS = "spark.statloom.probeTasks", 20_000
+#: Schemes under which Spark reads an object store, and the names that the Python file systems know.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "abfs": "abfs", "hdfs": "hdfs"}
 
 
 def absolute_column(path: Column) -> Column:
@@ -47,7 +50,8 @@ def _open(path: str):
     if place.startswith("/"):
         system, inner = fs.LocalFileSystem(), place
     else:
-        system, inner = fs.FileSystem.from_uri(place)
+        scheme, rest = place.split(":", 1)
+        system, inner = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme.lower(), scheme)}:{rest}")
     if system.get_file_info(inner).type != fs.FileType.File:
         return None
     return system.open_input_stream(inner, compression=None)
@@ -81,9 +85,10 @@ def _probe(batches: Iterator[pd.DataFrame], probe) -> Iterator[pd.DataFrame]:
 
 
 def _per_file(paths: DataFrame, probe) -> DataFrame:
-    """One task per listed file (up to MAX_TASKS), however short the listing itself is."""
+    """One task per listed file (up to the session's limit), however short the listing itself is."""
     listed = paths.select("file_path").distinct()
-    spread = listed.repartition(max(1, min(listed.count(), MAX_TASKS)))
+    most = int(paths.sparkSession.conf.get(TASKS_SETTING, str(MAX_TASKS)))
+    spread = listed.repartition(max(1, min(listed.count(), most)))
     return spread.mapInPandas(lambda batches: _probe(batches, probe), "file_path string, found string")
 
 
@@ -99,11 +104,44 @@ def content_ids(paths: DataFrame, length: int | None = 10) -> DataFrame:
     return _per_file(paths, _content_digest).select("file_path", cut.alias("data_id"))
 
 
-def gzip_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Distinct header line to the files that have it; only the first block of a file is read."""
+def _parquet_columns(path: str) -> str | None:
+    """Column names and types in a Parquet file's footer, as JSON; of a folder, those of its first file."""
+    import json
+
+    from pyarrow import dataset, fs
+
+    place = location(path)
+    if place.startswith("/"):
+        system, inner = fs.LocalFileSystem(), place
+    else:
+        scheme, rest = place.split(":", 1)
+        system, inner = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme.lower(), scheme)}:{rest}")
+    if system.get_file_info(inner).type == fs.FileType.NotFound:
+        return None
+    schema = dataset.dataset(inner, filesystem=system, format="parquet").schema
+    return json.dumps([[f.name, str(f.type)] for f in schema])
+
+
+def _grouped(spark: SparkSession, paths: list[str], probe) -> dict[str, list[str]]:
+    """What a probe finds to the files it finds it in; an absent file is an error that names it."""
     listed = spark.createDataFrame([(p,) for p in paths], "file_path string")
-    found = _per_file(listed, _gzip_header).where(F.col("found").isNotNull())
     grouped: dict[str, list[str]] = {}
-    for row in found.collect():
-        grouped.setdefault(row["found"], []).append(row["file_path"])
-    return {header: sorted(files) for header, files in sorted(grouped.items())}
+    absent = []
+    for row in _per_file(listed, probe).collect():
+        if row["found"] is None:
+            absent.append(row["file_path"])
+        else:
+            grouped.setdefault(row["found"], []).append(row["file_path"])
+    if absent:
+        raise ValueError(f"{len(absent)} listed files do not exist: {', '.join(sorted(absent))}")
+    return {found: sorted(files) for found, files in sorted(grouped.items())}
+
+
+def gzip_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Distinct header line to the files that have it; only the first block of a file is read."""
+    return _grouped(spark, paths, _gzip_header)
+
+
+def parquet_layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Distinct columns (JSON list of name and type) to the Parquet files that have them; only footers are read."""
+    return _grouped(spark, paths, _parquet_columns)

@@ -15,10 +15,10 @@ def read_manifest(spark: SparkSession, path: str, delimiter: str = "\t") -> Data
         raw = spark.read.csv(path, sep=delimiter, header=True, mode="FAILFAST")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise ValueError(f"File not found: {path}") from error
-        raise ValueError(f"Error parsing the file {path}") from error
+            raise ValueError(f"the manifest {path} does not exist") from error
+        raise ValueError(f"the manifest {path} cannot be read as a table") from error
     if not raw.columns:
-        raise ValueError(f"No data found in the file {path}")
+        raise ValueError(f"the manifest {path} is empty")
     return raw.select(*[F.col(f"`{c}`").cast(MANIFEST_TYPES.get(c, "string")).alias(c) for c in raw.columns])
 
 
@@ -26,5 +26,5 @@ def require_columns(manifest: DataFrame) -> DataFrame:
     """The manifest itself, or an error naming the required columns it lacks."""
     missing = [c for c in REQUIRED_MANIFEST_COLUMNS if c not in manifest.columns]
     if missing:
-        raise ValueError(f"Missing column(s) in the input file: {', '.join(missing)}")
+        raise ValueError(f"the manifest lacks the columns {', '.join(missing)}")
     return manifest

@@ -41,7 +41,7 @@ def clean_trait_snps(raw: DataFrame) -> DataFrame:
 def _warn_dropped(raw: DataFrame, path: str) -> None:
     dropped = raw.where(normalise_chr(F.col("CHR")).isNull()).count()
     if dropped:
-        log.warning("Removed %d rows with non-numeric CHR values from %s", dropped, path)
+        log.warning("%s: %d rows name a chromosome outside 1 to 22, X and Y and were left out", path, dropped)
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -58,21 +58,24 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         _warn_dropped(raw, path)
         return clean_snp_list(raw.select("CHR", "POS"))
-    raise ValueError(f"'{path}' should be in BED format or a SNP list (CHR,POS)")
+    raise ValueError(f"{path} is neither a list of regions (chromosome, start, end) nor of points (CHR,POS)")
 
 
-def read_trait_snps(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of SOURCE_ID,CHR,POS,EA,NEA (and optionally CIS_TRANS).
-
-    The whole file is refused when any allele pair is badly ordered.
-    """
+def load_trait_snps(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of SOURCE_ID,CHR,POS,EA,NEA (and optionally CIS_TRANS), with `valid`, the allele-order test."""
     raw = spark.read.csv(path, header=True)
     missing = [c for c in TRAIT_SNP_COLUMNS if c not in raw.columns]
     if missing:
-        raise ValueError(f"'{path}' should have the format {','.join(TRAIT_SNP_COLUMNS)}; missing {missing}")
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)} of a list of trait SNPs")
     _warn_dropped(raw, path)
-    rows = clean_trait_snps(raw)
-    wrong = rows.where("not valid").limit(5).collect()
-    if wrong:
-        raise ValueError(f"Invalid allele ordering in '{path}', for example {[tuple(r) for r in wrong]}")
+    return clean_trait_snps(raw)
+
+
+def read_trait_snps(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `load_trait_snps`; the whole file is refused when any allele pair is badly ordered."""
+    rows = load_trait_snps(spark, path)
+    wrong = rows.where("not valid").drop("valid")
+    count = wrong.count()
+    if count:
+        raise ValueError(f"{path}: {count} rows have badly ordered alleles, among them {tuple(wrong.first())}")
     return rows.drop("valid")

@@ -7,8 +7,8 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.joins import data_bytes, fits
 from statloom.schemas import DIMENSIONS, GROUP_COLUMNS
+from statloom.session import cut_lineage, delete_path
 
 log = logging.getLogger(__name__)
 
@@ -16,23 +16,34 @@ FORMATS = ("parquet", "csv.gz", "csv")
 
 
 def append_sumstats(df: DataFrame, path: str) -> None:
-    """Append to the table: partitioned by project and study, sorted by CHR, TRAITID, POS.
+    """Append to the table: partitioned by project and study, files sorted by CHR, TRAITID, POS.
 
-    Ranges are cut on the full sort key and a row number, so a study, chromosome or
-    even one much-copied position is spread over many tasks, and each task writes
-    one or few files with narrow CHR and POS statistics.
+    Rows are dealt by study and chromosome with the rebalance hint, which needs no sampling pass: the
+    input is read once, and Spark splits large parts and joins small ones by their measured size. So files have
+    bounded sizes, whatever study or chromosome holds most rows.
     """
     groups = [c for c in GROUP_COLUMNS if c in df.columns]
-    key = [*groups, *DIMENSIONS]
-    spread = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*key, "_row").drop("_row")
-    ordered = spread.sortWithinPartitions(*key)
+    ordered = df.hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, *DIMENSIONS)
     ordered.write.partitionBy(*groups).option("compression", "zstd").mode("append").parquet(path)
 
 
-def save_catalog(df: DataFrame, path: str) -> None:
-    """Write records partitioned by project and study, replacing just the partitions present."""
-    writer = df.write.partitionBy(*GROUP_COLUMNS).option("partitionOverwriteMode", "dynamic")
+def save_catalog(df: DataFrame, path: str, touched: DataFrame | None = None) -> None:
+    """Write records partitioned by project and study, replacing the partitions present and those `touched`.
+
+    The records are written to the shared folder first, so they may come from the very
+    partitions they replace. A touched partition without records left is deleted.
+    """
+    spark = df.sparkSession
+    ready = cut_lineage(df, "catalog")
+    writer = ready.write.partitionBy(*GROUP_COLUMNS).option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").parquet(path)
+    if touched is None:
+        return
+    emptied = touched.select(*GROUP_COLUMNS).distinct().join(ready, list(GROUP_COLUMNS), "left_anti")
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in emptied.toLocalIterator():
+        parts = (f"{c}={escape(row[c]) if row[c] else '__HIVE_DEFAULT_PARTITION__'}" for c in GROUP_COLUMNS)
+        delete_path(spark, "/".join([path.rstrip("/"), *parts]))
 
 
 def _write(df: DataFrame, target: str, file_format: str, partition_by: tuple[str, ...]) -> None:
@@ -56,7 +67,7 @@ def write_result(df: DataFrame, path: str, file_format: str = "parquet", partiti
     A frame without rows still leaves a file with its header or schema.
     """
     if file_format not in FORMATS:
-        raise ValueError("Format must be either 'parquet', 'csv.gz', or 'csv'")
+        raise ValueError(f"unknown file format {file_format!r}; choose from {', '.join(FORMATS)}")
     target = f"{path}.{file_format}"
     _write(df, target, file_format, partition_by)
     if partition_by and not _has_files(df, target):
@@ -65,16 +76,11 @@ def write_result(df: DataFrame, path: str, file_format: str = "parquet", partiti
     return target
 
 
-def write_if_any(df: DataFrame, path: str, file_format: str = "parquet", partition_by: tuple[str, ...] = ()) -> str | None:
-    """Write only a frame that has rows."""
-    return None if df.isEmpty() else write_result(df, path, file_format, partition_by)
-
-
 def write_partitioned_by_trait(df: DataFrame, names: DataFrame, path: str, file_format: str = "parquet") -> str:
     """One job for all traits: a directory per output name below `<path>.<format>`.
 
-    `names` maps the trait keys to `output_prefix`. Rows are ranged by name and
-    place, so a trait is written by as many tasks as its size needs.
+    `names` maps the trait keys to `output_prefix`. Rows are dealt by name with the rebalance hint, so the
+    analysis runs once, and a trait is written by as many tasks as its size needs.
     """
     from statloom.operators.joins import broadcast_if_small
 
@@ -82,8 +88,8 @@ def write_partitioned_by_trait(df: DataFrame, names: DataFrame, path: str, file_
     keyed = names.withColumnRenamed("data_id", "TRAITID").select(*groups, "TRAITID", "output_prefix")
     named = df.join(broadcast_if_small(keyed), [*groups, "TRAITID"])
     place = [c for c in ("CHR", "POS", "SOURCEID_SNP") if c in df.columns]
-    ranged = named.repartitionByRange("output_prefix", *place).sortWithinPartitions("output_prefix", *place)
-    return write_result(ranged, path, file_format, ("output_prefix",))
+    dealt = named.hint("rebalance", "output_prefix").sortWithinPartitions("output_prefix", *place)
+    return write_result(dealt, path, file_format, ("output_prefix",))
 
 
 def write_metadata_sidecar(meta: DataFrame, prefix: str) -> str:
@@ -91,4 +97,4 @@ def write_metadata_sidecar(meta: DataFrame, prefix: str) -> str:
     flat = meta.select(
         *[F.to_json(c).alias(c) if t.startswith(("array", "map")) else F.col(c) for c, t in meta.dtypes]
     )
-    return write_result(flat.coalesce(1) if fits(data_bytes(flat)) else flat, f"{prefix}_meta", "csv")
+    return write_result(flat, f"{prefix}_meta", "csv")

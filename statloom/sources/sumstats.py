@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.schemas import INPUT_TYPES, input_columns
-from statloom.sources.files import gzip_headers
+from statloom.sources.files import gzip_headers, parquet_layouts
 
 
 def cast_sumstats(df: DataFrame, with_pvalue: bool = True) -> DataFrame:
     """The required columns in their declared types; MLOG10P only when p-values are ingested."""
     missing = [c for c in input_columns(with_pvalue) if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the input lacks the columns {', '.join(missing)}")
     extra = [c for c in ("TRAITID", "file_path") if c in df.columns]
     return df.select(*extra, *[F.col(c).cast(INPUT_TYPES[c]).alias(c) for c in input_columns(with_pvalue)])
 
@@ -33,20 +34,34 @@ def read_sumstats_tsv(spark: SparkSession, paths: Sequence[str], with_pvalue: bo
     parts = []
     for header, files in gzip_headers(spark, list(paths)).items():
         names = header.split("\t")
-        missing = [c for c in input_columns(with_pvalue) if c not in names]
-        if missing:
-            raise ValueError(f"Missing required columns in tsv.gz file {files[0]}: {missing}")
+        _require(names, files, with_pvalue)
         schema = ", ".join(f"`{n}` string" for n in names)
         raw = spark.read.csv(files, sep="\t", header=True, schema=schema, nullValue="NA")
         parts.append(cast_sumstats(_with_path(raw), with_pvalue))
     if not parts:
-        raise ValueError("no readable tsv.gz file")
+        raise ValueError("there is no tsv.gz file to read")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _require(names: Sequence[str], files: Sequence[str], with_pvalue: bool) -> None:
+    missing = [c for c in input_columns(with_pvalue) if c not in names]
+    if missing:
+        raise ValueError(f"the columns {', '.join(missing)} are absent from {len(files)} files, such as {files[0]}")
+
+
 def read_sumstats_parquet(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True) -> DataFrame:
-    """Parquet files; only the required columns are read."""
-    return cast_sumstats(_with_path(spark.read.parquet(*paths)), with_pvalue)
+    """Parquet files; only the required columns are read.
+
+    Every footer is looked at, on the executors: a file that lacks a required column is an error, and
+    files are read together per distinct layout.
+    """
+    parts = []
+    for layout, files in parquet_layouts(spark, list(paths)).items():
+        _require([name for name, _ in json.loads(layout)], files, with_pvalue)
+        parts.append(cast_sumstats(_with_path(spark.read.parquet(*files)), with_pvalue))
+    if not parts:
+        raise ValueError("there is no Parquet file to read")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True) -> DataFrame:
@@ -55,7 +70,7 @@ def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue:
     for path in paths:
         kind = path.lower().rsplit(".", 1)[-1]
         if kind not in by_kind:
-            raise ValueError(f"Unsupported file format: {path}. Only .parquet and .tsv.gz are supported.")
+            raise ValueError(f"cannot read {path}: a file of summary statistics ends in .parquet or .tsv.gz")
         by_kind[kind].append(path)
     parts = []
     if by_kind["parquet"]:
@@ -63,10 +78,13 @@ def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue:
     if by_kind["gz"]:
         parts.append(read_sumstats_tsv(spark, by_kind["gz"], with_pvalue))
     if not parts:
-        raise ValueError("no file to read")
+        raise ValueError("no file is listed")
     return reduce(DataFrame.unionByName, parts)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, partitioned by project and study."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """The stored table, partitioned by project and study.
+
+    Its columns are those of one footer: ingest keeps to one layout, so no other footer is read to plan a query.
+    """
+    return spark.read.option("mergeSchema", "false").parquet(path)

@@ -338,7 +338,7 @@ def test_manhattan(spark):
     assert all(r["genome_pos"] == offset[r["CHR"]] + r["POS"] and r["above_threshold"] == (r["MLOG10P"] > 7) for r in got)
     with pytest.raises(ValueError, match="40"):
         summaries.manhattan_table(frame(spark, rows[:39]))
-    with pytest.raises(ValueError, match="must contain"):
+    with pytest.raises(ValueError, match="needs the columns"):
         summaries.manhattan_table(frame(spark, rows).drop("MLOG10P"))
 
 
@@ -349,7 +349,7 @@ def test_result_shape(spark):
     assert (got.first()["SNPID"], got.first()["MLOG10P"]) == ("1:1000:A:C", pytest.approx(1.3419861, abs=1e-6))
     with pytest.raises(KeyError, match="EA, NEA"):
         slices.with_snpid(rows.drop("EA", "NEA"))
-    with pytest.raises(ValueError, match="Attribute NOPE not found"):
+    with pytest.raises(ValueError, match="NOPE"):
         slices.select_attributes(rows, "BETA,NOPE")
     assert slices.full_stats(rows, attributes="BETA").columns == ["SNPID", "CHR", "TRAITID", "POS", "BETA"]
 
@@ -365,18 +365,59 @@ def test_thresholds_are_strict_and_can_be_off(spark):
 def test_domains(spark):
     rows = [(c, "t", p, "A", "C", 0.1, 0.1, 0.5, 1.0) for c, p in ((1, 1), (24, 250_000_000), (0, 5), (25, 5), (1, 0), (1, 250_000_001))]
     rows.append((1, "t", 7, "A", None, 0.1, 0.1, 0.5, 1.0))
-    good, bad = slices.split_valid(frame(spark, rows))
-    assert (good.count(), bad.count()) == (2, 5)
+    checked = slices.validate_sumstats(frame(spark, rows))
+    assert (checked.where("valid").count(), checked.where("not valid").count()) == (2, 5)
 
 
-def test_long_trait_selection_uses_a_join(spark, monkeypatch):
-    monkeypatch.setattr(slices, "MAX_LISTED_TRAITS", 1)
+@pytest.mark.parametrize("more", [0, 10, 2_000])
+def test_trait_selection_of_any_size(spark, more):
+    """Null keys select nothing, and one more trait in the list changes nothing."""
     rows = random_rows(19)
-    chosen = spark.createDataFrame([("t1",), ("t3",)], "data_id string")
-    got = slices.in_traits(frame(spark, rows), chosen)
+    listed = [("t1",), ("t3",), (None,), *[(f"absent{i}",) for i in range(more)]]
+    got = slices.in_traits(frame(spark, rows), spark.createDataFrame(listed, "data_id string"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in rows if r[1] in ("t1", "t3"))
 
 
+def test_spans_fade_with_the_list(spark):
+    spans = [(1, 10, 20), (1, 15, 30), (1, 31, 40), (1, 100, 110), (1, 500, 510), (2, 5, 9)]
+    assert joins.merge_spans(spans, 10) == [(1, 10, 40), (1, 100, 110), (1, 500, 510), (2, 5, 9)]
+    assert joins.merge_spans(spans, 3) == [(1, 10, 110), (1, 500, 510), (2, 5, 9)]
+    assert joins.merge_spans(spans, 1) == [(1, 10, 510), (2, 5, 9)]
+    many = spark.createDataFrame([(1 + i % 3, i * 70_000, i * 70_000 + 500) for i in range(1000)], "CHR int, START int, END int")
+    seen = joins.profile_ranges(many, "START", "END", 100_000)
+    assert 3 <= len(seen.spans) <= 64
+    for row in many.collect():
+        assert any(c == row.CHR and lo <= max(row.START, 1) and row.END <= hi for c, lo, hi in seen.spans)
+    plan = frame(spark, random_rows(3)).where(seen.nearby())._jdf.queryExecution().optimizedPlan().toString()
+    assert "POS" in plan and "CHR" in plan
+
+
+def test_long_region_list_reaches_the_scan(spark, tmp_path):
+    frame(spark, random_rows(22)).write.parquet(f"{tmp_path}/t")
+    listed = spark.createDataFrame([(1 + i % 4, i * 40_000, i * 40_000 + 900) for i in range(1000)], "CHR int, START int, END int")
+    found = regions.region_semi_join(spark.read.parquet(f"{tmp_path}/t"), listed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(POS" in plan
+
+
+def test_lead_search_reads_the_table_once(spark, tmp_path):
+    from statloom.operators import leads
+
+    frame(spark, random_rows(23)).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    snps = table.select("TRAITID", F.col("TRAITID").alias("SOURCE_ID"), "CHR", "POS", "EA", "NEA")
+    plan = leads.lead_snp_search(table, snps)._jdf.queryExecution().executedPlan().toString()
+    assert f"{tmp_path}/t" not in plan  # what is left reads the written windows and variants
+
+
+def test_copies_are_told(spark):
+    row = (1, "t1", 10, "A", "C", 0.5, 0.2, 0.3, 5.0)
+    pooled = meta.ivw_meta(frame(spark, [row, row, (1, "t1", 10, "A", "C", 0.4, 0.1, 0.3, 5.0), (1, "t2", 10, "A", "C", 0.1, 0.1, 0.3, 1.0)])).first()
+    assert (pooled.n_traits, pooled.n_copies) == (2, 2) and pooled.BETA == pytest.approx(0.25)
+    plan = meta.ivw_meta(frame(spark, [row]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1
+
+
 @pytest.fixture
 def no_broadcast(spark, monkeypatch):
     """Every size check fails and Spark's own threshold is off: all joins shuffle."""

@@ -82,10 +82,22 @@ def test_text_helpers(spark):
         ('{"x": {"y": {"k": "deep"}}, "z": {"k": "later"}}', "k", "deep"),
         ('{"x": {"q": null}, "z": {"q": "found"}}', "q", "found"),
         ('{"x": [1, 2], "y": "text"}', "none", None),
+        ('{"a": {"b": {"c": {"d": {"k": "five"}}}}}', "k", "five"),
+        ('{"a": {"b": {"c": {"d": {"e": {"f": {"g": {"k": "eight"}}}}}}}, "z": {"k": "late"}}', "k", "eight"),
+        ('{"a{": "}}{{", "b": {"k": "quoted \\" brace {"}}', "k", 'quoted " brace {'),
     ],
 )
 def test_nested_key(spark, doc, key, value):
-    assert one(spark, text.nested_key(F.lit(doc), key)) == value
+    df = spark.createDataFrame([(doc,), (None,), ("{}",)], "doc string")
+    found = {r.doc: r.found for r in text.with_nested_keys(df, "doc", {"found": key}).collect()}
+    assert found == {doc: value, None: None, "{}": None}
+
+
+def test_nested_key_never_passes_over_a_level(spark):
+    deep = F.lit('{"a": {"b": {"k": 1}}}')
+    assert one(spark, text.json_depth(deep)) == 3 and one(spark, text.nested_key(deep, "k", 3)) == "1"
+    with pytest.raises(Exception, match="deeper"):
+        one(spark, text.nested_key(deep, "k", 2))
 
 
 def test_ancestry(spark):

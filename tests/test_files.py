@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 
 import pytest
@@ -138,15 +139,15 @@ def test_rows_outside_the_domain_are_returned(spark, tmp_path):
 
 
 def test_reader_errors(spark, tmp_path):
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="cannot read"):
         read_sumstats_files(spark, ["x.txt"])
     path = write_gz(tmp_path / "m.tsv.gz", some_rows(7), COLUMNS[:5])
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns|absent from"):
         read_sumstats_files(spark, [path])
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="does not exist"):
         read_manifest(spark, f"{tmp_path}/none.tsv")
     (tmp_path / "empty.tsv").write_text("")
-    with pytest.raises(ValueError, match="No data"):
+    with pytest.raises(ValueError, match="is empty"):
         read_manifest(spark, f"{tmp_path}/empty.tsv")
     (tmp_path / "short.csv").write_text("project,study\na,b\n")
     short = read_manifest(spark, f"{tmp_path}/short.csv", ",")
@@ -163,7 +164,7 @@ def test_region_files(spark, tmp_path):
     assert sorted(tuple(r) for r in read_regions(spark, str(snps)).collect()) == [(3, 7, 8), (23, 500, 501)]
     wrong = tmp_path / "w.txt"
     wrong.write_text("what,ever\n1,2\n")
-    with pytest.raises(ValueError, match="BED"):
+    with pytest.raises(ValueError, match="neither"):
         read_regions(spark, str(wrong))
 
 
@@ -174,10 +175,10 @@ def test_trait_snp_files(spark, tmp_path):
     assert sorted((r["SOURCE_ID"], r["CHR"], r["POS"], r["CIS_TRANS"]) for r in got.collect()) == [("s", 1, 5, "cis"), ("s", 23, 6, "trans")]
     bad = tmp_path / "b.csv"
     bad.write_text("SOURCE_ID,CHR,POS,EA,NEA\ns,1,5,T,A\n")
-    with pytest.raises(ValueError, match="allele ordering"):
+    with pytest.raises(ValueError, match="badly ordered"):
         read_trait_snps(spark, str(bad))
     bad.write_text("SOURCE_ID,CHR,POS\ns,1,5\n")
-    with pytest.raises(ValueError, match="SOURCE_ID,CHR,POS,EA,NEA"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         read_trait_snps(spark, str(bad))
 
 
@@ -191,8 +192,7 @@ def test_formats(spark, tmp_path, file_format):
     empty = sinks.write_result(df.where("x > 5"), f"{tmp_path}/e", file_format)
     back = spark.read.parquet(empty) if file_format == "parquet" else spark.read.csv(empty, header=True)
     assert back.columns == ["x", "y"] and back.isEmpty()
-    assert sinks.write_if_any(df.where("x > 5"), f"{tmp_path}/n", file_format) is None
-    with pytest.raises(ValueError, match="Format must be"):
+    with pytest.raises(ValueError, match="unknown file format"):
         sinks.write_result(df, f"{tmp_path}/o", "xlsx")
 
 
@@ -300,7 +300,7 @@ def test_stored_files_are_sorted_and_split(spark, tmp_path):
     rows = [("p", rng.choice(["s", "s2"]), rng.choice([1, 2, 3]), rng.choice(["t", "u"]), rng.randint(1, 10_000), float(i)) for i in range(4_000)]
     rows += [("p", "s", 1, "t", 77, float(i)) for i in range(2_000)]
     df = spark.createDataFrame(rows, "project string, study string, CHR int, TRAITID string, POS int, BETA double").repartition(4)
-    with_small_parts = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    with_small_parts = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
     for name, value in with_small_parts.items():
         spark.conf.set(name, value)
     try:
@@ -325,3 +325,109 @@ def test_an_empty_partitioned_result_keeps_its_columns(spark, tmp_path, file_for
     target = sinks.write_result(df, f"{tmp_path}/o", file_format, ("y",))
     back = spark.read.parquet(target) if file_format == "parquet" else spark.read.csv(target, header=True)
     assert back.columns == ["x", "y"] and back.isEmpty()
+
+
+def _rows(spark, n=3):
+    return spark.createDataFrame([(1, 10 + i, "A", "C", 0.3, 0.1, 0.5, 2.0) for i in range(n)], "CHR int, POS int, EA string, NEA string, EAF float, SE float, BETA float, MLOG10P float")
+
+
+def test_absent_and_odd_files_are_named(spark, tmp_path):
+    from statloom.sources.sumstats import read_sumstats_files
+
+    _rows(spark).coalesce(1).write.parquet(f"{tmp_path}/a.parquet")
+    _rows(spark).drop("MLOG10P").coalesce(1).write.parquet(f"{tmp_path}/b.parquet")
+    _rows(spark).select("BETA", "MLOG10P", "SE", "EAF", "NEA", "EA", "POS", "CHR").withColumn("N", F.lit(1)).write.parquet(f"{tmp_path}/c.parquet")
+    for order in (["a", "b"], ["b", "a"]):
+        with pytest.raises(ValueError, match="MLOG10P.*b.parquet"):
+            read_sumstats_files(spark, [f"{tmp_path}/{x}.parquet" for x in order])
+    with pytest.raises(ValueError, match="nowhere.parquet"):
+        read_sumstats_files(spark, [f"{tmp_path}/a.parquet", f"{tmp_path}/nowhere.parquet"])
+    with pytest.raises(ValueError, match="gone.tsv.gz"):
+        read_sumstats_files(spark, [f"{tmp_path}/gone.tsv.gz"])
+    both = read_sumstats_files(spark, [f"{tmp_path}/a.parquet", f"{tmp_path}/c.parquet"])
+    assert both.count() == 6 and both.where("MLOG10P IS NULL").count() == 0
+
+
+def _manifest(spark, tmp_path, rows_by_name, project="P", study="S"):
+    listed = []
+    for name, rows in rows_by_name.items():
+        rows.coalesce(1).write.csv(f"{tmp_path}/{name}", sep="\t", header=True, compression="gzip")
+        listed += [(project, study, "GWAS", str(f)) for f in (tmp_path / name).glob("*.gz")]
+    return spark.createDataFrame(listed, "project string, study string, category string, file_path string")
+
+
+def test_quarantine_counts_each_row_once(spark, tmp_path, caplog):
+    from statloom.plans.ingest import ingest, stored_traits
+    from statloom.sources.sumstats import read_table
+
+    odd = _rows(spark, 7).withColumn("POS", F.lit(-1))
+    files = _manifest(spark, tmp_path, {"one": _rows(spark, 20).unionByName(odd), "two": _rows(spark, 5)})
+    files = files.unionByName(spark.createDataFrame([("P", "S", "GWAS", f"{tmp_path}/lost{i}.gz") for i in range(30)], files.schema))
+    with caplog.at_level("WARNING"):
+        left = ingest(files, f"{tmp_path}/table", f"{tmp_path}/catalog")
+    said = caplog.text
+    assert left.count() == 7 and "7 rows lie outside" in said
+    assert "30 files that do not exist" in said and all(f"lost{i}.gz" in said for i in range(30))
+    table = read_table(spark, f"{tmp_path}/table")
+    assert table.count() == 25 and stored_traits(spark, f"{tmp_path}/table").count() == 2
+    assert ingest(files, f"{tmp_path}/table", f"{tmp_path}/catalog", dedup=True) is None
+    assert read_table(spark, f"{tmp_path}/table").count() == 25
+    with pytest.raises(ValueError, match="with p-values"):
+        ingest(files, f"{tmp_path}/table", f"{tmp_path}/catalog", what="data", with_pvalue=False)
+
+
+def test_files_in_several_jobs(spark, tmp_path):
+    from statloom.plans.ingest import ingest_sumstats, known_files
+    from statloom.sources.sumstats import read_table
+
+    files = known_files(_manifest(spark, tmp_path, {f"f{i}": _rows(spark, 4 + i) for i in range(5)}))
+    assert ingest_sumstats(files, f"{tmp_path}/table", files_per_job=2) is None
+    assert read_table(spark, f"{tmp_path}/table").count() == 30
+
+
+def test_stored_changes(spark, tmp_path):
+    from statloom.plans.ingest import delete_records, modify_records, read_catalog
+    from statloom.schemas import CATALOG_SCHEMA
+
+    names = CATALOG_SCHEMA.names
+    rows = [dict.fromkeys(names) | {"project": p, "study": s, "data_id": f"d{i}", "build": "GRCh37"} for p, s in (("a", "x"), ("a", "y=1 z"), ("b", "x")) for i in range(10)]
+    path = f"{tmp_path}/catalog"
+    sinks.save_catalog(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], CATALOG_SCHEMA), path)
+    patch = spark.createDataFrame([("a", "x", "d3", "GRCh38"), ("a", "x", "none", "GRCh38"), ("b", "x", "d1", None)], "project string, study string, data_id string, build string")
+    assert modify_records(spark, path, patch) == 1
+    assert [(r.project, r.data_id) for r in read_catalog(spark, path).where("build = 'GRCh38'").collect()] == [("a", "d3")]
+    stored = read_catalog(spark, path)
+    assert delete_records(spark, path, stored.where("study = 'y=1 z' OR (project = 'b' AND data_id < 'd5')")) == 15
+    left = read_catalog(spark, path)
+    assert left.count() == 15 and left.where("study = 'y=1 z'").isEmpty()
+    assert delete_records(spark, path, left) == 15
+
+
+def test_shared_folder_is_needed_off_local(spark, monkeypatch):
+    from statloom import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere())
+
+
+def test_scratch_goes_on_request(spark, monkeypatch):
+    from statloom import session
+
+    monkeypatch.setattr(session, "_handed_out", {})
+    df = session.cut_lineage(spark.range(5), "gone")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.isdir(path)
+
+
+def test_object_store_schemes():
+    from statloom.sources.files import SCHEMES, location
+
+    assert location("s3a://bucket/key") == "s3a://bucket/key" and SCHEMES["s3a"] == "s3"
