@@ -92,7 +92,7 @@ class Vocabulary:
         return out
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
@@ -129,19 +129,26 @@ def _unpack_words(payload: bytes) -> list[str]:
     return out
 
 
+class _Numbers(dict):
+    """Words to numbers in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class _Block:
     """Documents whose words are numbered together, common words first."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.doc_ids: list[int | None] = []
         self.docs: list[np.ndarray] = []
         self.size = 0
         self.seal = hashlib.blake2b(digest_size=8)
 
     def add(self, doc_id: int | None, text: str, words: list[str]) -> None:
-        numbers = self.numbers
-        self.docs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+        self.docs.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
         self.doc_ids.append(doc_id)
         self.size += len(text)
         self.seal.update(b"%d:%d:" % (doc_id or 0, len(text)) + text.encode())
@@ -291,6 +298,18 @@ def _id_lists(doc_ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
 
 
+def _coded_blocks(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str) -> DataFrame:
+    """The rows of all blocks, their words encoded, dealt and sorted for `_assemble`."""
+    rows = texts(docs, id_col, text_col)
+    buckets = int(min(max(rows.count() // BUCKET_DOCUMENTS, 16), MOST_BUCKETS))
+    of_words = rows.mapInArrow(_blocks(vocabulary_path, buckets, True), _BLOCKS)
+    of_documents = rows.mapInArrow(_blocks(vocabulary_path, buckets, False), _BLOCKS)
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_bucket = of_words.repartition(max(spread, min(buckets, 4 * spread)), "bucket").sortWithinPartitions("bucket")
+    together = of_documents.unionByName(by_bucket.mapInArrow(_encode_words(vocabulary_path), _BLOCKS))
+    return together.repartition("block").sortWithinPartitions("block", F.desc("bucket"))
+
+
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row: those of the whole text, special strings inside it included.
 
@@ -299,15 +318,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     with a word's frequency. Texts are read twice, once for the words and once for the documents; a block's name is a
     hash of its contents, so that documents read in another order the second time raise an error.
     """
-    rows = texts(docs, id_col, text_col)
-    buckets = int(min(max(rows.count() // BUCKET_DOCUMENTS, 16), MOST_BUCKETS))
-    of_words = rows.mapInArrow(_blocks(vocabulary_path, buckets, True), _BLOCKS)
-    of_documents = rows.mapInArrow(_blocks(vocabulary_path, buckets, False), _BLOCKS)
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_bucket = of_words.repartition(max(spread, min(buckets, 4 * spread)), "bucket").sortWithinPartitions("bucket")
-    together = of_documents.unionByName(by_bucket.mapInArrow(_encode_words(vocabulary_path), _BLOCKS))
-    by_block = together.repartition("block").sortWithinPartitions("block", F.desc("bucket"))
-    return by_block.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return _coded_blocks(docs, vocabulary_path, id_col, text_col).mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -327,39 +338,53 @@ def _joined(table: pa.Array, ids: pa.Array, offsets: np.ndarray) -> tuple[memory
     return memoryview(taken.buffers()[2] or b""), ends[offsets]
 
 
-def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, ids and text of every row: the pieces of its ids, specials kept, bytes that are no UTF-8 replaced.
-
-    A row without ids has an empty text.
-    """
-
+def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _piece_table(vocabulary_path)
+        pieces = _piece_table(path)
         for batch in batches:
             lists = batch.column("ids")
-            ids, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy())])
-            data, at = _joined(pieces, ids, offsets)
+            length = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
+            data, at = _joined(pieces, lists.flatten(), np.concatenate([[0], np.cumsum(length)]))
             text = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return run
 
 
-def decoded_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded again."""
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimals = _decimal_table(vocabulary_path)
+def _digest(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimals = _decimal_table(path)
         for batch in batches:
             lists = batch.column("ids")
             length = pa.compute.list_value_length(lists).to_numpy()
-            offsets = np.concatenate([[0], np.cumsum(length)])
-            data, at = _joined(decimals, lists.flatten(), offsets)
-            sums = [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            texts_ = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column("text")]
+            data, at = _joined(decimals, lists.flatten(), np.concatenate([[0], np.cumsum(length)]))
+            of_ids = [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            of_text = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(length, pa.int64()), pa.array(sums), pa.array(texts_)],
+                [batch.column("doc_id"), pa.array(length, pa.int64()), pa.array(of_ids), pa.array(of_text)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    decoded = decode(encode(docs, vocabulary_path), vocabulary_path)
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
+
+
+def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, ids and text of every row: the pieces of its ids, specials kept, bytes that are no UTF-8 replaced.
+
+    A row without ids has an empty text.
+    """
+    return encoded.mapInArrow(_decode(vocabulary_path), "doc_id long, ids array<int>, text string")
+
+
+def decoded_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded again.
+
+    The steps after the last shuffle run one after the other in one Python worker.
+    """
+    back, digest = _decode(vocabulary_path), _digest(vocabulary_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return digest(back(_assemble(batches)))
+
+    blocks = _coded_blocks(docs, vocabulary_path, "doc_id", "text")
+    return blocks.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
