@@ -5,6 +5,9 @@ and goes on to the next one if the bit of (t, character) is 1. Two texts that di
 after each, so what they wrote differs in few places. The fingerprint samples what was written at fixed times: all
 of the first 64, then 64 times from each further doubling, four bits each. Its length grows with the logarithm
 of the text's; texts of any length are walked whole.
+
+Near texts are found by bands of sampled symbols: texts that share a band share a bucket, whose fingerprints are
+compared as a whole in tiles (chunk against chunk), and links make classes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import mix64, small_batches, texts
+from statloom.llm.common import mix64, small_batches, sorted_groups, spanning_links, texts
+from statloom.llm.graph import components
 from statloom.session import cut_lineage
 
 #: Times sampled from each doubling; period of the random bits, as a power of two; groups of characters.
@@ -27,8 +31,8 @@ SAMPLES, PERIOD_BITS, GROUPS = 64, 13, 256
 SEED = 20_260
 #: Characters walked at once, and documents of a neighbourhood in the order of documents.
 AT_ONCE, NEIGHBOURS = 10_000_000, 500
-#: Symbols of a band, and the share of equal symbols that links two texts.
-BAND, LIKENESS = 16, 0.8
+#: Symbols of a band, the likeness that links two texts, and documents of a chunk of a bucket.
+BAND, LIKENESS, CHUNK = 8, 0.8, 256
 
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 _NONE = ord("-")
@@ -257,3 +261,66 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = placed.repartition(max(1, min(spread, 2 * len(heads))), "bucket")
     ordered = near.sortWithinPartitions("bucket", "visitor", F.desc_nulls_last("doc_id"), F.desc("tie"))
     return ordered.mapInArrow(_in_order, _RESULT)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, limit=AT_ONCE):
+        points = [_points(t.as_py()) for t in batch.column("text")]
+        reached, end = _walk_texts(points, np.zeros(len(points), np.int64))
+        prints = [fingerprint(p, r, int(e)) for p, r, e in zip(points, reached, end)]
+        bands = [
+            [int(zlib.crc32(f[i : i + BAND])) << 24 | i for i in range(0, len(f) - BAND + 1, BAND) if _NONE not in f[i : i + BAND]] or [zlib.crc32(f)] for f in prints
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "print", "bands"])
+
+
+def likeness_table(prints: list[bytes]) -> np.ndarray:
+    """`likeness` of every pair."""
+    n = max(map(len, prints))
+    if not n:
+        return np.ones((len(prints), len(prints)))
+    x = np.frombuffer(b"".join(f.ljust(n, b"-") for f in prints), np.uint8).reshape(len(prints), n)
+    weight, none = _WIDTHS[:n], x == _NONE
+    neither = (none * weight) @ none.T
+    equal = np.stack([(x == row) @ weight for row in x]) - neither
+    there = weight.sum() - neither
+    share = np.divide(equal, there, out=np.ones_like(equal), where=there > 0)
+    return np.maximum(0.0, (share - 1 / 16) / (15 / 16))
+
+
+def _near(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ends in sorted_groups(batches, ("band", "a", "b"), 2 * CHUNK):
+            names, prints, begin, found = part.column("doc_id").to_numpy(), part.column("print").to_pylist(), 0, []
+            for end in ends:
+                if end - begin > 1:
+                    close = likeness_table(prints[begin:end]) >= least
+                    np.fill_diagonal(close, False)
+                    found.append(spanning_links(close, names[begin:end]))
+                begin = end
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id reached by links) of every row with a doc_id.
+
+    Two texts link if they share a band and their whole fingerprints are alike enough. Equal fingerprints are one
+    class without comparison; empty texts are one class. Rows that share a doc_id share a class.
+    """
+    rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    marked = cut_lineage(rows.mapInArrow(_prints, "doc_id long, print binary, bands array<long>"), "prints")
+    same = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "same")
+    links = marked.join(same.select("print", "rep"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    spread = same.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = cut_lineage(buckets.select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    tiled = spread.join(buckets, "band").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiled = tiled.select("band", "doc_id", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    full = tiled.join(same.select(F.col("rep").alias("doc_id"), "print"), "doc_id").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    found = cut_lineage(full.select("band", "a", "b", "doc_id", "print").mapInArrow(_near(least), "a long, b long"), "links")
+    labels = components(links.unionByName(found)).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
+    return rows.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("_root", "doc_id").alias("class_id"))

@@ -15,7 +15,6 @@ the shuffle, so the copies of a passage cost one row each.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

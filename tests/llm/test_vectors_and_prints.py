@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from statloom.llm.edit_embedding import fingerprints, likeness, walk
+from statloom.llm.edit_embedding import fingerprints, likeness, likeness_table, near_texts, walk
 from statloom.llm.embeddings import near_vectors, plan_tables, rotations
 from tests.llm.conftest import documents, frame, odd_rows
 from tests.llm.test_repeats import Classes
@@ -159,3 +159,29 @@ def test_walk_goes_on_from_any_time():
     whole, end = walk(groups, np.array([0]), np.array([400]), np.array([0]))
     later, stop = walk(groups[250:], np.array([0]), np.array([150]), whole[250:251].astype(np.int64))
     assert (whole[250:] == later).all() and end[0] == stop[0]
+
+
+def test_near_texts(spark, odd, nothing):
+    r, rows = random.Random(12), []
+    for family in range(12):
+        base = "".join(r.choice("abcdefghij klmnop") for _ in range(r.randint(200, 3000)))
+        for k in range(6):
+            text = list(base)
+            for _ in range(len(text) // 500 * (k > 0)):
+                i = r.randrange(len(text))
+                text[i : i + r.randint(0, 1)] = r.choice("abcdefghij") * r.randint(0, 2)
+            rows.append((family * 10 + k, "".join(text)))
+        rows.append((1000 + family, "".join(r.choice("abcdefghij klmnop") for _ in range(1500))))
+    found = {x.doc_id: x.class_id for x in near_texts(frame(spark, rows).repartition(3)).collect()}
+    assert all(found[1000 + f] == 1000 + f for f in range(12))
+    apart = sum(found[f * 10 + k] != f * 10 for f in range(12) for k in range(6))
+    assert len(found) == len(rows) and apart <= 4
+    classes = {x.doc_id: x.class_id for x in near_texts(odd).collect()}
+    assert classes[17] == classes[2] == 1 and classes[3] == 1 and classes[5] == classes[4] and classes[11] == 10 and classes[13] == 13
+    assert near_texts(nothing).collect() == []
+
+
+def test_likeness_table():
+    prints = [b"", b"0123", b"0123456789abcdef" * 8, b"0123456789abcdef" * 4 + b"-" * 64, b"f" * 64 + b"0" * 128]
+    table = likeness_table(prints)
+    assert all(table[i, j] == pytest.approx(likeness(a, b)) for i, a in enumerate(prints) for j, b in enumerate(prints))
