@@ -53,6 +53,6 @@ def clip_low(position: Column) -> Column:
     return F.greatest(position, F.lit(1))
 
 
-def bin_of(position: Column, width: int) -> Column:
-    """Number of the fixed-width bin a position falls in."""
-    return F.floor(position / F.lit(int(width))).cast("int")
+def bin_of(position: Column, width: int | Column) -> Column:
+    """Number of the bin of this width a position falls in."""
+    return F.floor(position / (width if isinstance(width, Column) else F.lit(int(width)))).cast("int")
