@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import texts
+from statloom.llm.common import texts, tidy
 
 #: Bytes of text that a block of documents holds at least before it is closed.
 BLOCK_BYTES = 12_000_000
@@ -302,11 +302,11 @@ def _coded_blocks(docs: DataFrame, vocabulary_path: str, id_col: str, text_col:
     """The rows of all blocks, their words encoded, dealt and sorted for `_assemble`."""
     rows = texts(docs, id_col, text_col)
     buckets = int(min(max(rows.count() // BUCKET_DOCUMENTS, 16), MOST_BUCKETS))
-    of_words = rows.mapInArrow(_blocks(vocabulary_path, buckets, True), _BLOCKS)
-    of_documents = rows.mapInArrow(_blocks(vocabulary_path, buckets, False), _BLOCKS)
+    of_words = rows.mapInArrow(tidy(_blocks(vocabulary_path, buckets, True)), _BLOCKS)
+    of_documents = rows.mapInArrow(tidy(_blocks(vocabulary_path, buckets, False)), _BLOCKS)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_bucket = of_words.repartition(max(spread, min(buckets, 4 * spread)), "bucket").sortWithinPartitions("bucket")
-    together = of_documents.unionByName(by_bucket.mapInArrow(_encode_words(vocabulary_path), _BLOCKS))
+    together = of_documents.unionByName(by_bucket.mapInArrow(tidy(_encode_words(vocabulary_path)), _BLOCKS))
     return together.repartition("block").sortWithinPartitions("block", F.desc("bucket"))
 
 
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     with a word's frequency. Texts are read twice, once for the words and once for the documents; a block's name is a
     hash of its contents, so that documents read in another order the second time raise an error.
     """
-    return _coded_blocks(docs, vocabulary_path, id_col, text_col).mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return _coded_blocks(docs, vocabulary_path, id_col, text_col).mapInArrow(tidy(_assemble), "doc_id long, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -373,7 +373,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
     A row without ids has an empty text.
     """
-    return encoded.mapInArrow(_decode(vocabulary_path), "doc_id long, ids array<int>, text string")
+    return encoded.mapInArrow(tidy(_decode(vocabulary_path)), "doc_id long, ids array<int>, text string")
 
 
 def decoded_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -387,4 +387,4 @@ def decoded_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         return digest(back(_assemble(batches)))
 
     blocks = _coded_blocks(docs, vocabulary_path, "doc_id", "text")
-    return blocks.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return blocks.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,7 +5,9 @@ Words are runs of bytes other than blank, tab, line feed, vertical tab, form fee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +90,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers, and the driver, live on with what their largest step left."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same step for `mapInArrow`, which gives memory back when its task ends."""
+
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text; a longer text has a batch of its own."""
     for batch in batches:
         if not batch.num_rows:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import mix64, powers, small_batches, sorted_groups, spanning_links, text_buffer, texts, word_hashes, word_spans
+from statloom.llm.common import mix64, powers, small_batches, sorted_groups, spanning_links, text_buffer, texts, tidy, word_hashes, word_spans
 from statloom.llm.graph import components
 from statloom.session import cut_lineage
 
@@ -29,7 +29,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 6 coordinates: a pair at similarity 0.8 is missed with a probability of 6e-5, one at 0.85 with 4e-8.
 BANDS, ROWS = 32, 6
 #: Bands after which a round ends; documents of a chunk; bytes of text unpacked, and shingles compared, at once.
-ROUNDS, CHUNK, AT_ONCE, COLUMNS = (4, 12), 256, 2_000_000, 20_000
+ROUNDS, CHUNK, AT_ONCE, COLUMNS = (4, 12), 256, 1_000_000, 20_000
+#: Shingles of a chunk: long documents make smaller chunks.
+CHUNK_SHINGLES = 400_000
 
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
@@ -106,7 +108,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(k: int, bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=6_000_000):
+        for batch in small_batches(batches, limit=2_500_000):
             data, offsets = text_buffer(batch.column("text"))
             starts, ends, first = word_spans(data, offsets)
             words = word_hashes(data, starts, ends)
@@ -207,15 +209,16 @@ def _links_of(members: DataFrame, packed: DataFrame, links: DataFrame, k: int, s
     for low, high in zip([0, *ROUNDS], bounds):
         active = members.where(F.col("band").between(low, high - 1))
         known = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
-        active = cut_lineage(active.join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("_root", "doc_id").alias("root")), "active")
-        buckets = active.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-        buckets = cut_lineage(buckets.where("least < most").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+        active = cut_lineage(active.join(known, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("_root", "doc_id").alias("root")), "active")
+        chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+        buckets = active.groupBy("key").agg(chunks.alias("chunks"), F.min("root").alias("least"), F.max("root").alias("most"))
+        buckets = cut_lineage(buckets.where("least < most").select("key", "chunks"), "buckets")
         chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int")
         chunked = active.join(buckets, "key").withColumn("chunk", chunk)
         tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         tiled = tiled.select("key", "doc_id", "root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
         full = tiled.join(packed, "doc_id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-        found = full.select("key", "a", "b", "doc_id", "root", "packed").mapInArrow(_compare(k, similarity, weighted), "a long, b long")
+        found = full.select("key", "a", "b", "doc_id", "root", "packed").mapInArrow(tidy(_compare(k, similarity, weighted)), "a long, b long")
         links = links.unionByName(cut_lineage(found.where("a <> b"), "links"))
     return links
 
@@ -240,18 +243,18 @@ def near_duplicates(
     """
     source = texts(docs, id_col, text_col)
     signed = cut_lineage(
-        source.where("doc_id IS NOT NULL").mapInArrow(_sign(words, bands, rows, weighted), "doc_id long, h1 long, h2 long, n int, keys array<long>"), "signed"
+        source.where("doc_id IS NOT NULL").mapInArrow(tidy(_sign(words, bands, rows, weighted)), "doc_id long, h1 long, h2 long, n int, keys array<long>"), "signed"
     )
     same = cut_lineage(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "same")
     # a repeated doc_id with different texts joins their classes
     copies = cut_lineage(signed.join(same, ["h1", "h2"]).select("doc_id", "rep").distinct(), "copies")
     leaders = signed.where("n > 0").join(same.withColumn("doc_id", F.col("rep")), ["h1", "h2", "doc_id"], "left_semi")
-    spread = leaders.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    spread = leaders.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
     shared = cut_lineage(spread.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "shared")
     members = cut_lineage(spread.join(shared, "key", "left_semi").dropDuplicates(["key", "doc_id"]), "members")
     needed = cut_lineage(members.select("doc_id").distinct(), "needed")
     packed = cut_lineage(
-        source.where("doc_id IS NOT NULL").mapInArrow(_compress, "doc_id long, packed binary").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed"
+        source.where("doc_id IS NOT NULL").mapInArrow(tidy(_compress), "doc_id long, packed binary").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed"
     )
     links = copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = _links_of(members, packed, links, words, similarity, weighted)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import mix64, small_batches, sorted_groups, spanning_links, texts
+from statloom.llm.common import mix64, small_batches, sorted_groups, spanning_links, texts, tidy
 from statloom.llm.graph import components
 from statloom.session import cut_lineage
 
@@ -251,16 +251,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)] or [0.5], max(10_000, 4 * wanted)).alias("s")).first()
     splits = np.unique(np.array(parts["s"] or [], np.int64))
     # one row for each bucket, of which there are `wanted` at most
-    of_ids = rows.select("doc_id").mapInArrow(_bucket_heads(splits), "bucket int, doc_id long")
+    of_ids = rows.select("doc_id").mapInArrow(tidy(_bucket_heads(splits)), "bucket int, doc_id long")
     heads = sorted((r["bucket"], r["head"]) for r in of_ids.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
     visits: dict[int | None, list[int]] = {}
     for (bucket, _), (_, head) in zip(heads, [*heads[1:], *heads[:1]]):
         visits.setdefault(head, []).append(bucket)
-    placed = rows.mapInArrow(_place(splits, visits), _PLACED)
+    placed = rows.mapInArrow(tidy(_place(splits, visits)), _PLACED)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = placed.repartition(max(1, min(spread, 2 * len(heads))), "bucket")
     ordered = near.sortWithinPartitions("bucket", "visitor", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    return ordered.mapInArrow(_in_order, _RESULT)
+    return ordered.mapInArrow(tidy(_in_order), _RESULT)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     class without comparison; empty texts are one class. Rows that share a doc_id share a class.
     """
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    marked = cut_lineage(rows.mapInArrow(_prints, "doc_id long, print binary, bands array<long>"), "prints")
+    marked = cut_lineage(rows.mapInArrow(tidy(_prints), "doc_id long, print binary, bands array<long>"), "prints")
     same = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "same")
     links = marked.join(same.select("print", "rep"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     spread = same.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("band"))
@@ -321,6 +321,6 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tiled = spread.join(buckets, "band").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("band", "doc_id", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     full = tiled.join(same.select(F.col("rep").alias("doc_id"), "print"), "doc_id").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
-    found = cut_lineage(full.select("band", "a", "b", "doc_id", "print").mapInArrow(_near(least), "a long, b long"), "links")
+    found = cut_lineage(full.select("band", "a", "b", "doc_id", "print").mapInArrow(tidy(_near(least)), "a long, b long"), "links")
     labels = components(links.unionByName(found)).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
     return rows.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("_root", "doc_id").alias("class_id"))

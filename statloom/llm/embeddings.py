@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import sorted_groups, spanning_links
+from statloom.llm.common import sorted_groups, spanning_links, tidy
 from statloom.llm.graph import components
 from statloom.session import cut_lineage
 
@@ -165,7 +165,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     turns = rotations(_matrix(sample.column("embedding").combine_chunks()), wanted)
 
     schema = "rep long, copies long, embedding array<double>, code binary"
-    coded = classes.select("rep", "copies", "embedding").mapInArrow(_codes(turns, bits, tables), schema)
+    coded = classes.select("rep", "copies", "embedding").mapInArrow(tidy(_codes(turns, bits, tables)), schema)
     coded = cut_lineage(coded, "codes")
     table = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
     piece = F.reverse(F.substring("code", F.col("t") * 4 + 1, F.lit(4)))
@@ -177,7 +177,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("t", "key", "rep", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     full = tiled.join(coded, "rep").repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
-    found = cut_lineage(full.select("t", "key", "a", "b", "chunk", "rep", "copies", "embedding", "code").mapInArrow(_compare(cosine), "rep long, links long, label long"), "links")
+    found = cut_lineage(full.select("t", "key", "a", "b", "chunk", "rep", "copies", "embedding", "code").mapInArrow(tidy(_compare(cosine)), "rep long, links long, label long"), "links")
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "rep")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import mix64, powers, small_batches, text_buffer, texts, word_hashes, word_spans
+from statloom.llm.common import mix64, powers, small_batches, text_buffer, texts, tidy, word_hashes, word_spans
 from statloom.session import cut_lineage
 
 #: Words of a window, and of an anchor.
@@ -136,7 +136,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     placed = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     schema = "anchor long, span long, doc_id long, lo int, n short"
-    seeds = placed.mapInArrow(_seeds(window, anchor), schema)
+    seeds = placed.mapInArrow(tidy(_seeds(window, anchor)), schema)
     common = cut_lineage(seeds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     hits = cut_lineage(seeds.join(common, "anchor", "left_semi"), "hits")
 
@@ -148,8 +148,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     branching = cut_lineage(spans.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "branching")
     leading = spans.join(branching, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
-    packed = placed.mapInArrow(_compress, "doc_id long, packed binary")
-    windows = packed.join(leading, "doc_id").mapInArrow(_window_rows(window), "w1 long, w2 long, doc_id long, lo int")
+    packed = placed.mapInArrow(tidy(_compress), "doc_id long, packed binary")
+    windows = packed.join(leading, "doc_id").mapInArrow(tidy(_window_rows(window)), "w1 long, w2 long, doc_id long, lo int")
     windows = cut_lineage(windows, "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
     earliest = cut_lineage(earliest.select("w1", "w2", "first"), "earliest")
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = repeats(docs, id_col, text_col, window, anchor)
     marked = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    packed = texts(docs, id_col, text_col).mapInArrow(_compress, "doc_id long, packed binary")
+    packed = texts(docs, id_col, text_col).mapInArrow(tidy(_compress), "doc_id long, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
                 )
 
-    return packed.join(marked, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return packed.join(marked, "doc_id", "left").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

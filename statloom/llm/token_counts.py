@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import texts
+from statloom.llm.common import texts, tidy
 
 #: Parts whose counts a task remembers at most before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class PieceCounter:
@@ -116,5 +116,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     sized = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    counted = sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = sized.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

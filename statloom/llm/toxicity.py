@@ -24,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import small_batches, texts
+from statloom.llm.common import give_back, small_batches, texts, tidy
 from statloom.session import cut_lineage
 
 #: Labelled rows read for fitting at most (expected value of a hashed choice), and terms kept.
 SAMPLE, TERMS, VOTERS = 20_000, 2_000, 40
 FOLDS, SEED = 5, 17
-#: Words whose terms a task remembers at most before it starts afresh.
-REMEMBERED = 400_000
 #: Lengths of the word beginnings that can become terms.
 BEGINNINGS = (4, 5, 6)
 #: Share of a text's different words that makes a beginning dense; share of toxic rows that a term needs.
@@ -88,19 +86,10 @@ class Model:
 
     def __post_init__(self) -> None:
         self._starts = {stem(t) for t in self.terms}
-        self._known: dict[str, bool] = {}
 
     def score(self, text: str) -> float:
-        known, words, near = self._known, words_of(text), set()
-        for word in words:
-            # most words begin like no term: remember which
-            seen = known.get(word)
-            if seen is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                seen = known[word] = word[:4] in self._starts
-            if seen:
-                near.add(word)
+        words, starts = words_of(text), self._starts
+        near = {w for w in words if w[:4] in starts}  # most words begin like no term
         found = sorted(t for t in terms_of(near, len(words)) if t in self.terms) if near else ()
         total = self.intercept + sum(self.terms[t] for t in found) + (0.0 if words.isdisjoint(INSULTS) else self.lexicon)
         return 1.0 / (1.0 + math.exp(-min(max(total, -30.0), 30.0)))
@@ -135,7 +124,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pick_terms(sample: DataFrame, rows: int, toxic: int) -> list[str]:
     """The terms that stand out most in toxic rows, by the strength and the certainty of it."""
-    counted = sample.mapInArrow(_count_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInArrow(tidy(_count_terms), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     base = toxic / rows
     expected = F.col("n") * base
     counted = counted.where((F.col("toxic") >= max(3.0, BACKING * toxic)) & (F.col("toxic") - expected > 2 * F.sqrt(expected)) & (F.col("toxic") > F.col("n") * max(0.5, min(0.95, 1.2 * base))))
@@ -235,8 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Model:
         return Model()
     terms = _pick_terms(sample, n, toxic)
     # as many rows as the sample has at most, each a few numbers
-    rows = sample.mapInArrow(_hits(terms), "hits array<int>, extra array<int>, toxic int").collect()
-    return _train(terms, [tuple(r["hits"]) for r in rows], np.array([r["extra"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    rows = sample.mapInArrow(tidy(_hits(terms)), "hits array<int>, extra array<int>, toxic int").collect()
+    model = _train(terms, [tuple(r["hits"]) for r in rows], np.array([r["extra"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    del rows
+    give_back()
+    return model
 
 
 def _train(terms: list[str], hits: list[tuple[int, ...]], extra: np.ndarray, toxic: np.ndarray) -> Model:
@@ -286,7 +278,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = texts(docs).mapInArrow(run, "doc_id long, score double")
+    scored = texts(docs).mapInArrow(tidy(run), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
