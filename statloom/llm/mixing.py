@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
     return levels.withColumn("target", target.cast("double")).select("source", "source_size", "weight", "target")
 
 
-def _log_choose(n: Column, k: Column, logs: Column) -> Column:
-    at = lambda x: F.element_at(logs, (x + 1).cast("int"))
-    return at(n) - at(k) - at(n - k)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, chance: Column, logs: Column) -> Column:
@@ -60,17 +61,23 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, chance: Column,
 
     `logs` holds the logarithms of the factorials 0!, 1!, ... up to the largest total.
     """
-    least, most = F.greatest(F.lit(0).cast("long"), drawn - (total - marked)), F.least(drawn, marked)
-    state = F.struct(F.lit(0.0).alias("sum"), most.alias("out"), F.lit(False).alias("done"))
+    log = lambda x: F.element_at(logs, (x + 1).cast("int"))
+    choices = lambda n, k: log(n) - log(k) - log(n - k)
+    limits = F.struct(
+        F.greatest(F.lit(0).cast("long"), drawn - (total - marked)).alias("least"), F.least(drawn, marked).alias("most"), choices(total, drawn).alias("all")
+    )
+
+    def draw(b: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), b["most"].alias("out"), F.lit(False).alias("done"))
+
+        def step(s: Column, k: Column) -> Column:
+            p = F.exp(choices(marked, k) + choices(total - marked, drawn - k) - b["all"])
+            reached = lambda sum_: F.struct(sum_.alias("sum"), F.when(sum_ > chance, k).otherwise(b["most"]).alias("out"), (sum_ > chance).alias("done"))
+            return F.when(s["done"], s).otherwise(_bound(s["sum"] + p, reached))
 
-    def step(s: Column, k: Column) -> Column:
-        p = F.exp(_log_choose(marked, k, logs) + _log_choose(total - marked, drawn - k, logs) - _log_choose(total, drawn, logs))
-        reached = s["sum"] + p > chance
-        return F.when(s["done"], s).otherwise(
-            F.struct((s["sum"] + p).alias("sum"), F.when(reached, k).otherwise(most).alias("out"), reached.alias("done"))
-        )
+        return F.when(b["most"] <= b["least"], b["least"]).otherwise(F.aggregate(F.sequence(b["least"], b["most"]), start, step)["out"])
 
-    return F.when(most <= least, least).otherwise(F.aggregate(F.sequence(least, most), state, step)["out"])
+    return _bound(limits, draw)
 
 
 def _chance(*parts: Column) -> Column:
@@ -100,7 +107,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int, most_blocks: int)
         def step(s: Column, x: Column) -> Column:
             chance = _chance(F.lit(seed), F.col("lo"), F.col("hi"), F.size(s["left"]))
             k = hypergeometric(s["rest"], x["quota"], s["drawn"], chance, F.col("logs")).cast("long")
-            return F.struct(F.concat(s["left"], F.array(k)).alias("left"), (s["rest"] - x["quota"]).alias("rest"), (s["drawn"] - k).alias("drawn")).cast(kind)
+            onward = lambda k: F.struct(F.concat(s["left"], F.array(k)).alias("left"), (s["rest"] - x["quota"]).alias("rest"), (s["drawn"] - k).alias("drawn"))
+            return _bound(k, onward).cast(kind)
 
         taken = halved.withColumn("left", F.aggregate("q", start, step)["left"])
         left = F.zip_with("q", "left", lambda x, k: F.struct(x["source"].alias("source"), k.alias("quota")))
