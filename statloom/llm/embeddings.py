@@ -168,7 +168,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     coded = classes.select("rep", "copies", "embedding").mapInArrow(tidy(_codes(turns, bits, tables)), schema)
     coded = cut_lineage(coded, "codes")
     table = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
-    piece = F.reverse(F.substring("code", F.col("t") * 4 + 1, F.lit(4)))
+    # the four bytes as they lie: a reverse of binary goes by the characters of a string
+    piece = F.substring("code", F.col("t") * 4 + 1, F.lit(4))
     light = coded.select("rep", "code", table).select("t", F.conv(F.hex(piece), 16, 10).cast("long").alias("key"), "rep")
     sizes = light.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = cut_lineage(sizes.select("t", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")

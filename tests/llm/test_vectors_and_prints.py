@@ -58,6 +58,15 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     assert found_links(spark, rows) == whole
 
 
+@pytest.mark.parametrize("bits", [16, 24])
+def test_equal_codes_of_any_bytes_meet(spark, monkeypatch, bits):
+    monkeypatch.setattr("statloom.llm.embeddings.SHORTEST", bits)
+    monkeypatch.setattr("statloom.llm.embeddings.MISS", 0.5)
+    x = np.random.default_rng(7).standard_normal((3000, 32))
+    found = found_links(spark, [(2 * i + k, (v * [1, 1 + 1e-9][k] + k * 1e-13).tolist()) for i, v in enumerate(x) for k in (0, 1)])
+    assert sum(found[i] != (1, i - i % 2) for i in found) <= 2
+
+
 def test_odd_vectors(spark):
     v = [0.1, 0.2, -0.3, 0.4]
     rows = [(1, v), (2, v), (3, [10 * x for x in v]), (4, [0.0] * 4), (5, None), (6, []), (7, [0.1, None, 0.2, 0.1]), (8, [float("nan"), 1.0, 1.0, 1.0])]
