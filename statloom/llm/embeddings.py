@@ -3,8 +3,10 @@
 Learned on a bounded sample: a rotation of the centred vectors along their main directions for which the signs lose
 least (iterative quantisation), several times from different starts. The signs of a vector under all rotations are
 its code, cut into substrings; every substring is an index of its own (a Hamming table). With m tables, any two codes that
-differ in fewer than m bits share a substring, and most pairs that differ in more do; m is chosen for the
-wanted recall at the threshold, and substrings are as long as the number of vectors asks for.
+differ in fewer than m bits share a substring, and most pairs that differ in more do. The angle of a link at the codes
+depends on the data (the centre is taken off, links are judged without that), so m is measured: from vectors of the
+sample, pairs right at the threshold are made, and tables are added until the wanted share of them shares a bucket.
+Substrings are as long as makes that cheapest; where tables would cost more than comparing all with all, all are.
 
 Vectors of one bucket are compared in tiles: a bucket of any size is cut into chunks, and each pair of chunks is a
 tile. A pair met in several tables counts in the first of them only. Tiles report, for each
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +34,31 @@ SAMPLE, MISS, CHUNK = 10_000, 0.002, 256
 #: Vectors that share a bucket by chance, which sets the length of substrings (within these limits).
 COMPANY, SHORTEST, LONGEST = 8, 8, 24
 ROUNDS, SEED = 40, 11
+#: Comparisons that a row of a table costs as much as; pairs that recall is measured on; rotations that costs are foreseen by.
+ROW, PAIRS, TRIAL = 44, 5_000, 4
 #: Ids are smaller; classes without any id go by names from here on.
 NAMELESS = 1 << 62
 
 
 def rotations(sample: np.ndarray, wanted: int, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
     """(centre, projection) of `wanted` quantisers: main directions, rotated so that signs fit the values best."""
+    return list(islice(all_rotations(sample, seed), wanted))
+
+
+def all_rotations(sample: np.ndarray, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same without an end."""
     centre = sample.mean(axis=0)
     data = sample - centre
     _, vectors = np.linalg.eigh(data.T @ data)
     main = vectors[:, ::-1][:, :64]
-    reduced, random, out = data @ main, np.random.default_rng(seed), []
-    for _ in range(wanted):
+    reduced, random = data @ main, np.random.default_rng(seed)
+    while True:
         turn = np.linalg.qr(random.standard_normal((main.shape[1], main.shape[1])))[0]
         for _ in range(ROUNDS):
             signs = np.where(reduced @ turn >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(signs.T @ reduced)
             turn = (left @ right).T
-        out.append((centre, main @ turn))
-    return out
+        yield centre, main @ turn
 
 
 def plan_tables(vectors: int, dimension: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int, int]:
@@ -60,8 +69,74 @@ def plan_tables(vectors: int, dimension: int, cosine: float = COSINE, miss: floa
     return bits, tables, math.ceil(tables / (min(dimension, 64) // bits))
 
 
+def threshold_pairs(sample: np.ndarray, cosine: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the sample, and each of them turned towards another one until their cosine is the threshold."""
+    random = np.random.default_rng(seed)
+    a, b = sample[random.integers(0, len(sample), (2, PAIRS))]
+    away = b - a * (a * b).sum(axis=1, keepdims=True)
+    length = np.linalg.norm(away, axis=1)
+    # equal and opposite vectors name no direction: any will do
+    lost = length < 1e-6
+    drawn = random.standard_normal(a.shape)
+    drawn -= a * (a * drawn).sum(axis=1, keepdims=True)
+    away[lost] = drawn[lost]
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * away
+
+
+def fit_tables(sample: np.ndarray, vectors: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Bits of a substring, number of tables and their rotations, by recall measured on pairs at the threshold.
+
+    0 bits, 1 table and one rotation say that all are to be compared with all: where tables would cost more than that (and more than
+    twice the plan of centred vectors, so that small tables are not judged by it).
+    """
+    longest, usual, _ = plan_tables(vectors, sample.shape[1], cosine, miss)
+    limit = max(vectors, 2 * usual * (ROW + vectors / 2**longest))
+    a, b = threshold_pairs(sample, cosine)
+    source, turns, agree = all_rotations(sample), [], []
+
+    def turn(i: int) -> np.ndarray:
+        """Which bits of the pairs agree under rotation i."""
+        while len(turns) <= i:
+            centre, projection = next(source)
+            turns.append((centre, projection))
+            agree.append(((a - centre) @ projection >= 0) == ((b - centre) @ projection >= 0))
+        return agree[i]
+
+    def foreseen(bits: int) -> float:
+        """The cost by the share of agreeing bits of each pair."""
+        apart = np.log1p(-np.minimum(same**bits, 1 - 1e-12))
+        low, high = 0.0, 1.0
+        while np.exp(high * apart).mean() > miss and high < limit:
+            high *= 2
+        for _ in range(20):
+            tables = (low + high) / 2
+            low, high = (tables, high) if np.exp(tables * apart).mean() > miss else (low, tables)
+        return high * (ROW + vectors / 2**bits)
+
+    same = np.mean([turn(i).mean(axis=1) for i in range(TRIAL)], axis=0)
+    # the plan of centred vectors stands where the data are so
+    costs = {bits: foreseen(bits) for bits in range(longest, 0, -1)}
+    bits = min(costs, key=costs.get)
+    bits = longest if costs[longest] <= 1.5 * costs[bits] else bits
+    # never fewer than random signs of uncentred vectors would need
+    least = math.ceil(math.log(miss) / math.log(1 - (1 - math.acos(cosine) / math.pi) ** bits))
+    met, tables = np.zeros(len(a), bool), 0
+    while tables < least or (~met).mean() > miss:
+        if costs[bits] > limit or (tables + 1) * (ROW + vectors / 2**bits) > limit:
+            return 0, 1, turns[:1]
+        i, piece = divmod(tables, turns[0][1].shape[1] // bits)
+        met |= turn(i)[:, piece * bits : (piece + 1) * bits].all(axis=1)
+        if piece == turns[0][1].shape[1] // bits - 1:
+            agree[i] = agree[i][:, :0]
+        tables += 1
+    return bits, tables, turns[: math.ceil(tables / (turns[0][1].shape[1] // bits))]
+
+
 def substrings(vectors: np.ndarray, turns: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
     """The substrings of every code: one unsigned number for each table."""
+    if not bits:
+        return np.zeros((len(vectors), 1), "<u4")
     out = []
     for centre, projection in turns:
         signs = (vectors - centre) @ projection >= 0
@@ -158,11 +233,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = cut_lineage(good.groupBy("embedding").agg(name.alias("rep"), F.count("*").alias("copies")), "vectors")
 
     count = classes.count()
-    bits, tables, wanted = plan_tables(count, dimension, cosine)
     draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit(SEED)), 11) / F.lit(2.0**53)
     sample = classes.where(draw < SAMPLE / count).select("embedding").limit(2 * SAMPLE).toArrow()
     sample = sample if sample.num_rows else classes.select("embedding").limit(1).toArrow()
-    turns = rotations(_matrix(sample.column("embedding").combine_chunks()), wanted)
+    bits, tables, turns = fit_tables(_matrix(sample.column("embedding").combine_chunks()), count, cosine)
 
     schema = "rep long, copies long, embedding array<double>, code binary"
     coded = classes.select("rep", "copies", "embedding").mapInArrow(tidy(_codes(turns, bits, tables)), schema)

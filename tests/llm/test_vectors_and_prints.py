@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from statloom.llm.edit_embedding import fingerprints, likeness, likeness_table, near_texts, walk
-from statloom.llm.embeddings import near_vectors, plan_tables, rotations
+from statloom.llm.embeddings import fit_tables, near_vectors, plan_tables, rotations, substrings
 from tests.llm.conftest import documents, frame, odd_rows
 from tests.llm.test_repeats import Classes
 
@@ -84,6 +84,38 @@ def test_no_id_and_no_rows(spark):
     assert near_vectors(spark.createDataFrame([(1, [0.0])], kind).union(spark.createDataFrame([(2, None)], kind)).limit(5)).count() == 2
 
 
+def off_centre(share, vectors, pairs, seed=3, dimension=64):
+    """Vectors whose mean cosine is `share`, then pairs of such at cosine 0.952, one after the other."""
+    r = np.random.default_rng(seed)
+
+    def flat(n, apart=None):
+        x = r.standard_normal((n, dimension))
+        x[:, 0] = 0
+        x -= 0 if apart is None else apart * (x * apart).sum(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    lone, a = flat(vectors), flat(pairs)
+    k = (0.952 - share) / (1 - share)
+    both = np.stack([a, k * a + np.sqrt(1 - k * k) * flat(pairs, a)], axis=1).reshape(-1, dimension)
+    return np.sqrt(1 - share) * np.concatenate([lone, both]) + np.sqrt(share) * np.eye(dimension)[0]
+
+
+@pytest.mark.parametrize("share", [0.6, 0.8, 0.9])
+def test_off_centre_links(spark, share):
+    x = off_centre(share, 2000, 400)
+    found = found_links(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    links = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert all(found[i][0] <= n for i, n in enumerate(links)) and sum(n for n, _ in found.values()) >= 0.99 * links.sum() >= 0.99 * 800
+
+
+@pytest.mark.parametrize("share, dimension", [(0.0, 64), (0.6, 64), (0.8, 256)])
+def test_recall_is_measured(share, dimension):
+    x = off_centre(share, 20_000, 1500, dimension=dimension)
+    bits, tables, turns = fit_tables(x[np.random.default_rng(1).permutation(len(x))[:10_000]], len(x))
+    codes = substrings(x[20_000:], turns, bits, tables)
+    assert bits > 0 and (codes[::2] == codes[1::2]).any(axis=1).mean() > 0.995
+
+
 def test_rotations_are_rotations():
     sample = np.random.default_rng(1).standard_normal((500, 32)) @ np.diag(np.linspace(0.1, 3, 32))
     for _, p in rotations(sample, 2):
