@@ -2,8 +2,8 @@
 
 Every step is a Spark expression or Spark's own machine learning (JVM code, no Python on executors).
 
-1. Paragraphs are the lines of a text; lines of more than LONG words are cut into sentences. A paragraph without any cue word
-   of licences is none.
+1. Paragraphs are the lines of a text; lines of more than LONG words are cut into sentences. A paragraph is looked at if it
+   has a cue word of licences or shares a word triple with a template; no other can be confirmed by step 5.
 2. Training rows are runs of words of the templates, with words left out by hash, and as the unknown class a bounded,
    hashed sample of the corpus's paragraphs that share no word triple with a template, runs of those put around cue words, and
    sentences that speak of licences without being one.
@@ -16,6 +16,8 @@ Every step is a Spark expression or Spark's own machine learning (JVM code, no P
 from __future__ import annotations
 
 import json
+import re
+from functools import cache
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -31,7 +33,7 @@ LONG, FEATURES, SAMPLE = 80, 1 << 14, 2_000
 SHARED, PASSING, FOLDS = 0.5, 0.01, 5
 UNKNOWN = "unknown"
 
-#: Words of licence notices, one of which every licence paragraph has.
+#: Words of licence notices; a notice need not have one.
 CUES = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|public domain|spdx|creative commons|\bgnu\b|all rights reserved"
 
 #: Customary notices of each licence family.
@@ -102,7 +104,7 @@ TEMPLATES = {
     ),
 }
 
-#: Sentences with cue words that name no licence.
+#: Sentences with cue words, or with phrases of templates, that name no licence.
 OTHERS = (
     "The driver must carry a valid licence at all times.",
     "Terms and conditions apply, see the license agreement of your provider.",
@@ -120,6 +122,12 @@ OTHERS = (
     "No license was found for this work.",
     "The label of the box names the licensed distributor.",
     "You need written permission from the landlord.",
+    "She sent a copy of the letter to her sister.",
+    "The museum is open free of charge to children.",
+    "No part of this story is true.",
+    "You may not use this door after dark.",
+    "You should have received a parcel along with this letter.",
+    "The rest of this work was lost in a fire.",
 )
 
 
@@ -139,11 +147,49 @@ def _triples(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= 3, _runs(words, 3)).otherwise(F.array(F.array_join(words, " "))))
 
 
+@cache
+def _template_triples() -> tuple[str, ...]:
+    """The same of all templates, which are ASCII, without Spark."""
+    out = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        words = re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", text.lower())
+        out |= {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return tuple(sorted(out))
+
+
+@cache
+def _triple_pattern() -> str:
+    """A pattern that finds every template triple in lower-case text (and some more: words may be parts of 2.0 and the like)."""
+    tree: dict = {}
+    for triple in _template_triples():
+        node = tree
+        for c in triple + "\n":
+            node = node.setdefault(c, {})
+
+    def pattern(node: dict) -> str:
+        own = {" ": r"[^\p{L}\p{N}]++", "\n": r"(?![\p{L}\p{N}])"}
+        parts = [own.get(c, re.escape(c)) + pattern(below) for c, below in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+    return r"(?<![\p{L}\p{N}])" + pattern(tree)
+
+
+def _maybe(text: Column) -> Column:
+    """A cue word, or what may be a template triple."""
+    return text.rlike(CUES) | F.lower(text).rlike(_triple_pattern())
+
+
+def _speaks(paragraph: Column) -> Column:
+    """A cue word, or a word triple of a template."""
+    listed = F.array(*[F.lit(t) for t in _template_triples()])
+    return paragraph.rlike(CUES) | (F.lower(paragraph).rlike(_triple_pattern()) & F.arrays_overlap(_triples(_words(paragraph)), listed))
+
+
 def _paragraphs(text: Column) -> Column:
     lines = F.split(text, r"[\n\r]+")
     long = lambda line: F.regexp_count(line, F.lit(r"\S+")) > LONG
     cut = F.transform(lines, lambda line: F.when(long(line), F.split(line, r"(?<=[.!?])\s+")).otherwise(F.array(line)))
-    return F.filter(F.flatten(cut), lambda p: p.rlike(CUES))
+    return F.filter(F.flatten(cut), _speaks)
 
 
 def _literal(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -163,10 +209,12 @@ def _draw(*parts: Column) -> Column:
 
 def training_rows(spark: SparkSession, docs: DataFrame, sample: int) -> DataFrame:
     """family, words, fold: variants of the templates, and the unknown class."""
-    known = templates(spark).select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("v"))
-    # variant 0 is whole, the others are runs that hold at least 60 of 100 words, without one word in twelve
+    known = templates(spark).select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("v"))
+    # variant 0 is whole, others are runs that hold at least 60 of 100 words, the last twenty are as long as wrapped lines; without one word in twelve
     share = F.when(F.col("v") == 0, 1.0).otherwise(0.6 + 0.4 * _draw(F.lit("share"), "words", "v"))
     length = F.greatest(F.least(F.size("words"), F.lit(3)), F.ceil(F.size("words") * share)).cast("int")
+    line = F.least(F.size("words"), 7 + F.floor(F.lit(8.0) * _draw(F.lit("line"), "words", "v"))).cast("int")
+    length = F.when(F.col("v") < 40, length).otherwise(line)
     begin = F.floor(_draw(F.lit("begin"), "words", "v") * (F.size("words") - F.col("n") + 1)).cast("int") + 1
     known = known.withColumn("n", length).withColumn("run", F.slice("words", begin, F.col("n")))
     kept = F.filter("run", lambda w, i: (F.col("v") == 0) | (_draw(w, i, F.col("v")) > 1 / 12))
@@ -249,7 +297,7 @@ class Scanner:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_paragraphs (with cue words), n_licences, families, family, probability of every row.
+    """doc_id, n_paragraphs (with a cue word or a word triple of a template), n_licences, families, family, probability of every row.
 
     families are the confirmed ones, sorted and joined by commas; family is the most probable of them (of equals the first in
     the alphabet), null with probability 0 where there is none. A null or empty text has no paragraphs. Rows
@@ -257,7 +305,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scanner = Scanner(docs.sparkSession, rows, sample)
-    paragraphs = rows.where(F.col("text").rlike(CUES)).select("doc_id", F.explode(_paragraphs(F.col("text"))).alias("paragraph"))
+    paragraphs = rows.where(_maybe(F.col("text"))).select("doc_id", F.explode(_paragraphs(F.col("text"))).alias("paragraph"))
     # the same paragraph of many documents is classified once
     paragraphs = paragraphs.groupBy("doc_id", "paragraph").agg(F.count("*").alias("times"))
     paragraphs = cut_lineage(paragraphs.withColumn("h", F.xxhash64("paragraph")), "paragraphs")

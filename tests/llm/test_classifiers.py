@@ -109,6 +109,21 @@ def test_families(licensed):
     assert all(r.probability > 0.5 for r in found if r.family)
 
 
+def test_notices_without_cue_words(licensed, spark):
+    notices = [
+        ("cc-by-sa", "Text is available under CC BY-SA 4.0."),
+        ("cc-by", "Available under CC BY 4.0."),
+        ("mit", "in the Software without restriction, including without limitation the rights"),
+        ("mit", "to use, copy, modify, merge, publish, distribute,"),
+        ("", "He kept a copy of the old map in a drawer."),
+        ("", "This is the end of the story, said the author."),
+    ]
+    rows = [(i, prose(8000 + i, 30) + "\n" + t + "\n" + prose(8100 + i, 20)) for i, (_, t) in enumerate(notices)]
+    found = {r.doc_id: r for r in scan(licensed[0].unionByName(frame(spark, [(3000 + i, t) for i, t in rows]))).collect()}
+    assert [found[3000 + i].families for i in range(len(notices))] == [f for f, _ in notices]
+    assert all(found[3000 + i].n_licences == found[3000 + i].n_paragraphs == 1 for i, (f, _) in enumerate(notices) if f)
+
+
 def test_odd_documents(odd, nothing):
     rows = scan(odd).collect()
     assert len(rows) == len(odd_rows()) and {r.doc_id for r in rows if r.families} == {22}
