@@ -73,6 +73,29 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_mixing, op3_embeddings, op4_edit_embedding, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op9_toxicity, op10_dart_minhash)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.hard_negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = vectors.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0, scale=256)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.periodic import periodic_runs, run_digests, with_planted_runs
+
+    return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.main_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_mixing, op3_embeddings, op4_edit_embedding, op5_sharding, op6_bpe, op7_substrings, op8_token_counts, op9_toxicity, op10_dart_minhash,
+                                   op11_hard_negatives, op12_periodic_runs, op13_main_text)}
 
 ORACLES: dict[str, str] = {}
