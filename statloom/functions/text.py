@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.schemas import ANCESTRIES
+from statloom.schemas import ANCESTRIES, BUCKETS
 
 HASH_LENGTH = 10
 
@@ -28,6 +28,11 @@ def short_hash(text: Column, length: int | None = HASH_LENGTH) -> Column:
     return digest if length is None else F.substring(digest, 1, length)
 
 
+def trait_bucket(trait: Column) -> Column:
+    """Bucket of the stored table that holds a trait: a partition column, so the rule must never change for stored tables."""
+    return F.pmod(F.xxhash64(trait.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
 def file_hash(name: Column, content: Column, length: int | None = HASH_LENGTH) -> Column:
     """Id of a file: the hash of the hash of its name followed by the hash of its bytes."""
     return short_hash(F.concat(F.sha2(name, 256), F.sha2(content, 256)), length)

@@ -66,12 +66,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 Span = tuple[int, int, int]
 
 
-def _in_spans(spans: Sequence[Span]) -> Column:
-    by_chr: dict[int, list[Column]] = {}
+def _in_spans(spans: Sequence[Span], column: str = "POS", step: int = 1) -> Column:
+    """One SQL text: a predicate of many parts put together column by column costs the driver a call for each."""
+    by_chr: dict[int, list[str]] = {}
     for chrom, low, high in spans:
-        by_chr.setdefault(chrom, []).append(F.col("POS").between(low, high))
-    tests = [(F.col("CHR") == c) & reduce(lambda a, b: a | b, inside) for c, inside in by_chr.items()]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+        by_chr.setdefault(chrom, []).append(f"{column} BETWEEN {low // step} AND {high // step}")
+    return F.expr(" OR ".join(f"(CHR = {c} AND ({' OR '.join(inside)}))" for c, inside in by_chr.items()) or "false")
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,10 @@ class RangeProfile:
         """
         return _in_spans(self.spans)
 
+    def nearby_bins(self, width: int) -> Column:
+        """The same on CHR and bin, for tables by bins of this width."""
+        return _in_spans(self.spans, "bin", width)
+
     def in_envelope(self) -> Column:
         """Literal predicate: between the smallest start (at least 1) and largest end of the chromosome."""
         return _in_spans(self.envelope)
@@ -121,39 +125,41 @@ def merge_spans(spans: Sequence[Span], limit: int) -> list[Span]:
 def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> RangeProfile:
     """Envelope per chromosome, spans for pruning, size of the list, and its size once cut into bins.
 
-    Two small jobs: one row per chromosome, and one per cell of SPAN_CELL bases that a range touches. Spans follow the
-    ranges of a list of any length; the longer it is, the more of its gaps are closed.
+    One small job, with a row for each cell of SPAN_CELL bases that a range touches. Spans follow the ranges of a list of any
+    length; the longer it is, the more of its gaps are closed.
     """
-    size = row_bytes(ranges)
-    bins = bin_of(F.col(end), width) - bin_of(F.col(start), width) + 1
-    usable = F.col(start) <= F.col(end)
-    inside = ranges.where(F.col("CHR").between(*CHR_DOMAIN))
+    low, high = F.col(start), F.col(end)
+    # a range that holds no position counts in a cell of its own (null)
+    cells = F.when((low <= high) & (high >= 1), F.sequence(bin_of(clip_low(low), SPAN_CELL), bin_of(F.least(high, F.lit(POS_DOMAIN[1])), SPAN_CELL)))
+    bins = F.when(low <= high, (row_bytes(ranges) + 8) * (bin_of(high, width) - bin_of(low, width) + 1)).otherwise(0)
+    inside = ranges.where(F.col("CHR").between(*CHR_DOMAIN)).select(
+        "CHR", low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"), row_bytes(ranges).alias("bytes"), bins.alias("bins"), F.coalesce(cells, F.array(F.lit(None).cast("int"))).alias("cells")
+    )
+    edge = F.col("cell").cast("bigint") * F.lit(SPAN_CELL)
+    opens = F.col("cell").isNull() | (F.col("cell") == F.get("cells", F.lit(0)))
     rows = (
-        inside.groupBy("CHR")
+        inside.withColumn("cell", F.explode("cells"))
+        .groupBy("CHR", "cell")
         .agg(
-            clip_low(F.min(start)).alias("lo"),
-            F.max(end).alias("hi"),
-            F.sum(size).alias("list_bytes"),
-            F.sum(F.when(usable, (size + 8) * bins).otherwise(0)).alias("binned_bytes"),
+            clip_low(F.min("lo")).alias("least"),
+            F.max("hi").alias("most"),
+            F.min(F.greatest(clip_low(F.col("lo")), edge)).alias("lo"),
+            F.max(F.least("hi", F.lit(POS_DOMAIN[1]), edge + F.lit(SPAN_CELL - 1))).alias("hi"),
+            F.sum(F.when(opens, F.col("bytes"))).alias("list_bytes"),
+            F.sum(F.when(opens, F.col("bins"))).alias("binned_bytes"),
         )
         .collect()
     )
-    placed = inside.where(usable & (F.col(end) >= 1)).select(
-        "CHR", clip_low(F.col(start)).cast("bigint").alias("lo"), F.least(F.col(end), F.lit(POS_DOMAIN[1])).cast("bigint").alias("hi")
-    )
-    edge = F.col("bin").cast("bigint") * F.lit(SPAN_CELL)
-    cells = (
-        explode_bins(placed, "lo", "hi", SPAN_CELL)
-        .groupBy("CHR", "bin")
-        .agg(F.min(F.greatest("lo", edge)).alias("lo"), F.max(F.least("hi", edge + F.lit(SPAN_CELL - 1))).alias("hi"))
-        .collect()
-    )
-    spans = merge_spans([(r["CHR"], r["lo"], r["hi"]) for r in cells], _setting(ranges, SPANS_SETTING, MAX_SPANS))
+    spans = merge_spans([(r["CHR"], r["lo"], r["hi"]) for r in rows if r["cell"] is not None], _setting(ranges, SPANS_SETTING, MAX_SPANS))
+    envelope: dict[int, tuple[int, int]] = {}
+    for r in rows:
+        low_, high_ = envelope.get(r["CHR"], (r["least"], r["most"]))
+        envelope[r["CHR"]] = min(low_, r["least"]), max(high_, r["most"])
     return RangeProfile(
-        tuple(sorted((r["CHR"], r["lo"], r["hi"]) for r in rows)),
+        tuple((c, *envelope[c]) for c in sorted(envelope)),
         tuple(spans),
-        sum(r["list_bytes"] for r in rows),
-        sum(r["binned_bytes"] for r in rows),
+        sum(r["list_bytes"] or 0 for r in rows),
+        sum(r["binned_bytes"] or 0 for r in rows),
     )
 
 

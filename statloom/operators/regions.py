@@ -9,18 +9,17 @@ from statloom.functions.variants import clip_low
 from statloom.operators.joins import (
     broadcast_if_small,
     disjoint_pieces,
-    explode_bins,
     hint_small,
     keep_inside,
-    pair_inside,
     profile_ranges,
 )
+from statloom.operators.peaks import PEAK_BIN, peak_table, ranges_hit
 from statloom.operators.slices import over_threshold, with_mlog10p
 from statloom.schemas import CHR_DOMAIN, trait_keys
 from statloom.session import cut_lineage
 
-#: Bases of a bin of the range joins, and blocks of regions that a trait meets one by one.
-REGION_BIN = 100_000
+#: Bases of a bin of the range joins (and of peaks), and blocks of regions that a trait meets one by one.
+REGION_BIN = PEAK_BIN
 FLAG_BLOCKS = 16
 
 
@@ -52,42 +51,36 @@ def region_semi_join(sumstats: DataFrame, regions: DataFrame, width: int = REGIO
     return keep_inside(sumstats.where(seen.nearby()), pieces, ["CHR"], width)
 
 
-def significant_places(
-    sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN
+def significant_regions(
+    sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN, peaks: DataFrame | None = None
 ) -> DataFrame:
-    """(trait, CHR, POS) of variants over the threshold near a region, once each, and (trait, CHR, null) of every
-    trait with a variant inside the chromosome's envelope. One pass over the table, written once.
-    """
-    traits = trait_keys(sumstats.columns)
-    seen = profile_ranges(regions.select("CHR", "START", "END"), "START", "END", width)
-    scored = with_mlog10p(sumstats.where(seen.in_envelope()))
-    over = (F.col("MLOG10P") > float(threshold)) if threshold > 0 else F.lit(True)
-    place = F.when(over & seen.nearby(), F.col("POS"))
-    found = scored.select(*traits, "CHR", F.explode(F.array_distinct(F.array(F.lit(None).cast("int"), place))).alias("POS"))
-    return cut_lineage(found.distinct(), "places")
-
+    """(trait, CHR, START, END) of regions with at least one variant over the threshold.
 
-def _regions_hit(places: DataFrame, listed: DataFrame, width: int) -> DataFrame:
-    """(trait, CHR, START, END) of regions that hold a place."""
-    traits = trait_keys(places.columns)
-    seen = profile_ranges(listed, "START", "END", width)
-    binned = hint_small(explode_bins(listed.distinct(), "START", "END", width), seen.binned_bytes)
-    pairs = pair_inside(places.where(F.col("POS").isNotNull()), binned, ["CHR"], "START", "END", width)
-    return pairs.select(*traits, "CHR", "START", "END").distinct()
+    Answered from the peaks, stored ones or those of the table; variants are read only in bins that a region cuts.
+    """
+    peaks = peak_table(sumstats, width) if peaks is None else peaks
+    return ranges_hit(sumstats, peaks, regions, threshold, width)
 
 
-def significant_regions(
-    sumstats: DataFrame, regions: DataFrame, threshold: float, width: int = REGION_BIN, places: DataFrame | None = None
-) -> DataFrame:
-    """(trait, CHR, START, END) of regions with at least one variant over the threshold.
+def traits_present(sumstats: DataFrame, regions: DataFrame, peaks: DataFrame, width: int = REGION_BIN) -> DataFrame:
+    """(trait, CHR) of traits with a variant inside the chromosome's envelope.
 
-    Only significant places take part, once each. The distinct (trait, region) is
-    taken map-side in the stage of the join, so variant-region pairs are never shuffled.
+    A first or last variant of a bin inside the envelope shows it; an envelope that lies between the two of one bin is
+    looked up among the variants.
     """
-    listed = regions.select("CHR", "START", "END")
-    if places is None:
-        places = significant_places(sumstats, regions, threshold, width)
-    return _regions_hit(places, listed, width)
+    traits = trait_keys(peaks.columns)
+    envelope = F.broadcast(chromosome_envelope(regions))  # at most 24 rows
+    met = peaks.join(envelope, "CHR").where((F.col("first") <= F.col("max_end")) & (F.col("last") >= F.col("min_start")))
+    inside = lambda c: F.col(c).between(F.col("min_start"), F.col("max_end"))
+    known = met.groupBy(*traits, "CHR", "min_start", "max_end").agg(F.bool_or(inside("first") | inside("last")).alias("sure"))
+    known = cut_lineage(known, "present")
+    sure = known.where("sure").select(*traits, "CHR")
+    open_ = known.where("NOT sure").withColumnRenamed("min_start", "START").withColumnRenamed("max_end", "END")
+    if open_.isEmpty():
+        return sure
+    few = peaks.join(broadcast_if_small(open_.select(*traits, "CHR").distinct()), [*traits, "CHR"], "left_semi")
+    read = ranges_hit(sumstats, few, open_, 0.0, width, traits)
+    return sure.unionByName(read.select(*traits, "CHR").distinct())
 
 
 def region_pvalue_filter(
@@ -96,11 +89,12 @@ def region_pvalue_filter(
     threshold: float,
     width: int = REGION_BIN,
     significant: DataFrame | None = None,
+    peaks: DataFrame | None = None,
 ) -> DataFrame:
     """All variants of every region that has one over the threshold, trait by trait.
 
-    The qualifying (trait, region) list is written once; a second, pruned pass over the
-    table then needs no shuffle as long as that list can be broadcast.
+    Which regions qualify follows from the peaks (see `significant_regions`); that list is written once. One pruned pass over
+    the table then needs no shuffle as long as the list can be broadcast.
     """
     if threshold <= 0:
         return region_semi_join(sumstats, regions, width)
@@ -108,7 +102,7 @@ def region_pvalue_filter(
     scored = with_mlog10p(sumstats)
     kept = significant
     if kept is None:
-        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width), "regions")
+        kept = cut_lineage(significant_regions(sumstats, regions, threshold, width, peaks), "regions")
     seen = profile_ranges(kept, "START", "END", width)
     pieces = hint_small(disjoint_pieces(kept, [*traits, "CHR"], "START", "END", width), seen.binned_bytes)
     return keep_inside(scored.where(seen.nearby()), pieces, [*traits, "CHR"], width)
@@ -119,20 +113,21 @@ def region_flags(
     regions: DataFrame,
     threshold: float,
     width: int = REGION_BIN,
-    places: DataFrame | None = None,
+    peaks: DataFrame | None = None,
+    significant: DataFrame | None = None,
 ) -> DataFrame:
     """One row per trait and listed region: does any variant exceed the threshold?
 
-    A trait has rows for a chromosome only if it has a variant inside the chromosome's envelope. One pass over
-    the table gives both that and the significant places (`places`, see `significant_places`). Traits
-    meet the regions of a chromosome in blocks, so a long list is spread over many tasks.
+    A trait has rows for a chromosome only if it has a variant inside the chromosome's envelope. Both are answered from the
+    peaks, stored ones or those of the table. Traits meet the regions of a chromosome in blocks, so a long list is spread over
+    many tasks.
     """
-    traits = trait_keys(sumstats.columns)
     listed = regions.select("CHR", "START", "END")
-    if places is None:
-        places = significant_places(sumstats, regions, threshold, width)
-    hits = _regions_hit(places, listed, width).withColumn("hit", F.lit(True))
-    present = places.select(*traits, "CHR").distinct()
+    peaks = cut_lineage(peak_table(sumstats, width), "peaks") if peaks is None else peaks
+    traits = trait_keys(peaks.columns)
+    hits = significant_regions(sumstats, listed, threshold, width, peaks) if significant is None else significant
+    hits = hits.withColumn("hit", F.lit(True))
+    present = traits_present(sumstats, listed, peaks, width)
     block = F.pmod(F.xxhash64("START", "END"), F.lit(FLAG_BLOCKS)).cast("int")
     spread = present.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(FLAG_BLOCKS - 1))))
     asked = spread.join(broadcast_if_small(listed.withColumn("block", block)), ["CHR", "block"]).drop("block")
@@ -143,17 +138,18 @@ def region_flags(
 
 
 def extract_regions(
-    sumstats: DataFrame, regions: DataFrame, threshold: float = 0.0
+    sumstats: DataFrame, regions: DataFrame, threshold: float = 0.0, peaks: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(variants, flags): SNP mode or region mode by the shape of the list.
 
-    Flags exist in region mode with a threshold only. In SNP mode START is the position.
+    Flags exist in region mode with a threshold only. In SNP mode START is the position. `peaks` are the stored peaks of the same
+    traits, if there are any.
     """
     if is_snp_list(regions):
         return snp_semi_join(sumstats, regions, threshold), None
     if threshold <= 0:
         return region_semi_join(sumstats, regions), None
-    places = significant_places(sumstats, regions, threshold)
-    kept = cut_lineage(significant_regions(sumstats, regions, threshold, places=places), "regions")
+    peaks = cut_lineage(peak_table(sumstats), "peaks") if peaks is None else peaks
+    kept = cut_lineage(significant_regions(sumstats, regions, threshold, peaks=peaks), "regions")
     found = region_pvalue_filter(sumstats, regions, threshold, significant=kept)
-    return found, region_flags(sumstats, regions, threshold, places=places)
+    return found, region_flags(sumstats, regions, threshold, peaks=peaks, significant=kept)

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.normal import mlog10p_from_z, z_score
+from statloom.functions.text import trait_bucket
 from statloom.functions.variants import snpid
 from statloom.operators.joins import broadcast_if_small, hint_small, profile_ranges
-from statloom.schemas import ATTRIBUTES, CHR_DOMAIN, DIMENSIONS, GROUP_COLUMNS, POS_DOMAIN
+from statloom.schemas import ATTRIBUTES, BUCKET, CHR_DOMAIN, DIMENSIONS, GROUP_COLUMNS, POS_DOMAIN
 
 
 def parse_attributes(attributes: str | Iterable[str]) -> list[str]:
@@ -43,19 +44,47 @@ def with_mlog10p(df: DataFrame) -> DataFrame:
 
 
 def in_trait(df: DataFrame, trait: str) -> DataFrame:
-    """All rows of one trait."""
-    return df.where(F.col("TRAITID") == trait)
+    """All rows of one trait; of a stored table only its bucket is read."""
+    own = F.col("TRAITID") == trait
+    return df.where(own & (F.col(BUCKET) == trait_bucket(F.lit(trait)))) if BUCKET in df.columns else df.where(own)
+
+
+def _held_by(columns: Sequence[str], wanted: DataFrame, groups: Sequence[str]) -> Column:
+    """Literal predicate on the partitions (project, study, bucket) and on TRAITID that keeps every row of the wanted traits.
+
+    What reaches the driver is bounded by the partitions of the table, not by the traits: the partition values, and for each
+    bucket the smallest and the largest trait. The first part prunes partitions, the second row groups and pages.
+    """
+    kept = [*groups, *([BUCKET] if BUCKET in columns else [])]
+    named = wanted.withColumn(BUCKET, trait_bucket(F.col("TRAITID"))).dropna(subset=[*groups, "TRAITID"])
+    spans = named.groupBy(*groups, BUCKET).agg(F.min("TRAITID").alias("low"), F.max("TRAITID").alias("high")).collect()
+    ranges: dict[int, tuple[str, str]] = {}
+    for row in spans:
+        low, high = ranges.get(row[BUCKET], (row["low"], row["high"]))
+        ranges[row[BUCKET]] = min(low, row["low"]), max(high, row["high"])
+    inside = [F.col("TRAITID").between(low, high) for low, high in ranges.values()]
+    if BUCKET in columns:
+        inside = [(F.col(BUCKET) == bucket) & one for bucket, one in zip(ranges, inside)]
+    test = reduce(lambda a, b: a | b, inside, F.lit(False))
+    for c in kept:
+        test &= F.col(c).isin(sorted({row[c] for row in spans}))
+    if len(kept) > 1:
+        held = sorted({"\n".join(str(row[c]) for c in kept) for row in spans})
+        test &= F.concat_ws("\n", *[F.col(c).cast("string") for c in kept]).isin(held)
+    return test
 
 
 def in_traits(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of the catalog's traits, within their project and study where the table has them.
 
-    One semi join for a selection of any size; where it is broadcast, Spark prunes the table's
-    partitions by it at run time. A record with a null in its key selects nothing.
+    Only the partitions (project, study, bucket of traits) that hold a selected trait are read, whatever the size of the
+    selection, and of these the row groups between its smallest and largest trait; a semi join is the exact test. The bucket is
+    not part of the result. A record with a null in its key selects nothing.
     """
     groups = [c for c in GROUP_COLUMNS if c in df.columns and c in catalog.columns]
     wanted = catalog.select(*groups, F.col("data_id").alias("TRAITID")).distinct()
-    return df.join(broadcast_if_small(wanted), [*groups, "TRAITID"], "left_semi").select(*df.columns)
+    rows = df.where(_held_by(df.columns, wanted, groups))
+    return rows.join(broadcast_if_small(wanted), [*groups, "TRAITID"], "left_semi").select(*[c for c in df.columns if c != BUCKET])
 
 
 def in_group(df: DataFrame, project: str, study: str) -> DataFrame:

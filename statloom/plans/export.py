@@ -62,12 +62,14 @@ def export(
     labels: bool = False,
     case_sensitive: bool = False,
     exact_match: bool = False,
+    peaks: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Result frames by name; `metadata` is always among them. The catalog is searched once.
 
     The analysis is the first one asked for, in the order: loci, regions or
     SNPs, lead SNPs, meta-analysis, full statistics. A meta-analysis names its traits once per study, in `meta_labels`,
-    or with `labels` on every row; `unique` states that no trait has copies of a variant.
+    or with `labels` on every row; `unique` states that no trait has copies of a variant. `peaks` (see `read_peaks`) lets
+    regions with a threshold be found without reading the table for them.
     """
     leads_asked = trait_snps is not None and not locusbreaker and region_list is None
     metadata = cut_lineage(
@@ -91,7 +93,8 @@ def export(
             rows, maf, pvalue_limit, pvalue_sig, hole_size, locus_flanks, variance
         )
     elif region_list is not None:
-        found, flags = regions.extract_regions(rows, region_list, pvalue_filt)
+        known = None if peaks is None else slices.in_traits(peaks, metadata)
+        found, flags = regions.extract_regions(rows, region_list, pvalue_filt, known)
         results["result"] = described(_requested(found, attributes))
         if flags is not None:
             results["pvalue_filt"] = flags

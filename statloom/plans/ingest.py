@@ -7,18 +7,20 @@ import logging
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.text import slug
 from statloom.operators.catalog import catalog_delete, catalog_modify, catalog_upsert, to_catalog_row, validate_catalog
 from statloom.operators.joins import broadcast_if_small
 from statloom.operators.slices import validate_sumstats
 from statloom.schemas import CATALOG_KEY, CATALOG_SCHEMA, GROUP_COLUMNS
-from statloom.session import cut_lineage, scratch_path
+from statloom.session import cut_lineage, delete_path, scratch_freed, scratch_path, scratch_paths
+from statloom.sources import store
 from statloom.sources.files import absolute_column, content_ids, location, location_column
 from statloom.sources.manifest import require_columns
-from statloom.sources.sinks import append_sumstats, save_catalog
+from statloom.sources.sinks import TRAITS, replace_records, store_sumstats
 from statloom.sources.sumstats import read_sumstats_files, read_table
 
 log = logging.getLogger(__name__)
@@ -45,18 +47,14 @@ def report(df: DataFrame, what: str) -> int:
         log.warning("%d %s; the list is in %s", count, what, path)
         for row in kept.toLocalIterator():
             log.warning("  %s", ", ".join(str(v) for v in row))
+    else:
+        delete_path(df.sparkSession, path)
     return count
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The stored catalog; an empty one where nothing is stored yet."""
-    try:
-        stored = spark.read.schema(CATALOG_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], CATALOG_SCHEMA)
-    return stored.select(*CATALOG_SCHEMA.names)
+    """The stored catalog, as its log has it now; an empty one where nothing is stored yet."""
+    return store.read_parts(spark, path, store.latest(spark, path), columns=CATALOG_SCHEMA)
 
 
 def ingest_metadata(files: DataFrame, catalog_path: str) -> None:
@@ -66,85 +64,93 @@ def ingest_metadata(files: DataFrame, catalog_path: str) -> None:
     wrong = report(records.where("not valid").select("project", "study", "data_id"), "records with a wrong category, build or key")
     if wrong:
         raise ValueError(f"{wrong} records have a wrong category, build or key; see the log for the list")
-    fresh = records.drop("valid")
+    fresh = cut_lineage(records.drop("valid"), "records")  # the same dates if it is stored at a second attempt
     touched = broadcast_if_small(fresh.select(*GROUP_COLUMNS).distinct())
-    stored = read_catalog(spark, catalog_path).join(touched, list(GROUP_COLUMNS), "left_semi")
-    save_catalog(catalog_upsert(stored, fresh), catalog_path)
+
+    def make(stored: DataFrame):
+        own = stored.join(touched, list(GROUP_COLUMNS), "left_semi")
+        return catalog_upsert(own, fresh), None
+
+    replace_records(spark, catalog_path, make)
 
 
 def modify_records(spark: SparkSession, catalog_path: str, patch: DataFrame) -> int:
     """Store changes to named fields of existing records (see `catalog_modify`); returns how many records changed.
 
-    Only the partitions of the patch are read and written again.
+    Only the partitions of the patch are read and written again; they are replaced at once.
     """
-    patch = cut_lineage(patch, "patch")  # it may come from the stored catalog itself
-    touched = patch.select(*GROUP_COLUMNS).distinct()
-    stored = read_catalog(spark, catalog_path).join(broadcast_if_small(touched), list(GROUP_COLUMNS), "left_semi")
-    done = cut_lineage(catalog_modify(stored, patch), "modified")
-    save_catalog(done.drop("updated"), catalog_path)
-    return done.where("updated").count()
+    changed = 0
+    with scratch_freed(spark):
+        patch = cut_lineage(patch, "patch")  # it may come from the stored catalog itself
+        touched = patch.select(*GROUP_COLUMNS).distinct()
+
+        def make(stored: DataFrame):
+            nonlocal changed
+            own = stored.join(broadcast_if_small(touched), list(GROUP_COLUMNS), "left_semi")
+            done = cut_lineage(catalog_modify(own, patch), "modified")
+            changed = done.where("updated").count()
+            return (done.drop("updated"), None) if changed else None
+
+        replace_records(spark, catalog_path, make)
+    return changed
 
 
 def delete_records(spark: SparkSession, catalog_path: str, keys: DataFrame) -> int:
     """Take the records with the given keys from the stored catalog; returns how many there were.
 
-    A partition whose records all go is deleted with them.
+    A reader sees all of them or none; a partition whose records all go is no longer part of the catalog.
     """
-    keys = cut_lineage(keys.select(*CATALOG_KEY), "keys")  # they may come from the stored catalog itself
-    touched = keys.select(*GROUP_COLUMNS).distinct()
-    stored = read_catalog(spark, catalog_path).join(broadcast_if_small(touched), list(GROUP_COLUMNS), "left_semi")
-    before = stored.count()
-    left = cut_lineage(catalog_delete(stored, keys), "left")
-    save_catalog(left, catalog_path, touched)
-    return before - left.count()
+    gone = 0
+    with scratch_freed(spark):
+        keys = cut_lineage(keys.select(*CATALOG_KEY), "keys")  # they may come from the stored catalog itself
+        touched = keys.select(*GROUP_COLUMNS).distinct()
 
+        def make(stored: DataFrame):
+            nonlocal gone
+            own = stored.join(broadcast_if_small(touched), list(GROUP_COLUMNS), "left_semi")
+            left = cut_lineage(catalog_delete(own, keys), "left")
+            gone = own.count() - left.count()
+            return (left, touched) if gone else None
 
-def _ledger(table_path: str) -> str:
-    return table_path.rstrip("/") + "_traits"
+        replace_records(spark, catalog_path, make)
+    return gone
 
 
 def stored_traits(spark: SparkSession, table_path: str) -> DataFrame:
-    """project, study, TRAITID of every trait the table holds, from the ledger that ingest keeps beside it.
+    """project, study, TRAITID of every trait the table holds, from the ledger that each batch brings with its rows.
 
-    A table without a ledger is read once to write one.
+    Of a folder of files without a log, the rows are read.
     """
     key = [*GROUP_COLUMNS, "TRAITID"]
-    schema = ", ".join(f"{c} string" for c in key)
+    columns = T.StructType([T.StructField(c, T.StringType()) for c in key])
+    version = store.latest(spark, table_path)
+    if version.number:
+        return store.read_parts(spark, f"{table_path.rstrip('/')}{TRAITS}", version, columns=columns).distinct()
     try:
-        return spark.read.schema(schema).parquet(_ledger(table_path)).distinct()
+        return read_table(spark, table_path).select(*key).distinct()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    try:
-        traits = read_table(spark, table_path).select(*key).distinct()
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-    traits.write.parquet(_ledger(table_path))
-    return spark.read.schema(schema).parquet(_ledger(table_path))
+        return spark.createDataFrame([], columns)
 
 
 def _same_layout(spark: SparkSession, table_path: str, with_pvalue: bool) -> None:
     """A table is stored with or without p-values, not both."""
-    try:
-        names = read_table(spark, table_path).columns
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        return
-    if ("MLOG10P" in names) != with_pvalue:
-        raise ValueError(f"the table {table_path} is stored with{'' if 'MLOG10P' in names else 'out'} p-values")
+    version = store.latest(spark, table_path)
+    if version.number and ("MLOG10P" in read_table(spark, table_path).columns) != with_pvalue:
+        raise ValueError(f"the table {table_path} is stored with{'out' if with_pvalue else ''} p-values")
 
 
 def ingest_sumstats(
-    files: DataFrame, table_path: str, with_pvalue: bool = True, dedup: bool = False, files_per_job: int = 10_000
+    files: DataFrame, table_path: str, with_pvalue: bool = True, dedup: bool = False, files_per_job: int = 10_000, batch: str | None = None
 ) -> DataFrame | None:
     """Append the rows of `known_files` to the table; returns quarantined rows if there are any.
 
     Ingesting a file again duplicates its rows, unless `dedup` leaves out traits that the table's
-    ledger names. Files are taken `files_per_job` at a time, so that many paths reach the driver at once at most;
-    each job reads them once, writes the checked rows to the shared folder, and appends the good ones. Invalid rows are counted there.
+    ledger names. Files are taken `files_per_job` at a time, so that many paths reach the driver at once at most.
+    Each job is one batch of the table: its rows and its part of the ledger count together, once it is done. With `batch`, a name
+    for this ingest, jobs that were done before a failure are left out when it is run again. Invalid rows are counted as
+    they pass; only if there are some are their files read again, and the rows written to the shared folder.
     """
     spark = files.sparkSession
     _same_layout(spark, table_path, with_pvalue)
@@ -152,11 +158,9 @@ def ingest_sumstats(
     listed = files.select(
         *[slug(F.col(c)).alias(c) for c in GROUP_COLUMNS], F.col("data_id").alias("TRAITID"), "file_path"
     )
-    known = stored_traits(spark, table_path)
     if dedup:
-        listed = listed.join(broadcast_if_small(known), key, "left_anti")
-    paths = listed.select("file_path").distinct()
-    jobs = max(1, -(-paths.count() // files_per_job))
+        listed = listed.join(broadcast_if_small(stored_traits(spark, table_path)), key, "left_anti")
+    jobs = max(1, -(-files.select("file_path").distinct().count() // files_per_job))
     listed = cut_lineage(listed.withColumn("job", F.pmod(F.xxhash64("file_path"), F.lit(jobs))), "listed")
     odd = []
     for job in range(jobs):
@@ -169,18 +173,12 @@ def ingest_sumstats(
         rows = read_sumstats_files(spark, names, with_pvalue)
         rows = rows.withColumn("location", location_column(F.col("file_path"))).drop("file_path")
         checked = validate_sumstats(rows.join(broadcast_if_small(owners), "location").drop("location"))
-        checked = cut_lineage(checked, "checked")
-        append_sumstats(checked.where("valid").drop("valid"), table_path)
-        part.select(*key).distinct().write.mode("append").parquet(_ledger(table_path))
-        odd.append(checked.where("not valid").drop("valid"))
-    if not odd:
-        return None
-    quarantine = reduce(DataFrame.unionByName, odd)
-    count = quarantine.count()
-    if not count:
-        return None
-    log.warning("%d rows lie outside the domains and were not stored", count)
-    return quarantine
+        seen = Observation()
+        passing = checked.observe(seen, F.count_if(~F.col("valid")).alias("odd")).where("valid").drop("valid")
+        stored = store_sumstats(passing, table_path, None if batch is None else f"{batch}/{job}", part)
+        if stored and seen.get["odd"]:
+            odd.append(checked.where("not valid").drop("valid"))
+    return reduce(DataFrame.unionByName, odd) if odd else None
 
 
 def ingest(
@@ -190,13 +188,27 @@ def ingest(
     what: str = "both",
     with_pvalue: bool = True,
     dedup: bool = False,
+    batch: str | None = None,
 ) -> DataFrame | None:
-    """Ingest metadata, data or both, after one existence check for either."""
+    """Ingest metadata, data or both, after one existence check for either.
+
+    `batch` names the ingest: run again under the same name, it adds what is missing and nothing twice (see `ingest_sumstats`).
+    Scratch folders go when the ingest ends, but for quarantined rows and the lists that the log names.
+    """
     if what not in ("metadata", "data", "both"):
         raise ValueError("what must be 'metadata', 'data' or 'both'")
-    files = known_files(manifest)
-    if what in ("metadata", "both"):
-        ingest_metadata(files, catalog_path)
-    if what in ("data", "both"):
-        return ingest_sumstats(files, table_path, with_pvalue, dedup)
-    return None
+    spark, quarantine = manifest.sparkSession, None
+    with scratch_freed(spark) as kept:
+        files = known_files(manifest)
+        if what in ("metadata", "both"):
+            ingest_metadata(files, catalog_path)
+        if what in ("data", "both"):
+            quarantine = ingest_sumstats(files, table_path, with_pvalue, dedup, batch=batch)
+        if quarantine is not None:
+            path = scratch_path(spark, "quarantine")
+            quarantine.write.parquet(path)
+            kept.add(path)
+            quarantine = spark.read.schema(quarantine.schema).parquet(path)
+            log.warning("%d rows lie outside the domains and were not stored; they are in %s", quarantine.count(), path)
+        kept.update(p for p in scratch_paths(spark) if "/report-" in p)
+    return quarantine

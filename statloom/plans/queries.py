@@ -14,6 +14,7 @@ from statloom.operators import leads, loci, meta, regions, slices, summaries
 from statloom.plans import export as exporting
 from statloom.plans import ingest as ingesting
 from statloom.plans import views
+from statloom.schemas import BUCKET
 from statloom.session import scratch_path
 from statloom.sources import manifest as manifests
 from statloom.sources import sinks
@@ -147,7 +148,7 @@ def ingest_sumstats(spark, sf):
         F.regexp_extract("file_path", "project=([^/]+)", 1).alias("project"), F.regexp_extract("file_path", "study=([^/]+)", 1).alias("study"),
         F.lit("GWAS").alias("category"), "file_path")
     ingesting.ingest(rows, f"{path}/table", f"{path}/catalog")
-    stored = _shown(sumstats_files.read_table(spark, f"{path}/table"))
+    stored = _shown(sumstats_files.read_table(spark, f"{path}/table")).drop(BUCKET)
     ledger = ingesting.stored_traits(spark, f"{path}/table")
     records = ingesting.read_catalog(spark, f"{path}/catalog").select("project", "study", F.col("data_id").alias("TRAITID"))
     once = ledger.intersect(records).groupBy("project", "study").agg(F.count(F.lit(1)).alias("n"), F.max("TRAITID").alias("own"))
@@ -182,7 +183,7 @@ def write_result(spark, sf):
 
 def multi_trait_export(spark, sf):
     template = {"category": "pQTL", "trait": [{"desc": "red"}]}
-    results = exporting.export(views.sumstats_by_study(spark, sf), views.catalog(spark, sf), template, pvalue_thr=6.0, attributes="BETA,MLOG10P")
+    results = exporting.export(views.stored_by_study(spark, sf), views.catalog(spark, sf), template, pvalue_thr=6.0, attributes="BETA,MLOG10P")
     written = exporting.write_export(results, scratch_path(spark, "export") + "/out", "parquet")
     return spark.read.parquet(written["result"]).select("SNPID", "TRAITID", "BETA", "MLOG10P", "meta_category", "output_prefix")
 
@@ -214,7 +215,7 @@ def mlog10p_fallback(spark, sf):
 
 def trait_slice(spark, sf):
     chosen = cat.search_catalog(views.catalog(spark, sf), {"category": "pqtl"})
-    return slices.in_traits(views.sumstats(spark, sf), chosen)
+    return slices.in_traits(views.stored_sumstats(spark, sf), chosen)
 
 
 def position_points(spark, sf):
@@ -240,7 +241,7 @@ def process_result(spark, sf):
 
 def full_stats(spark, sf):
     found = cat.search_catalog(views.catalog(spark, sf), {"category": "GWAS", "trait": [{"desc": "red"}, {"desc": "bolt"}]})
-    rows = slices.full_stats(views.sumstats_by_study(spark, sf), found, 5.0, "BETA,SE,MLOG10P")
+    rows = slices.full_stats(views.stored_by_study(spark, sf), found, 5.0, "BETA,SE,MLOG10P")
     fields = cat.project_catalog(found, ["project", "study", "category", "data_id", "notes_source_id", "trait_desc"])
     return cat.metadata_broadcast(rows, fields)
 
@@ -265,11 +266,11 @@ def region_semi_join_overlapping(spark, sf):
 
 
 def region_pvalue_filter(spark, sf):
-    return regions.region_pvalue_filter(views.sumstats(spark, sf), views.regions(spark, sf), REGION_THRESHOLD)
+    return regions.region_pvalue_filter(views.sumstats(spark, sf), views.regions(spark, sf), REGION_THRESHOLD, peaks=views.sumstats_peaks(spark, sf))
 
 
 def region_flags(spark, sf):
-    return regions.region_flags(views.sumstats(spark, sf), views.regions(spark, sf), REGION_THRESHOLD)
+    return regions.region_flags(views.sumstats(spark, sf), views.regions(spark, sf), REGION_THRESHOLD, peaks=views.sumstats_peaks(spark, sf))
 
 
 def chromosome_envelope(spark, sf):
@@ -389,7 +390,7 @@ def grouped_meta(spark, sf):
 
 def meta_export(spark, sf):
     """The meta-analysis as `export` runs it, copies looked for, labels kept once per study."""
-    results = exporting.export(views.sumstats_by_study(spark, sf), views.catalog(spark, sf), {"category": "GWAS"}, meta_analysis=True)
+    results = exporting.export(views.stored_by_study(spark, sf), views.catalog(spark, sf), {"category": "GWAS"}, meta_analysis=True)
     done = results["meta_analysis"].join(results["meta_labels"].select("project", "study", F.length("TRAITID").alias("label_length")), ["project", "study"])
     return _rounded(done, "BETA", "SE").select("project", "study", "SNP", "BETA", "SE", "n_copies", "label_length")
 

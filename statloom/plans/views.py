@@ -15,8 +15,9 @@ from pyspark.sql.types import StructType
 
 from statloom.functions.text import short_hash, slug
 from statloom.session import scratch_path
-from statloom.sources.sinks import append_sumstats
-
+from statloom.schemas import BUCKET
+from statloom.sources.sinks import store_sumstats
+from statloom.sources.sumstats import read_peaks, read_table
 
 _schemas: dict[str, StructType] = {}
 
@@ -30,16 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _stored: dict[tuple[str, str, str], str] = {}
+_opened: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _store(df: Callable[[], DataFrame], spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a stored table in its native order, written once per application and scale."""
+    """The view as a stored table in its native order, written and opened once per application and scale."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         path = scratch_path(spark, name)
-        append_sumstats(df(), path)
+        store_sumstats(df(), path)
         _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        _opened[key] = read_table(spark, path)
+    return _opened[key]
 
 
 def _id(column: Column) -> Column:
@@ -67,21 +70,40 @@ def _grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (part, supplier): the supplier is the trait, the part the variant."""
+def stored_sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (part, supplier): the supplier is the trait, the part the variant. As a stored table, with its bucket of traits."""
     return _store(lambda: _sumstats(spark, sf_dir), spark, sf_dir, "sumstats")
 
 
+def sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `stored_sumstats`."""
+    return stored_sumstats(spark, sf_dir).drop(BUCKET)
+
+
+def sumstats_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peaks stored with `stored_sumstats`."""
+    stored_sumstats(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "sumstats")
+    if (*key[:2], "peaks") not in _opened:
+        _opened[(*key[:2], "peaks")] = read_peaks(spark, _stored[key]).drop(BUCKET)
+    return _opened[(*key[:2], "peaks")]
+
+
 def sumstats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As `sumstats`, with several variants at a position, indels and many tied p-values."""
-    return _store(lambda: _sumstats_dense(spark, sf_dir), spark, sf_dir, "dense")
+    return _store(lambda: _sumstats_dense(spark, sf_dir), spark, sf_dir, "dense").drop(BUCKET)
 
 
-def sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`sumstats` with the project and study of each trait, partitioned by them."""
+def stored_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`sumstats` with the project and study of each trait, as a table that is partitioned by them and by buckets of traits."""
     return _store(lambda: _sumstats_by_study(spark, sf_dir), spark, sf_dir, "by_study")
 
 
+def sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `stored_by_study`."""
+    return stored_by_study(spark, sf_dir).drop(BUCKET)
+
+
 def _sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped_lines(spark, sf_dir).select(
         (F.lit(1) + F.col("l_partkey") % 22).cast("int").alias("CHR"),

@@ -30,6 +30,8 @@ MANIFEST_TYPES = {
     "total_controls": "bigint",
 }
 GROUP_COLUMNS = ("project", "study")
+#: The stored table's last partition column: a hash of TRAITID, so that a choice of traits reads their buckets only.
+BUCKET, BUCKETS = "trait_bucket", 16
 CATALOG_KEY = ("project", "study", "data_id")
 SOURCE_ID = "notes_source_id"
 DEFAULT_OUTPUT = ("project", "study", "category", "data_id", SOURCE_ID)

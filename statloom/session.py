@@ -6,11 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Scratch paths handed out, by application.
 _handed_out: dict[str, list[str]] = {}
+#: Those of the job at work, which go when it ends.
+_of_job: ContextVar[list[str] | None] = ContextVar("of_job", default=None)
 
 
 def local_session(cores: int | str = 8, app: str = "statloom") -> SparkSession:
@@ -58,9 +63,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    mine = _of_job.get()
+    if mine is not None:
+        mine.append(path)
     return path
 
 
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The scratch folders of this application that are still there."""
+    return list(_handed_out.get(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch_freed(spark: SparkSession) -> Iterator[set[str]]:
+    """Delete the scratch folders of the block when it ends, but those put into the set that it yields.
+
+    For jobs whose results are stored, not read from scratch. Blocks may be nested; what an inner one keeps is kept.
+    """
+    mine, kept = [], set()
+    token = _of_job.set(mine)
+    try:
+        yield kept
+    finally:
+        _of_job.reset(token)
+        known = _handed_out.get(spark.sparkContext.applicationId, [])
+        for path in mine:
+            if path not in kept:
+                delete_path(spark, path)
+                if path in known:
+                    known.remove(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder through Spark's file systems; False where there was none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,6 +106,20 @@ def drop_scratch(spark: SparkSession) -> int:
     return sum(delete_path(spark, p) for p in paths)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the actions of the block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write the frame once to the shared folder and go on from the written table.
 

@@ -3,47 +3,127 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
-from statloom.schemas import DIMENSIONS, GROUP_COLUMNS
-from statloom.session import cut_lineage, delete_path
+from statloom.functions.text import trait_bucket
+from statloom.operators.peaks import peak_table
+from statloom.schemas import BUCKET, CATALOG_SCHEMA, DIMENSIONS, GROUP_COLUMNS
+from statloom.session import setting
+from statloom.sources import store
 
 log = logging.getLogger(__name__)
 
+#: What a table's path ends in for the folders of its peaks and of the traits it holds.
+PEAKS, TRAITS = "_peaks", "_traits"
+#: Spark's setting that makes more, smaller tasks than sizes ask for, to occupy all cores.
+BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
 FORMATS = ("parquet", "csv.gz", "csv")
 
 
 def append_sumstats(df: DataFrame, path: str) -> None:
-    """Append to the table: partitioned by project and study, files sorted by CHR, TRAITID, POS.
+    """Append files: partitioned by project, study and bucket of traits, sorted by CHR, TRAITID, POS.
+
+    Rows are dealt by partition and chromosome with the rebalance hint, which needs no sampling pass: the
+    input is read once, and Spark splits large parts and joins small ones by their measured size (and by that alone, not to
+    occupy all cores: a small batch makes few files). So files have bounded sizes, whatever study, trait or chromosome
+    holds most rows.
+    """
+    keyed = df.withColumn(BUCKET, trait_bucket(F.col("TRAITID")))
+    groups = [*[c for c in GROUP_COLUMNS if c in df.columns], BUCKET]
+    ordered = keyed.hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, *DIMENSIONS)
+    with setting(df.sparkSession, BY_SIZE, "false"):
+        ordered.write.partitionBy(*groups).option("compression", "zstd").mode("append").parquet(path)
+
+
+def stored_columns(df: DataFrame) -> StructType:
+    """Columns of the files of `append_sumstats`, the partition columns last."""
+    groups = [c for c in GROUP_COLUMNS if c in df.columns]
+    own = [f for f in df.schema.fields if f.name not in (*groups, BUCKET)]
+    parts = [T.StructField(c, T.StringType()) for c in groups] + [T.StructField(BUCKET, T.IntegerType())]
+    return StructType([T.StructField(f.name, f.dataType) for f in own] + parts)
+
+
+def store_sumstats(df: DataFrame, table: str, name: str | None = None, traits: DataFrame | None = None) -> bool:
+    """Add a batch to the stored table: its rows, their peaks, and the traits it brought (`traits`, or those of the rows).
 
-    Rows are dealt by study and chromosome with the rebalance hint, which needs no sampling pass: the
-    input is read once, and Spark splits large parts and joins small ones by their measured size. So files have
-    bounded sizes, whatever study or chromosome holds most rows.
+    All three count from the moment that the table's log names the batch, and not before: a batch that fails on the way
+    leaves nothing that a reader sees. A batch whose `name` the log has already is left out (False).
     """
+    spark, table = df.sparkSession, table.rstrip("/")
+    before = store.latest(spark, table)
+    if name is not None and name in before.done:
+        return False
+    if not before.number and _has_parquet(spark, table):
+        raise ValueError(f"{table} holds files that no log names; store its rows anew")
+    batch, columns = store.new_batch(), stored_columns(df)
+    append_sumstats(df, f"{table}/{batch}")
+    written = store.read_parts(spark, table, before, [batch], columns)
     groups = [c for c in GROUP_COLUMNS if c in df.columns]
-    ordered = df.hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, *DIMENSIONS)
-    ordered.write.partitionBy(*groups).option("compression", "zstd").mode("append").parquet(path)
+    if {"MLOG10P", "BETA"} & set(df.columns):
+        peaks = peak_table(written).hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, "CHR", "TRAITID", "bin")
+        with setting(spark, BY_SIZE, "false"):
+            peaks.write.partitionBy(*groups).option("compression", "zstd").parquet(f"{table}{PEAKS}/{batch}")
+    key = [*groups, "TRAITID"]
+    brought = written.select(*key) if traits is None else traits.select(*key)
+    brought.distinct().write.parquet(f"{table}{TRAITS}/{batch}")
+
+    def step(now: store.Version) -> store.Version | None:
+        if name is not None and name in now.done:
+            return None
+        done = now.done if name is None else (*now.done, name)
+        return replace(now, parts=(*now.parts, batch), done=done, schema=now.schema or columns.json())
+
+    return batch in store.change(spark, table, step).parts
+
+
+def _has_parquet(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return False
+    visible = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return any(f"/{store.BATCH}=" not in f for f in visible.inputFiles())
 
 
 def save_catalog(df: DataFrame, path: str, touched: DataFrame | None = None) -> None:
-    """Write records partitioned by project and study, replacing the partitions present and those `touched`.
+    """Store records in place of those of the partitions (project, study) present and of those `touched`.
+
+    The new records are written beside the old ones and replace them at once, when the catalog's log names them: a reader sees the
+    records before or after, and a write that fails leaves the old ones. Partitions that are not named stay as they are.
+    """
+    replace_records(df.sparkSession, path, lambda _: (df, touched))
+
+
+def replace_records(spark: SparkSession, path: str, make: Callable[[DataFrame], tuple[DataFrame, DataFrame | None] | None]) -> None:
+    """Store what `make` makes of the stored records, as `save_catalog` does; made anew if another writer was faster.
 
-    The records are written to the shared folder first, so they may come from the very
-    partitions they replace. A touched partition without records left is deleted.
+    `make` gets the records and returns the new ones and the partitions they stand for (or None to leave all as it is).
     """
-    spark = df.sparkSession
-    ready = cut_lineage(df, "catalog")
-    writer = ready.write.partitionBy(*GROUP_COLUMNS).option("partitionOverwriteMode", "dynamic")
-    writer.mode("overwrite").parquet(path)
-    if touched is None:
-        return
-    emptied = touched.select(*GROUP_COLUMNS).distinct().join(ready, list(GROUP_COLUMNS), "left_anti")
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for row in emptied.toLocalIterator():
-        parts = (f"{c}={escape(row[c]) if row[c] else '__HIVE_DEFAULT_PARTITION__'}" for c in GROUP_COLUMNS)
-        delete_path(spark, "/".join([path.rstrip("/"), *parts]))
+    path, depth = path.rstrip("/"), len(GROUP_COLUMNS)
+
+    def step(now: store.Version) -> store.Version | None:
+        made = make(store.read_parts(spark, path, now, columns=CATALOG_SCHEMA))
+        if made is None:
+            return None
+        records, touched = made
+        batch = store.new_batch()
+        records.write.partitionBy(*GROUP_COLUMNS).parquet(f"{path}/{batch}")
+        fresh = store.partitions_of(spark, path, batch, depth)
+        gone = {p.removeprefix(f"{batch}/") for p in fresh}
+        if touched is not None:
+            escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+            for row in touched.select(*GROUP_COLUMNS).distinct().toLocalIterator():
+                gone.add("/".join(f"{c}={escape(row[c]) if row[c] else '__HIVE_DEFAULT_PARTITION__'}" for c in GROUP_COLUMNS))
+        kept = [p for p in now.parts if p.split("/", 1)[1] not in gone]
+        return replace(now, parts=(*kept, *fresh))
+
+    store.change(spark, path, step)
 
 
 def _write(df: DataFrame, target: str, file_format: str, partition_by: tuple[str, ...]) -> None:

@@ -8,9 +8,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
-from statloom.schemas import INPUT_TYPES, input_columns
+from statloom.schemas import BUCKET, GROUP_COLUMNS, INPUT_TYPES, input_columns
+from statloom.sources import store
 from statloom.sources.files import gzip_headers, parquet_layouts
+from statloom.sources.sinks import PEAKS
 
 
 def cast_sumstats(df: DataFrame, with_pvalue: bool = True) -> DataFrame:
@@ -83,8 +87,24 @@ def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, partitioned by project and study.
+    """The stored table, partitioned by project, study and bucket of traits (`trait_bucket`, which `in_traits` uses and drops).
 
-    Its columns are those of one footer: ingest keeps to one layout, so no other footer is read to plan a query.
+    Only batches that the table's log names are read, as of now; its columns come from the log, so no footer is read to plan a
+    query. A folder of files without a log is read as it is, with the columns of one footer.
     """
+    version = store.latest(spark, path)
+    if version.number:
+        return store.read_parts(spark, path, version)
     return spark.read.option("mergeSchema", "false").parquet(path)
+
+
+def read_peaks(spark: SparkSession, path: str) -> DataFrame:
+    """The peaks of the stored table (see `operators.peaks`), from the same batches."""
+    version = store.latest(spark, path)
+    if not version.number:
+        raise ValueError(f"{path} is not a stored table: it has no log")
+    columns = StructType.fromJson(json.loads(version.schema))
+    groups = [c for c in GROUP_COLUMNS if c in columns.names]
+    top = columns["MLOG10P"].dataType.simpleString() if "MLOG10P" in columns.names else "double"
+    wanted = f"TRAITID string, {BUCKET} int, CHR int, bin int, n long, first int, last int, top {top}, top_at int" + "".join(f", {c} string" for c in groups)
+    return store.read_parts(spark, f"{path.rstrip('/')}{PEAKS}", version, columns=T._parse_datatype_string(wanted))

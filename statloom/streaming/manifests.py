@@ -1,8 +1,8 @@
 """Follow a folder of manifests and ingest the files each one lists.
 
 The file source remembers which manifests were done, so every run picks up
-the new ones and stops. A batch that is run again after a failure changes
-nothing: the catalog upsert is idempotent and traits already stored are left out.
+the new ones and stops. A batch that is run again after a failure changes nothing twice: the catalog upsert is idempotent,
+and the batch goes by a name made of the stream's progress folder and its number, which the table's log remembers together with the rows.
 """
 
 from __future__ import annotations
@@ -39,9 +39,10 @@ def follow_manifests(
         .csv(folder)
     )
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            ingest(batch, table_path, catalog_path, with_pvalue=with_pvalue, dedup=True)
+            name = f"{progress_path.rstrip('/')}#{number}"
+            ingest(batch, table_path, catalog_path, with_pvalue=with_pvalue, dedup=True, batch=name)
 
     writer = arriving.writeStream.foreachBatch(store).trigger(availableNow=True)
     return writer.option("checkpointLocation", progress_path).start()
