@@ -128,8 +128,8 @@ def _sign(k: int, bands: int, rows: int, weighted: bool):
             size = np.bincount(owner, minlength=n)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(same[0]), pa.array(same[1]), pa.array(size.astype(np.int32)), lists],
-                ["doc_id", "h1", "h2", "n", "keys"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(same[0]), pa.array(same[1]), pa.array(size.astype(np.int32)), lists],
+                ["doc_id", "text_key", "h1", "h2", "n", "keys"],
             )
 
     return run
@@ -139,7 +139,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in small_batches(batches):
         packed = [squeeze.compress(t.as_buffer()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"])
 
 
 def _sets(packed: list[bytes], k: int, weighted: bool) -> list[np.ndarray]:
@@ -190,7 +190,7 @@ def _compare(k: int, similarity: float, weighted: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ends in sorted_groups(batches, ("key", "a", "b"), 2 * CHUNK):
-            names, roots = part.column("doc_id").to_numpy(), part.column("root").to_numpy()
+            names, roots = part.column("node").to_numpy(), part.column("root").to_numpy()
             packed, begin, found = part.column("packed"), 0, []
             for end in ends:
                 own = slice(begin, end)
@@ -204,25 +204,61 @@ def _compare(k: int, similarity: float, weighted: bool):
 
 
 def _links_of(members: DataFrame, packed: DataFrame, links: DataFrame, k: int, similarity: float, weighted: bool) -> DataFrame:
-    """`links` and those that join all documents of a bucket (band, key) which are similar enough."""
+    """`links` and those that join all texts of a bucket (band, key) which are similar enough."""
     bounds = [*ROUNDS, 1 << 30]
     for low, high in zip([0, *ROUNDS], bounds):
         active = members.where(F.col("band").between(low, high - 1))
-        known = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
-        active = cut_lineage(active.join(known, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("_root", "doc_id").alias("root")), "active")
+        known = components(links).select("node", F.col("root").alias("_root"))
+        active = cut_lineage(active.join(known, "node", "left").select("key", "node", "n", F.coalesce("_root", "node").alias("root")), "active")
         chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
         buckets = active.groupBy("key").agg(chunks.alias("chunks"), F.min("root").alias("least"), F.max("root").alias("most"))
         buckets = cut_lineage(buckets.where("least < most").select("key", "chunks"), "buckets")
-        chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("chunks")).cast("int")
+        chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
         chunked = active.join(buckets, "key").withColumn("chunk", chunk)
         tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        tiled = tiled.select("key", "doc_id", "root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-        full = tiled.join(packed, "doc_id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-        found = full.select("key", "a", "b", "doc_id", "root", "packed").mapInArrow(tidy(_compare(k, similarity, weighted)), "a long, b long")
+        tiled = tiled.select("key", "node", "root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+        full = tiled.join(packed, "node").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        found = full.select("key", "a", "b", "node", "root", "packed").mapInArrow(tidy(_compare(k, similarity, weighted)), "a long, b long")
         links = links.unionByName(cut_lineage(found.where("a <> b"), "links"))
     return links
 
 
+def _classes(source: DataFrame, words: int, similarity: float, weighted: bool, bands: int, rows: int, by_id: bool) -> DataFrame:
+    """doc_id, text_key, class_id, class_key for each different (doc_id, text): the smallest such pair of its class.
+
+    A node is a different word sequence (by 128 bits), numbered as it lies in a written table; so rows that share a doc_id but not
+    the text are nodes of their own, and all of them are compared. With `by_id` they are one class in the end.
+    """
+    schema = "doc_id long, text_key long, h1 long, h2 long, n int, keys array<long>"
+    signed = cut_lineage(source.mapInArrow(tidy(_sign(words, bands, rows, weighted)), schema), "signed")
+    same = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    same = cut_lineage(same.select("h1", "h2", "first.*", F.monotonically_increasing_id().alias("node")), "same")
+    leaders = signed.where("n > 0").join(same, ["h1", "h2", "doc_id", "text_key"])
+    spread = leaders.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    shared = cut_lineage(spread.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "shared")
+    members = cut_lineage(spread.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]), "members")
+    needed = same.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "text_key", "node")
+    needed = cut_lineage(needed, "needed")
+    packed = source.mapInArrow(tidy(_compress), "doc_id long, text_key long, packed binary").join(needed, ["doc_id", "text_key"])
+    packed = cut_lineage(packed.dropDuplicates(["node"]).select("node", "packed"), "packed")
+    links = same.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if by_id:
+        own = signed.select("doc_id", "h1", "h2").distinct().join(same.select("h1", "h2", "node"), ["h1", "h2"])
+        first_node = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("_c")).where("_c > 1")
+        links = cut_lineage(own.join(first_node, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"), "same-id")
+    links = _links_of(members, packed, links, words, similarity, weighted)
+    named = same.join(components(links), "node", "left").select("h1", "h2", "doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    named = cut_lineage(named, "named")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    first = first.select("root", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key"))
+    classes = named.join(first, "root").select("h1", "h2", "class_id", "class_key")
+    return signed.select("doc_id", "text_key", "h1", "h2").distinct().join(classes, ["h1", "h2"]).drop("h1", "h2")
+
+
+def _source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,39 +274,29 @@ def near_duplicates(
     Two documents link if the Jaccard similarity of their sets of word runs (with `weighted`, of their
     counted runs) is at least `similarity`; classes are what links reach. Documents of the same word
     sequence are one class without comparison, texts without words included. A document of fewer words than a
-    run has one run of all its words. Rows that share a doc_id share a class; a row without doc_id is a
-    class of its own (class_id null) and kept.
+    run has one run of all its words. Rows that share a doc_id share a class, with the links of all their texts; a row
+    without doc_id is a class of its own (class_id null) and kept.
     """
-    source = texts(docs, id_col, text_col)
-    signed = cut_lineage(
-        source.where("doc_id IS NOT NULL").mapInArrow(tidy(_sign(words, bands, rows, weighted)), "doc_id long, h1 long, h2 long, n int, keys array<long>"), "signed"
-    )
-    same = cut_lineage(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "same")
-    # a repeated doc_id with different texts joins their classes
-    copies = cut_lineage(signed.join(same, ["h1", "h2"]).select("doc_id", "rep").distinct(), "copies")
-    leaders = signed.where("n > 0").join(same.withColumn("doc_id", F.col("rep")), ["h1", "h2", "doc_id"], "left_semi")
-    spread = leaders.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
-    shared = cut_lineage(spread.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "shared")
-    members = cut_lineage(spread.join(shared, "key", "left_semi").dropDuplicates(["key", "doc_id"]), "members")
-    needed = cut_lineage(members.select("doc_id").distinct(), "needed")
-    packed = cut_lineage(
-        source.where("doc_id IS NOT NULL").mapInArrow(tidy(_compress), "doc_id long, packed binary").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed"
-    )
-    links = copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = _links_of(members, packed, links, words, similarity, weighted)
-    labels = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
-    out = source.select("doc_id").join(labels, "doc_id", "left")
-    out = out.select("doc_id", F.coalesce("_root", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    source = _source(docs, id_col, text_col)
+    classes = _classes(source.where("doc_id IS NOT NULL"), words, similarity, weighted, bands, rows, True)
+    out = source.select("doc_id", "text_key").join(classes, ["doc_id", "text_key"], "left")
+    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but the first of each class of near duplicates; columns as they are.
 
-    Rows that repeat a kept doc_id go as well.
+    The first is that of the smallest doc_id, then of the smallest hash of the text. Rows that repeat a kept doc_id and text go as
+    well; different texts of one doc_id are documents of their own here, so none goes because of its doc_id. Rows
+    without doc_id stay.
     """
-    ids = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    ids = cut_lineage(ids.where("doc_id IS NOT NULL"), "kept")
-    once = docs.join(ids.where("_rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(ids.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    source = _source(docs).where("doc_id IS NOT NULL")
+    classes = _classes(source, WORDS, SIMILARITY, False, BANDS, ROWS, False)
+    first = classes.where("doc_id = class_id AND text_key = class_key").select("doc_id", "text_key")
+    copies = source.groupBy("doc_id", "text_key").agg(F.count("*").alias("_rows"))
+    ids = first.join(copies, ["doc_id", "text_key"]).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_rows")
+    ids = cut_lineage(ids, "kept")
+    own = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_text_key"))
+    once = docs.join(ids.where("_rows = 1"), own, "left_semi")
+    again = docs.join(ids.where("_rows > 1"), own).dropDuplicates(["_doc_id", "_text_key"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))

@@ -153,13 +153,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(turns: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int):
+def _codes(plans: dict[int, tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]):
+    """Codes by the plan of each vector's length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                code = substrings(_matrix(batch.column("embedding")), turns, bits, tables)
+            lengths = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            for dimension in np.unique(lengths):
+                own = batch.take(pa.array(np.flatnonzero(lengths == dimension)))
+                bits, tables, turns = plans.get(int(dimension), (0, 1, []))
+                code = substrings(_matrix(own.column("embedding")), turns, bits, tables)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), batch.column("copies"), batch.column("embedding"), pa.array([c.tobytes() for c in code], pa.binary())],
+                    [own.column("rep"), own.column("copies"), own.column("embedding"), pa.array([c.tobytes() for c in code], pa.binary())],
                     ["rep", "copies", "embedding", "code"],
                 )
 
@@ -189,15 +194,15 @@ def _compare(cosine: float):
     """Rows come sorted by tile; a tile is compared when its last row is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ends in sorted_groups(batches, ("t", "key", "a", "b")):
-            x = _matrix(part.column("embedding").chunk(0))
-            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), "<u4").reshape(part.num_rows, -1)
+        for part, ends in sorted_groups(batches, ("d", "t", "key", "a", "b")):
+            vectors, codes = part.column("embedding").chunk(0), part.column("code")
             copies, reps, chunks, table, a, b = (part.column(c).to_numpy() for c in ("copies", "rep", "chunk", "t", "a", "b"))
             found, begin = [], 0
             for end in ends:
                 s = slice(begin, end)
                 if end - begin > 1:
-                    out = _tile(x[s], codes[s], copies[s], reps[s], chunks[s], (int(table[begin]), int(a[begin]), int(b[begin])), cosine)
+                    code = np.frombuffer(b"".join(codes[s].to_pylist()), "<u4").reshape(end - begin, -1)
+                    out = _tile(_matrix(vectors[s]), code, copies[s], reps[s], chunks[s], (int(table[begin]), int(a[begin]), int(b[begin])), cosine)
                     if out is not None:
                         found.append(out)
                 begin = end
@@ -212,8 +217,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Two vectors link if their cosine, in double precision, is at least `cosine`. n_links counts the other rows linked
     directly; component_id is the smallest vec_id reachable by links, the row's own included; kept says that these are
-    equal. Vectors that are null, empty, zero, hold nulls or non-finite values, or have another length than most, link with
-    nothing. Rows of equal vectors are compared once and counted as often as they are there. A row without
+    equal. Vectors that are null, empty, zero, or hold nulls or non-finite values link with nothing; others may link with
+    vectors of their length (each length has rotations and tables of its own). Rows of equal vectors are compared once and counted as often as they are there. A row without
     vec_id links like others but names no component (component_id is null where no row of it has one, and
     such a row is kept). Ids are below 2^62.
     """
@@ -221,38 +226,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", odd) & F.exists("embedding", lambda v: v != 0)
     sound = F.coalesce(sound, F.lit(False))
-    lengths = rows.where(sound).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c"))
-    usual = lengths.orderBy(F.desc("c"), "d").first()
-    if usual is None:
-        return _alone(rows)
-    dimension = usual["d"]
-    sound &= F.size("embedding") == dimension
     good = rows.where(sound)
     # a class of equal vectors goes by its smallest id, or by a hash where no row has one
     name = F.coalesce(F.min("vec_id"), F.shiftrightunsigned(F.xxhash64("embedding"), 2) + F.lit(NAMELESS))
     classes = cut_lineage(good.groupBy("embedding").agg(name.alias("rep"), F.count("*").alias("copies")), "vectors")
 
-    count = classes.count()
+    plans = {}
     draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit(SEED)), 11) / F.lit(2.0**53)
-    sample = classes.where(draw < SAMPLE / count).select("embedding").limit(2 * SAMPLE).toArrow()
-    sample = sample if sample.num_rows else classes.select("embedding").limit(1).toArrow()
-    bits, tables, turns = fit_tables(_matrix(sample.column("embedding").combine_chunks()), count, cosine)
+    # one number for each length that occurs; a length of few vectors is compared all with all
+    for length in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).where(F.col("c") > CHUNK).collect():
+        alike = classes.where(F.size("embedding") == length["d"])
+        sample = alike.where(draw < SAMPLE / length["c"]).select("embedding").limit(2 * SAMPLE).toArrow()
+        sample = sample if sample.num_rows else alike.select("embedding").limit(1).toArrow()
+        plans[length["d"]] = fit_tables(_matrix(sample.column("embedding").combine_chunks()), length["c"], cosine)
 
     schema = "rep long, copies long, embedding array<double>, code binary"
-    coded = classes.select("rep", "copies", "embedding").mapInArrow(tidy(_codes(turns, bits, tables)), schema)
-    coded = cut_lineage(coded, "codes")
-    table = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
+    coded = cut_lineage(classes.select("rep", "copies", "embedding").mapInArrow(tidy(_codes(plans)), schema), "codes")
+    table = F.explode(F.sequence(F.lit(0), (F.octet_length("code") / 4).cast("int") - 1)).alias("t")
     # the four bytes as they lie: a reverse of binary goes by the characters of a string
     piece = F.substring("code", F.col("t") * 4 + 1, F.lit(4))
-    light = coded.select("rep", "code", table).select("t", F.conv(F.hex(piece), 16, 10).cast("long").alias("key"), "rep")
-    sizes = light.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = cut_lineage(sizes.select("t", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+    light = coded.select("rep", "code", F.size("embedding").alias("d"), table).select("d", "t", F.conv(F.hex(piece), 16, 10).cast("long").alias("key"), "rep")
+    sizes = light.groupBy("d", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut_lineage(sizes.select("d", "t", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
     chunk = F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")).cast("int")
-    chunked = light.join(sizes, ["t", "key"]).withColumn("chunk", chunk)
+    chunked = light.join(sizes, ["d", "t", "key"]).withColumn("chunk", chunk)
     tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select("t", "key", "rep", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-    full = tiled.join(coded, "rep").repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
-    found = cut_lineage(full.select("t", "key", "a", "b", "chunk", "rep", "copies", "embedding", "code").mapInArrow(tidy(_compare(cosine)), "rep long, links long, label long"), "links")
+    tiled = tiled.select("d", "t", "key", "rep", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    tile = ("d", "t", "key", "a", "b")
+    full = tiled.join(coded, "rep").repartition(*tile).sortWithinPartitions(*tile)
+    found = cut_lineage(full.select(*tile, "chunk", "rep", "copies", "embedding", "code").mapInArrow(tidy(_compare(cosine)), "rep long, links long, label long"), "links")
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "rep")

@@ -84,10 +84,10 @@ def _seeds(window: int, k: int):
             data, offsets = text_buffer(batch.column("text"))
             starts, ends, first = word_spans(data, offsets)
             row, _, lo, hi, anchor, span = anchors(word_hashes(data, starts, ends), first, window, k)
-            ids = batch.column("doc_id").to_numpy()
+            ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row]), pa.array((lo - first[row]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16))],
-                ["anchor", "span", "doc_id", "lo", "n"],
+                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array((lo - first[row]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16))],
+                ["anchor", "span", "doc_id", "key", "lo", "n"],
             )
 
     return run
@@ -98,7 +98,7 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, packed, spans in zip(*(batch.column(c) for c in ("doc_id", "packed", "spans"))):
+            for doc_id, key, packed, spans in zip(*(batch.column(c) for c in ("doc_id", "key", "packed", "spans"))):
                 words = _words_of(packed.as_py())[0]
                 lo = np.array([s["lo"] for s in spans.as_py()], np.int64)
                 n = np.array([s["n"] for s in spans.as_py()], np.int64)
@@ -107,8 +107,8 @@ def _window_rows(window: int):
                 for j in range(window):
                     a, b = a * _MUL + words[at + j], b * _MUL2 + words[at + j]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix64(a).view(np.int64)), pa.array(mix64(b).view(np.int64)), pa.array(np.full(len(at), doc_id.as_py(), np.int64)), pa.array(at.astype(np.int32))],
-                    ["w1", "w2", "doc_id", "lo"],
+                    [pa.array(mix64(a).view(np.int64)), pa.array(mix64(b).view(np.int64)), *(pa.array(np.full(len(at), x.as_py(), np.int64)) for x in (doc_id, key)), pa.array(at.astype(np.int32))],
+                    ["w1", "w2", "doc_id", "key", "lo"],
                 )
 
     return run
@@ -125,35 +125,41 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in small_batches(batches):
         packed = [squeeze.compress(t.as_buffer()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(packed, pa.binary())], ["doc_id", "key", "packed"])
+
+
+def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and key, a hash that tells different texts of one doc_id apart."""
+    return texts(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, lo, n: the n windows from word lo on are repeats of earlier ones (smaller doc_id, or earlier in the document).
+    """doc_id, key, lo, n: the n windows from word lo on are repeats of earlier ones (smaller doc_id, or earlier in the document).
 
-    Rows without doc_id have no place in that order and are left out; rows that share a doc_id count as one
-    place. Documents of fewer words than a window have none.
+    Rows without doc_id have no place in that order and are left out. Rows of one doc_id and text count as one place; different
+    texts of one doc_id are documents of their own, in the order of `key`, a hash of the text. Documents of fewer words
+    than a window have none.
     """
-    placed = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    schema = "anchor long, span long, doc_id long, lo int, n short"
+    placed = _keyed(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    schema = "anchor long, span long, doc_id long, key long, lo int, n short"
     seeds = placed.mapInArrow(tidy(_seeds(window, anchor)), schema)
     common = cut_lineage(seeds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     hits = cut_lineage(seeds.join(common, "anchor", "left_semi"), "hits")
 
-    place = F.struct("doc_id", "lo")
-    spans = hits.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "lo", "n")).alias("f"), F.count("*").alias("c"))
-    spans = cut_lineage(spans.select("anchor", "span", "c", "f.doc_id", "f.lo", "f.n"), "spans")
-    first = spans.where("c > 1").select("anchor", "span", F.struct("doc_id", "lo").alias("first"))
-    whole = hits.join(first, ["anchor", "span"]).where(place > F.col("first")).select("doc_id", "lo", F.col("n").cast("int").alias("n"))
+    place = F.struct("doc_id", "key", "lo")
+    spans = hits.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "key", "lo", "n")).alias("f"), F.count("*").alias("c"))
+    spans = cut_lineage(spans.select("anchor", "span", "c", "f.doc_id", "f.key", "f.lo", "f.n"), "spans")
+    first = spans.where("c > 1").select("anchor", "span", F.struct("doc_id", "key", "lo").alias("first"))
+    whole = hits.join(first, ["anchor", "span"]).where(place > F.col("first")).select("doc_id", "key", "lo", F.col("n").cast("int").alias("n"))
 
     branching = cut_lineage(spans.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "branching")
-    leading = spans.join(branching, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
-    packed = placed.mapInArrow(tidy(_compress), "doc_id long, packed binary")
-    windows = packed.join(leading, "doc_id").mapInArrow(tidy(_window_rows(window)), "w1 long, w2 long, doc_id long, lo int")
+    leading = spans.join(branching, "anchor", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    packed = placed.mapInArrow(tidy(_compress), "doc_id long, key long, packed binary")
+    windows = packed.join(leading, ["doc_id", "key"]).mapInArrow(tidy(_window_rows(window)), "w1 long, w2 long, doc_id long, key long, lo int")
     windows = cut_lineage(windows, "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
     earliest = cut_lineage(earliest.select("w1", "w2", "first"), "earliest")
-    single = windows.join(earliest, ["w1", "w2"]).where(place > F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
+    single = windows.join(earliest, ["w1", "w2"]).where(place > F.col("first")).select("doc_id", "key", "lo", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
@@ -168,14 +174,14 @@ def _removed(spans: list | None, n_words: int, window: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by one blank) of every row.
+    """doc_id, key, n_words, n_removed and kept (the words left, joined by one blank) of every row; see `repeats` on key.
 
     A null or empty text has no words and an empty kept text. Every word that a repeated window covers goes; windows
     are judged on the input. Rows without doc_id lose nothing.
     """
     found = repeats(docs, id_col, text_col, window, anchor)
-    marked = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    packed = texts(docs, id_col, text_col).mapInArrow(tidy(_compress), "doc_id long, packed binary")
+    marked = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    packed = _keyed(docs, id_col, text_col).mapInArrow(tidy(_compress), "doc_id long, key long, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,10 +197,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     total.append(len(starts))
                     lost.append(int(gone.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
+                    [part.column("doc_id"), part.column("key"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())],
+                    ["doc_id", "key", "n_words", "n_removed", "kept"],
                 )
 
-    return packed.join(marked, "doc_id", "left").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept string")
+    return packed.join(marked, ["doc_id", "key"], "left").mapInArrow(tidy(run), "doc_id long, key long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -203,8 +210,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A document of which nothing is left goes; others keep all columns.
     """
     names = docs.columns
-    cleaned = remove_repeats(docs).where("n_removed > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
-    joined = docs.join(cleaned, "doc_id", "left").where("_kept IS NULL OR _kept <> ''")
+    cleaned = remove_repeats(docs).where("n_removed > 0 AND doc_id IS NOT NULL")
+    cleaned = cleaned.select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_doc_id", "_key"])
+    own = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key"))
+    joined = docs.join(cleaned, own, "left").where("_kept IS NULL OR _kept <> ''")
     joined = joined.withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in names:
         joined = joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType)))

@@ -32,8 +32,9 @@ SAMPLE, TERMS, VOTERS = 20_000, 2_000, 40
 FOLDS, SEED = 5, 17
 #: Lengths of the word beginnings that can become terms.
 BEGINNINGS = (4, 5, 6)
-#: Share of a text's different words that makes a beginning dense; share of toxic rows that a term needs.
-DENSE, BACKING = 0.005, 0.015
+#: Share of a text's different words that makes a beginning dense; share of toxic rows that a term needs unless a test for all terms
+#: together (at this level) shows it.
+DENSE, BACKING, LEVEL = 0.005, 0.015, 0.01
 
 #: Common English insults, the lexicon that needs no labels.
 INSULTS = frozenset(
@@ -125,9 +126,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pick_terms(sample: DataFrame, rows: int, toxic: int) -> list[str]:
     """The terms that stand out most in toxic rows, by the strength and the certainty of it."""
     counted = sample.mapInArrow(tidy(_count_terms), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    base = toxic / rows
+    counted = cut_lineage(counted, "terms")
+    base = min(max(toxic / rows, 1e-9), 1 - 1e-9)
     expected = F.col("n") * base
-    counted = counted.where((F.col("toxic") >= max(3.0, BACKING * toxic)) & (F.col("toxic") - expected > 2 * F.sqrt(expected)) & (F.col("toxic") > F.col("n") * max(0.5, min(0.95, 1.2 * base))))
+    # a bound on the chance of so many toxic rows, for a rare term; times the number of terms it stays below the level
+    p = F.col("toxic") / F.col("n")
+    apart = p * F.log(F.greatest(p, F.lit(1e-12)) / base) + (1 - p) * F.log(F.greatest(1 - p, F.lit(1e-12)) / (1 - base))
+    sure = (F.col("toxic") >= 3) & (F.col("n") * apart > math.log(max(counted.count(), 1) / LEVEL))
+    counted = counted.where(((F.col("toxic") >= max(3.0, BACKING * toxic)) | sure) & (F.col("toxic") - expected > 2 * F.sqrt(expected)) & (F.col("toxic") > F.col("n") * max(0.5, min(0.95, 1.2 * base))))
     strength = (F.col("toxic") - expected) / F.sqrt(expected + 0.5) * F.col("toxic") / F.col("n")
     best = counted.withColumn("strength", strength).orderBy(F.desc("strength"), F.length("term"), "term").limit(2 * TERMS)
     return _without_echoes([(r["term"], r["n"], r["toxic"]) for r in best.collect()])[:TERMS]
@@ -285,11 +291,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject; columns as they are."""
     model = fit(docs, labels)
-
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(model.score).astype(float)
-
+    score = F.pandas_udf(lambda column: pd.Series([model.score(t) for t in column], dtype=float), "double")
     return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
 
 
