@@ -6,6 +6,7 @@ import logging
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from statloom.operators.catalog import catalog_delete, catalog_modify, catalog_u
 from statloom.operators.joins import broadcast_if_small
 from statloom.operators.slices import validate_sumstats
 from statloom.schemas import CATALOG_KEY, CATALOG_SCHEMA, GROUP_COLUMNS
-from statloom.session import cut_lineage, delete_path, scratch_freed, scratch_path, scratch_paths
+from statloom.session import cut_lineage, free_scratch, scratch_freed, scratch_path, scratch_paths
 from statloom.sources import store
 from statloom.sources.files import absolute_column, content_ids, location, location_column
 from statloom.sources.manifest import require_columns
@@ -48,7 +49,7 @@ def report(df: DataFrame, what: str) -> int:
         for row in kept.toLocalIterator():
             log.warning("  %s", ", ".join(str(v) for v in row))
     else:
-        delete_path(df.sparkSession, path)
+        free_scratch(df.sparkSession, path)
     return count
 
 
@@ -141,6 +142,14 @@ def _same_layout(spark: SparkSession, table_path: str, with_pvalue: bool) -> Non
         raise ValueError(f"the table {table_path} is stored with{'out' if with_pvalue else ''} p-values")
 
 
+def _has_odd(seen: Observation, checked: DataFrame) -> bool:
+    """Whether invalid rows passed; where nothing valid was left to write, Spark may end without having told, and they are looked for."""
+    try:
+        return seen.get["odd"] > 0
+    except Py4JJavaError:
+        return not checked.where("not valid").isEmpty()
+
+
 def ingest_sumstats(
     files: DataFrame, table_path: str, with_pvalue: bool = True, dedup: bool = False, files_per_job: int = 10_000, batch: str | None = None
 ) -> DataFrame | None:
@@ -176,7 +185,7 @@ def ingest_sumstats(
         seen = Observation()
         passing = checked.observe(seen, F.count_if(~F.col("valid")).alias("odd")).where("valid").drop("valid")
         stored = store_sumstats(passing, table_path, None if batch is None else f"{batch}/{job}", part)
-        if stored and seen.get["odd"]:
+        if stored and _has_odd(seen, checked):
             odd.append(checked.where("not valid").drop("valid"))
     return reduce(DataFrame.unionByName, odd) if odd else None
 

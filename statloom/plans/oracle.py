@@ -175,6 +175,8 @@ ORACLES: dict[str, str] = {
         CASE category WHEN 'pQTL' THEN upper(trait_desc) ELSE trait_desc END AS trait_desc, total_samples FROM catalog""",
     "natural_order": f"""WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_early
         FROM by_study GROUP BY project, study""",
+    "natural_order_compacted": f"""WITH {_SUMSTATS}, {_STUDIES} SELECT project, study, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_early
+        FROM by_study GROUP BY project, study""",
     "write_result": f"WITH {_SUMSTATS} SELECT * FROM sumstats",
     "multi_trait_export": f"""WITH {_SUMSTATS}, {_CATALOG} SELECT {_snpid("s.")} AS SNPID, s.TRAITID, s.BETA, s.MLOG10P, c.category AS meta_category,
         c.out_name AS output_prefix
@@ -301,6 +303,10 @@ ORACLES: dict[str, str] = {
         SELECT SNP, a.BETA, a.SE, b.BETA AS BETA_1, b.SE AS SE_1 FROM a FULL OUTER JOIN b USING (SNP)""",
     "meta_full_outer_all": f"""WITH {_SUMSTATS} SELECT {_snpid()} AS SNP, CAST(count(*) AS INTEGER) AS n_traits, round(sum(BETA), 6) AS sum_beta
         FROM sumstats GROUP BY 1""",
+    "aligned_effects": f"""WITH {_SUMSTATS}, {_STUDIES}, {_CATALOG},
+        named AS (SELECT project, study, data_id, CAST(row_number() OVER (PARTITION BY project, study ORDER BY data_id) - 1 AS INTEGER) AS ordinal FROM catalog)
+        SELECT b.project, b.study, {_snpid("b.")} AS SNP, n.ordinal, b.BETA, b.SE
+        FROM by_study b JOIN named n ON b.project = n.project AND b.study = n.study AND b.TRAITID = n.data_id""",
     "meta_export": f"""WITH {_SUMSTATS}, {_STUDIES}, {_CATALOG},
         gwas AS (SELECT b.* FROM by_study b JOIN catalog c ON b.project = c.project AND b.study = c.study AND b.TRAITID = c.data_id
                  WHERE c.category = 'GWAS'),

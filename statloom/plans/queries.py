@@ -176,6 +176,21 @@ def natural_order(spark, sf):
     return checked.groupBy("project", "study").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("early").alias("n_early"))
 
 
+def natural_order_compacted(spark, sf):
+    """The rows stored in three batches, then merged: rows per partition, and files that overlap the one before in natural order."""
+    path = scratch_path(spark, "batches")
+    rows = views.sumstats_by_study(spark, sf)
+    for i in range(3):
+        sinks.store_sumstats(rows.where(F.pmod(F.xxhash64("CHR", "POS"), F.lit(3)) == i), path)
+    sinks.compact_sumstats(spark, path, file_bytes=1_000_000)
+    key = F.struct("CHR", "TRAITID", "POS")
+    files = sumstats_files.read_table(spark, path).groupBy("project", "study", BUCKET, F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    along = Window.partitionBy("project", "study", BUCKET).orderBy("low", "high")
+    checked = files.withColumn("early", F.col("low") < F.lag("high").over(along))
+    return checked.groupBy("project", "study").agg(F.sum("n").alias("n_rows"), F.count_if("early").alias("n_early"))
+
+
 def write_result(spark, sf):
     target = sinks.write_result(views.sumstats(spark, sf), scratch_path(spark, "result"), "csv.gz")
     return spark.read.csv(target, header=True, schema=views.sumstats(spark, sf).schema)
@@ -396,13 +411,19 @@ def meta_export(spark, sf):
 
 
 def meta_full_outer_all(spark, sf):
-    """Every trait of the table side by side; summed up again over its columns."""
-    ids = [r["data_id"] for r in views.catalog(spark, sf).select("data_id").orderBy("data_id").collect()]
-    wide = meta.wide_effects(views.sumstats(spark, sf), ids)
-    betas = ["BETA", *[f"BETA_{i}" for i in range(1, len(ids))]]
-    there = F.aggregate(F.array(*betas), F.lit(0), lambda s, b: s + b.isNotNull().cast("int"))
-    total = F.aggregate(F.array(*betas), F.lit(0.0), lambda s, b: s + F.coalesce(b, F.lit(0.0)))
-    return wide.select("SNP", there.alias("n_traits"), F.round(total, 6).alias("sum_beta"))
+    """Every trait of the table side by side; summed up again over the lists."""
+    named = meta.trait_dictionary(views.catalog(spark, sf).select("data_id"))
+    wide = meta.aligned_effects(views.sumstats(spark, sf), named)
+    total = F.aggregate("betas", F.lit(0.0), lambda s, b: s + F.coalesce(b, F.lit(0.0)))
+    return wide.select("SNP", F.size("ordinals").alias("n_traits"), F.round(total, 6).alias("sum_beta"))
+
+
+def aligned_effects(spark, sf):
+    """Which trait has which effect, unfolded again from the lists."""
+    named = meta.trait_dictionary(views.catalog(spark, sf))
+    wide = meta.aligned_effects(views.sumstats_by_study(spark, sf), named)
+    cells = F.explode(F.arrays_zip("ordinals", "betas", "ses")).alias("c")
+    return wide.select("project", "study", "SNP", cells).select("project", "study", "SNP", F.col("c.ordinals").alias("ordinal"), F.col("c.betas").alias("BETA"), F.col("c.ses").alias("SE"))
 
 
 def meta_with_copies(spark, sf):
@@ -708,14 +729,14 @@ def rsid_resolve(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        read_manifest, read_sumstats_tsv, read_sumstats_parquet, ingest_sumstats, ingest_metadata, natural_order, write_result,
+        read_manifest, read_sumstats_tsv, read_sumstats_parquet, ingest_sumstats, ingest_metadata, natural_order, natural_order_compacted, write_result,
         multi_trait_export, write_partitioned_by_trait, write_metadata_sidecar, cast_sumstats, content_id, read_regions_bed, read_snp_list, read_trait_snps, validate_sumstats,
         select_attributes, mlog10p_fallback, trait_slice, position_points, position_range, pvalue_threshold,
         maf_filter, process_result, full_stats, group_slice, snp_semi_join, region_semi_join,
         region_semi_join_overlapping, region_pvalue_filter, region_flags, chromosome_envelope, lead_snp_search,
         lead_tiebreak, exact_snp_lookup, cis_trans_flanks, trait_link_join, top1_per_window, position_gap,
         gap_cluster_id, best_in_cluster, locus_segments, locus_intervals, locus_breaker, locus_breaker_by_study,
-        ivw_meta, heterogeneity_i2, meta_z_p, grouped_meta, meta_with_copies, pooling_report, meta_full_outer, meta_full_outer_all, meta_export,
+        ivw_meta, heterogeneity_i2, meta_z_p, grouped_meta, meta_with_copies, pooling_report, meta_full_outer, meta_full_outer_all, aligned_effects, meta_export,
         to_catalog_row, validate_catalog, catalog_upsert, catalog_lookup, catalog_modify, catalog_delete, stored_modify, stored_delete,
         search_catalog, search_template, meta_query, scalar_match, data_ids_match, json_match, any_of, all_of,
         distinct_by_id, project_catalog, link_expand, link_id_concat, output_prefix, metadata_broadcast,

@@ -86,12 +86,9 @@ def scratch_freed(spark: SparkSession) -> Iterator[set[str]]:
         yield kept
     finally:
         _of_job.reset(token)
-        known = _handed_out.get(spark.sparkContext.applicationId, [])
         for path in mine:
             if path not in kept:
-                delete_path(spark, path)
-                if path in known:
-                    known.remove(path)
+                free_scratch(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
@@ -100,6 +97,14 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder."""
+    delete_path(spark, path)
+    known = _handed_out.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete what this application wrote to the shared folder; for when no frame that reads it is needed any more."""
     paths = _handed_out.pop(spark.sparkContext.applicationId, [])

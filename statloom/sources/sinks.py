@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +65,22 @@ def store_sumstats(df: DataFrame, table: str, name: str | None = None, traits: D
         raise ValueError(f"{table} holds files that no log names; store its rows anew")
     batch, columns = store.new_batch(), stored_columns(df)
     append_sumstats(df, f"{table}/{batch}")
-    written = store.read_parts(spark, table, before, [batch], columns)
-    groups = [c for c in GROUP_COLUMNS if c in df.columns]
-    if {"MLOG10P", "BETA"} & set(df.columns):
+    _describe(spark, table, batch, columns, traits)
+
+    def step(now: store.Version) -> store.Version | None:
+        if name is not None and name in now.done:
+            return None
+        done = now.done if name is None else (*now.done, name)
+        return replace(now, parts=(*now.parts, batch), done=done, schema=now.schema or columns.json())
+
+    return batch in store.change(spark, table, step).parts
+
+
+def _describe(spark: SparkSession, table: str, batch: str, columns: StructType, traits: DataFrame | None = None) -> None:
+    """Write what goes beside the rows of a batch: their peaks, and the traits."""
+    written = store.read_parts(spark, table, store.Version(), [batch], columns)
+    groups = [c for c in GROUP_COLUMNS if c in columns.names]
+    if {"MLOG10P", "BETA"} & set(columns.names):
         peaks = peak_table(written).hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, "CHR", "TRAITID", "bin")
         with setting(spark, BY_SIZE, "false"):
             peaks.write.partitionBy(*groups).option("compression", "zstd").parquet(f"{table}{PEAKS}/{batch}")
@@ -74,11 +88,33 @@ def store_sumstats(df: DataFrame, table: str, name: str | None = None, traits: D
     brought = written.select(*key) if traits is None else traits.select(*key)
     brought.distinct().write.parquet(f"{table}{TRAITS}/{batch}")
 
-    def step(now: store.Version) -> store.Version | None:
-        if name is not None and name in now.done:
+
+def compact_sumstats(spark: SparkSession, table: str, batches: Sequence[str] | None = None, file_bytes: int = 512 * 1024 * 1024) -> bool:
+    """Merge batches (all, or the listed ones) into one whose files follow each other in the table's natural order.
+
+    Within a partition no two files overlap in (CHR, TRAITID, POS), so a trait or a stretch of a chromosome lies in few of
+    them. Rows are dealt by range, into as many tasks as the files that are merged ask for. The new files replace the old
+    ones at once, when the log names them; False if the batches were changed meanwhile (then nothing is). Old files stay until
+    `store.vacuum`.
+    """
+    table = table.rstrip("/")
+    now = store.latest(spark, table)
+    old = tuple(now.parts if batches is None else batches)
+    if len(old) < 2 or not set(old) <= set(now.parts):
+        return False
+    rows, columns = store.read_parts(spark, table, now, old), StructType.fromJson(json.loads(now.schema))
+    groups = [*[c for c in GROUP_COLUMNS if c in columns.names], BUCKET]
+    tasks = max(1, -(-sum(store.size_of(spark, f"{table}/{p}") for p in old) // file_bytes))
+    batch, order = store.new_batch(), [*groups, *DIMENSIONS]
+    ordered = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered.write.partitionBy(*groups).option("compression", "zstd").parquet(f"{table}/{batch}")
+    traits = store.read_parts(spark, f"{table}{TRAITS}", now, old, StructType([f for f in columns.fields if f.name in (*GROUP_COLUMNS, "TRAITID")]))
+    _describe(spark, table, batch, columns, traits)
+
+    def step(found: store.Version) -> store.Version | None:
+        if not set(old) <= set(found.parts):
             return None
-        done = now.done if name is None else (*now.done, name)
-        return replace(now, parts=(*now.parts, batch), done=done, schema=now.schema or columns.json())
+        return replace(found, parts=(*[p for p in found.parts if p not in old], batch))
 
     return batch in store.change(spark, table, step).parts
 
