@@ -33,6 +33,9 @@ ROUNDS, CHUNK, AT_ONCE, COLUMNS = (4, 12), 256, 1_000_000, 20_000
 #: Shingles of a chunk: long documents make smaller chunks.
 CHUNK_SHINGLES = 400_000
 
+#: Ids are larger than its negative; texts without a doc_id of their own go by numbers below it.
+NAMELESS = 1 << 62
+
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
 
@@ -226,25 +229,40 @@ def _links_of(members: DataFrame, packed: DataFrame, links: DataFrame, k: int, s
 def _classes(source: DataFrame, words: int, similarity: float, weighted: bool, bands: int, rows: int, by_id: bool) -> DataFrame:
     """doc_id, text_key, class_id, class_key for each different (doc_id, text): the smallest such pair of its class.
 
-    A node is a different word sequence (by 128 bits), numbered as it lies in a written table; so rows that share a doc_id but not
-    the text are nodes of their own, and all of them are compared. With `by_id` they are one class in the end.
+    A node is a different word sequence (by 128 bits). It goes by the smallest doc_id that has it and no other text; a sequence that
+    only doc_ids with several texts have gets a number of its own. So all texts are compared, and the common case
+    handles one number for each document. With `by_id` the texts of a doc_id are one class in the end.
     """
     schema = "doc_id long, text_key long, h1 long, h2 long, n int, keys array<long>"
     signed = cut_lineage(source.mapInArrow(tidy(_sign(words, bands, rows, weighted)), schema), "signed")
-    same = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    same = cut_lineage(same.select("h1", "h2", "first.*", F.monotonically_increasing_id().alias("node")), "same")
-    leaders = signed.where("n > 0").join(same, ["h1", "h2", "doc_id", "text_key"])
+    several = signed.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b")
+    several = cut_lineage(several.select("doc_id", F.lit(True).alias("_several")), "several")
+    told = signed.select("doc_id", "text_key", "h1", "h2").join(several, "doc_id", "left")
+    same = told.groupBy("h1", "h2").agg(
+        F.min(F.when(F.col("_several").isNull(), F.col("doc_id"))).alias("rep"),
+        F.min(F.struct("doc_id", "text_key")).alias("first"),
+    )
+    number = F.lit(-NAMELESS) - F.monotonically_increasing_id() - 1
+    same = cut_lineage(same.select("h1", "h2", "first.*", F.coalesce("rep", number).alias("node")), "same")
+    # one row for each node, whose keys are those of all its rows
+    unnamed = same.where(F.col("node") < -NAMELESS)
+    plain = same.where(F.col("node") >= -NAMELESS).select("h1", "h2", F.col("node").alias("doc_id"), "node")
+    leaders = signed.where("n > 0").join(plain, ["h1", "h2", "doc_id"]).select("node", "n", "keys")
+    leaders = leaders.unionByName(signed.where("n > 0").join(unnamed, ["h1", "h2", "doc_id", "text_key"]).select("node", "n", "keys"))
     spread = leaders.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = cut_lineage(spread.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "shared")
     members = cut_lineage(spread.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]), "members")
-    needed = same.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "text_key", "node")
-    needed = cut_lineage(needed, "needed")
-    packed = source.mapInArrow(tidy(_compress), "doc_id long, text_key long, packed binary").join(needed, ["doc_id", "text_key"])
-    packed = cut_lineage(packed.dropDuplicates(["node"]).select("node", "packed"), "packed")
+    needed = cut_lineage(members.select("node").distinct(), "needed")
+    texts_of = source.mapInArrow(tidy(_compress), "doc_id long, text_key long, packed binary")
+    packed = texts_of.join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "packed")
+    few = unnamed.join(needed, "node", "left_semi").select("doc_id", "text_key", "node")
+    # repeated rows of one text are equal, so any of them will do
+    packed = packed.unionByName(texts_of.join(few, ["doc_id", "text_key"]).select("node", "packed"))
+    packed = cut_lineage(packed.dropDuplicates(["node"]), "packed")
     links = same.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     if by_id:
-        own = signed.select("doc_id", "h1", "h2").distinct().join(same.select("h1", "h2", "node"), ["h1", "h2"])
-        first_node = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("_c")).where("_c > 1")
+        own = told.where("_several").select("doc_id", "h1", "h2").distinct().join(same.select("h1", "h2", "node"), ["h1", "h2"])
+        first_node = own.groupBy("doc_id").agg(F.min("node").alias("b"))
         links = cut_lineage(own.join(first_node, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"), "same-id")
     links = _links_of(members, packed, links, words, similarity, weighted)
     named = same.join(components(links), "node", "left").select("h1", "h2", "doc_id", "text_key", F.coalesce("root", "node").alias("root"))
@@ -293,10 +311,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     source = _source(docs).where("doc_id IS NOT NULL")
     classes = _classes(source, WORDS, SIMILARITY, False, BANDS, ROWS, False)
     first = classes.where("doc_id = class_id AND text_key = class_key").select("doc_id", "text_key")
-    copies = source.groupBy("doc_id", "text_key").agg(F.count("*").alias("_rows"))
-    ids = first.join(copies, ["doc_id", "text_key"]).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_rows")
-    ids = cut_lineage(ids, "kept")
+    rows_of = source.groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    ids = cut_lineage(first.join(rows_of, "doc_id"), "kept")
+    # an id of one row is found by the id alone
+    once = docs.join(ids.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    often = ids.where("_rows > 1").select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"))
     own = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_text_key"))
-    once = docs.join(ids.where("_rows = 1"), own, "left_semi")
-    again = docs.join(ids.where("_rows > 1"), own).dropDuplicates(["_doc_id", "_text_key"]).select(*docs.columns)
+    again = docs.join(often, own).dropDuplicates(["_doc_id", "_text_key"]).select(*docs.columns)
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))

@@ -174,11 +174,16 @@ def _removed(spans: list | None, n_words: int, window: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, key, n_words, n_removed and kept (the words left, joined by one blank) of every row; see `repeats` on key.
+    """doc_id, n_words, n_removed and kept (the words left, joined by one blank) of every row.
 
     A null or empty text has no words and an empty kept text. Every word that a repeated window covers goes; windows
-    are judged on the input. Rows without doc_id lose nothing.
+    are judged on the input. Rows without doc_id lose nothing; different texts of one doc_id are documents of their own.
     """
+    return _cleaned(docs, id_col, text_col, window, anchor).drop("key")
+
+
+def _cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """`remove_repeats` with key, which tells different texts of one doc_id apart."""
     found = repeats(docs, id_col, text_col, window, anchor)
     marked = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     packed = _keyed(docs, id_col, text_col).mapInArrow(tidy(_compress), "doc_id long, key long, packed binary")
@@ -210,7 +215,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A document of which nothing is left goes; others keep all columns.
     """
     names = docs.columns
-    cleaned = remove_repeats(docs).where("n_removed > 0 AND doc_id IS NOT NULL")
+    cleaned = _cleaned(docs).where("n_removed > 0 AND doc_id IS NOT NULL")
     cleaned = cleaned.select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).dropDuplicates(["_doc_id", "_key"])
     own = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key"))
     joined = docs.join(cleaned, own, "left").where("_kept IS NULL OR _kept <> ''")
