@@ -8,12 +8,11 @@
    hold exact quotas of every source, and every shard the same number of blocks, up to one.
 4. Drawing: a source's documents stand in hashed order, a second and third time round if repeated. Its blocks are
    equal stretches of that order, hence disjoint and permuted; each shard gets its quota of them.
-5. Within a shard, documents are ordered by another hash.
+5. Local shuffle: every copy has a place in its shard, by another hash; the mix is laid out in the order of places.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 
@@ -27,6 +26,9 @@ WEIGHTS = (3, 1, 2)
 SHARE, REPEAT = 1.5, 2
 #: Output shards, and blocks of the mix for each of them.
 SHARDS, BLOCKS = 16, 256
+SEED = 1
+#: Parts of a shard's order, each for one task to lay out.
+SLICES = 64
 #: Documents of a hash stretch if all were of one source; a stretch is summed up before the cumulative sum.
 STRETCH_ROWS = 100
 
@@ -56,12 +58,16 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def hypergeometric(total: Column, marked: Column, drawn: Column, chance: Column, logs: Column) -> Column:
-    """How many of `drawn` blocks out of `total` are among the `marked`, for a chance in [0, 1): by inversion.
+def log_factorial(n: Column) -> Column:
+    """ln n!: by Stirling's series from 10 on, right to eleven digits."""
+    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(10)]), (n + 1).cast("int"))
+    series = 1 / (12 * n) - 1 / (360 * F.pow(n, F.lit(3))) + 1 / (1260 * F.pow(n, F.lit(5)))
+    return F.when(n < 10, small).otherwise((n + 0.5) * F.log(n) - n + F.lit(0.5 * math.log(2 * math.pi)) + series)
 
-    `logs` holds the logarithms of the factorials 0!, 1!, ... up to the largest total.
-    """
-    log = lambda x: F.element_at(logs, (x + 1).cast("int"))
+
+def hypergeometric(total: Column, marked: Column, drawn: Column, chance: Column) -> Column:
+    """How many of `drawn` blocks out of `total` are among the `marked`, for a chance in [0, 1): by inversion."""
+    log = log_factorial
     choices = lambda n, k: log(n) - log(k) - log(n - k)
     limits = F.struct(
         F.greatest(F.lit(0).cast("long"), drawn - (total - marked)).alias("least"), F.least(drawn, marked).alias("most"), choices(total, drawn).alias("all")
@@ -84,17 +90,19 @@ def _chance(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(2.0**53)
 
 
-def splitting_tree(quotas: DataFrame, shards: int, seed: int, most_blocks: int) -> DataFrame:
+def _place(seed: int, doc_id: Column, turn: Column) -> Column:
+    """Place of a copy in its shard."""
+    return F.xxhash64(F.lit(seed), F.lit("place"), doc_id, turn)
+
+
+def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """shard, source, quota: each source's whole quota dealt to the shards, from rows (source, quota).
 
     A node is one row with the quotas of all its sources; sources are few beside documents.
     """
-    logs = [0.0]
-    for i in range(1, most_blocks + 1):
-        logs.append(logs[-1] + math.log(i))
     sources = F.sort_array(F.collect_list(F.struct("source", F.col("quota").cast("long").alias("quota"))))
     nodes = quotas.agg(sources.alias("q"), F.sum("quota").cast("long").alias("blocks"))
-    nodes = nodes.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "blocks", "q", F.from_json(F.lit(json.dumps(logs)), "array<double>").alias("logs"))
+    nodes = nodes.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "blocks", "q")
     # shard s holds floor((s + 1) blocks / shards) - floor(s blocks / shards) blocks
     nodes = nodes.withColumn("all", F.col("blocks"))
     for _ in range(max(1, math.ceil(math.log2(shards))) if shards > 1 else 0):
@@ -106,7 +114,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int, most_blocks: int)
 
         def step(s: Column, x: Column) -> Column:
             chance = _chance(F.lit(seed), F.col("lo"), F.col("hi"), F.size(s["left"]))
-            k = hypergeometric(s["rest"], x["quota"], s["drawn"], chance, F.col("logs")).cast("long")
+            k = hypergeometric(s["rest"], x["quota"], s["drawn"], chance).cast("long")
             onward = lambda k: F.struct(F.concat(s["left"], F.array(k)).alias("left"), (s["rest"] - x["quota"]).alias("rest"), (s["drawn"] - k).alias("drawn"))
             return _bound(k, onward).cast(kind)
 
@@ -118,7 +126,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int, most_blocks: int)
             F.col("hi") - F.col("lo") > 1,
             F.array(child(F.col("lo"), F.col("mid"), F.col("drawn"), left), child(F.col("mid"), F.col("hi"), F.col("blocks") - F.col("drawn"), right)),
         ).otherwise(F.array(child(F.col("lo"), F.col("hi"), F.col("blocks"), F.col("q"))))
-        nodes = cut_lineage(taken.select(F.explode(both).alias("x"), "logs", "all").select("x.*", "logs", "all"), "tree")
+        nodes = cut_lineage(taken.select(F.explode(both).alias("x"), "all").select("x.*", "all"), "tree")
     return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("x")).select("shard", "x.source", "x.quota")
 
 
@@ -129,13 +137,13 @@ def mix(
     repeat: int = REPEAT,
     shards: int = SHARDS,
     blocks: int = BLOCKS,
-    seed: int = 1,
+    seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies and shards (one for each copy taken) of every row.
+    """doc_id, source, size, source_size, target, taken, copies, shards and places (one for each copy taken) of every row.
 
     A null text and a text without words have size 0 and are taken 0 times. A document is taken whole or not, each time
     round; its middle word decides which block it belongs to, so a source's words come within a document of its
-    target. Rows with a null doc_id or source, and repeated rows, are rows like others; runs agree.
+    target. Copies stand in their shard by ascending place. Rows with a null doc_id or source, and repeated rows, are rows like others; runs agree.
     """
     if repeat < 1 or not 0 < share <= repeat:
         raise ValueError("a mix takes between nothing and `repeat` times its sources")
@@ -151,8 +159,7 @@ def mix(
     # every source that gives anything owes a block at least, even if there are more sources than blocks
     quotas = wanted.withColumn("quota", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") / block))).otherwise(0).cast("long"))
     quotas = cut_lineage(quotas, "quotas")
-    most = int(quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0])
-    dealt = splitting_tree(quotas.select("source", "quota"), shards, seed, most)
+    dealt = splitting_tree(quotas.select("source", "quota"), shards, seed)
     # the blocks of a source go to the shards in turn: ends[s] of them belong to shards 0 to s
     up_to = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
     ends = dealt.withColumn("end", up_to).groupBy("source").agg(F.sort_array(F.collect_list("end")).alias("ends"))
@@ -173,27 +180,36 @@ def mix(
 
     numbers = F.filter(F.array(*[of_round(i) for i in range(repeat)]), lambda b: b.isNotNull())
     shard_of = lambda b: F.size(F.filter("ends", lambda end: end <= b))
-    placed = placed.withColumn("blocks", numbers).withColumn("shards", F.transform("blocks", shard_of))
+    place = lambda _, i: _place(seed, F.col("doc_id"), i)
+    placed = placed.withColumn("blocks", numbers).withColumn("shards", F.transform("blocks", shard_of)).withColumn("places", F.transform("blocks", place))
     copies = F.size("blocks")
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "shards"
+        "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "shards", "places"
     )
 
 
-def shuffled_copies(mixed: DataFrame, seed: int = 1) -> DataFrame:
-    """doc_id, shard, place: one row per copy taken; place orders a shard's copies at random, the same in each run."""
-    copies = mixed.select("doc_id", F.posexplode("shards").alias("round", "shard"))
-    return copies.withColumn("place", F.xxhash64(F.lit(seed), F.lit("place"), "doc_id", "round")).select("doc_id", "shard", "place")
-
-
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: rows repeat with their copies, and documents not taken go; columns as they are.
+    """The documents as the mix takes them, laid out by shard and place; documents not taken go, columns as they are.
 
     A document without words is clean but gives the mix nothing; it stays once. Which copies a document
     has depends on its doc_id, size and source, so rows that share all three are taken as often as all of them are.
+    A task lays out slices of shards: whole texts move once more, and files hold the copies in their shuffled order.
     """
     names = docs.columns
-    picks = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"), F.max("size").alias("_size"))
-    kept = docs.join(picks.where("_copies > 0 OR _size = 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    times = F.greatest(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows"))).cast("int")
-    return kept.withColumn("_again", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
+    copies = mix(docs).select(F.col("doc_id").alias("id"), "size", F.posexplode_outer(F.arrays_zip("shards", "places")).alias("round", "at"))
+    # of one doc_id, at most one shard for each shard and round is kept, however many rows share it
+    picks = copies.groupBy("id").agg(
+        F.count("at").alias("copies"),
+        F.count_if(F.coalesce("round", F.lit(0)) == 0).alias("rows"),
+        F.max("size").alias("size"),
+        F.sort_array(F.collect_set(F.struct("round", F.col("at.shards").alias("shard")))).alias("spots"),
+    )
+    whole = docs.select(F.col("doc_id").alias("own_id"), F.struct(*names).alias("doc"))
+    kept = whole.join(picks.where("copies > 0 OR size = 0"), F.col("own_id").eqNullSafe(F.col("id")))
+    times = F.greatest(F.lit(1), F.ceil(F.col("copies") / F.col("rows"))).cast("int")
+    taken = kept.withColumn("round", F.explode(F.sequence(F.lit(0), times - 1)))
+    turn = F.col("round") + F.when(F.col("rows") > 1, F.xxhash64("doc.text")).otherwise(F.lit(0))
+    spot = F.element_at("spots", (F.pmod(turn, F.size("spots")) + 1).cast("int"))
+    laid = taken.withColumn("shard", F.coalesce(spot["shard"], F.lit(0))).withColumn("place", _place(SEED, F.col("id"), F.col("round")))
+    laid = laid.withColumn("slice", F.pmod("place", F.lit(SLICES))).hint("rebalance", "shard", "slice")
+    return laid.sortWithinPartitions("shard", "slice", "place").select("doc.*")

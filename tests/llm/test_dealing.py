@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.llm.mixing import mix, mixed_documents, shuffled_copies, splitting_tree, targets
+from statloom.llm.mixing import log_factorial, mix, mixed_documents, splitting_tree, targets
 from statloom.llm.sharding import jump_shard, shard_documents, shard_rows
 from tests.llm.conftest import SF_DIR, frame, odd_rows, plain_words
 
@@ -88,8 +88,33 @@ def test_mix(spark, odd):
     check_mix(rows, [(r.doc_id, r.text) for r in docs.collect()])
     again = mix(docs.repartition(5)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
-    copies = shuffled_copies(mix(docs)).collect()
-    assert len(copies) == sum(r.copies for r in rows)
+    assert all(len(r.places) == r.copies for r in rows)
+    by_shard = defaultdict(list)
+    for r in rows:
+        for shard, place in zip(r.shards, r.places):
+            by_shard[shard].append((place, r.doc_id, r.source))
+    assert sorted(by_shard) == list(range(16))
+    for held in by_shard.values():
+        assert len({place for place, *_ in held}) == len(held)
+        order = [i for _, i, _ in sorted(held)]
+        assert len(held) < 8 or (order != sorted(order) and order != sorted(order, reverse=True))
+
+
+def test_log_factorial(spark):
+    counts = [*range(0, 40), 100, 4096, 10**6, 10**9]
+    got = spark.createDataFrame([(n,) for n in counts], "n long").select("n", log_factorial(F.col("n")).alias("x")).collect()
+    assert all(r.x == pytest.approx(math.lgamma(r.n + 1), rel=1e-11, abs=1e-12) for r in got)
+
+
+def test_laid_out_by_shard(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    clashing = docs.withColumn("shard", F.lit("x")).withColumn("id", F.lit(7)).withColumn("round", F.lit(None).cast("string"))
+    taken = {r.doc_id: r.copies for r in mix(docs).collect() if r.copies or not r.size}
+    out = mixed_documents(clashing)
+    assert out.columns == clashing.columns
+    assert Counter(r.doc_id for r in out.collect()) == {i: max(n, 1) for i, n in taken.items()}
+    again = mixed_documents(clashing.repartition(7))
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
 
 
 @pytest.mark.parametrize("share, repeat", [(1.0, 1), (2.0, 2), (0.3, 2), (3.0, 4)])
@@ -114,7 +139,7 @@ def test_random_targets(spark):
 
 def test_splitting_tree(spark):
     quotas = {"a": 100, "b": 7, "c": 0, None: 53}
-    rows = splitting_tree(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 6, 1, 160).collect()
+    rows = splitting_tree(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 6, 1).collect()
     by_source, by_shard = Counter(), Counter()
     for x in rows:
         assert x.quota >= 0
@@ -126,7 +151,7 @@ def test_splitting_tree(spark):
 def test_tree_draws_like_a_hypergeometric(spark):
     means = []
     for seed in range(40):
-        rows = splitting_tree(spark.createDataFrame([("a", 30), ("b", 70)], "source string, quota long"), 2, seed, 100).collect()
+        rows = splitting_tree(spark.createDataFrame([("a", 30), ("b", 70)], "source string, quota long"), 2, seed).collect()
         means.append(next(x.quota for x in rows if x.shard == 0 and x.source == "a"))
     # mean 15, variance 50 * 0.3 * 0.7 * 50 / 99
     assert abs(sum(means) / 40 - 15) < 1.5 and 1 < len(set(means)) and max(means) <= 30
