@@ -63,13 +63,15 @@ def export(
     case_sensitive: bool = False,
     exact_match: bool = False,
     peaks: DataFrame | None = None,
+    sketches: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Result frames by name; `metadata` is always among them. The catalog is searched once.
 
     The analysis is the first one asked for, in the order: loci, regions or
     SNPs, lead SNPs, meta-analysis, full statistics. A meta-analysis names its traits once per study, in `meta_labels`,
     or with `labels` on every row; `unique` states that no trait has copies of a variant. `peaks` (see `read_peaks`) lets
-    regions with a threshold be found without reading the table for them.
+    regions with a threshold be found without reading the table for them, and `sketches` (see `read_sketches`) the
+    phenotypic variance without a pass of its own for the bracket of its median.
     """
     leads_asked = trait_snps is not None and not locusbreaker and region_list is None
     metadata = cut_lineage(
@@ -88,7 +90,7 @@ def export(
             found = catalog.join(metadata.select(*GROUP_COLUMNS, "data_id").distinct(), [*GROUP_COLUMNS, "data_id"], "left_semi")
             samples = cat.project_catalog(found, [*GROUP_COLUMNS, "data_id", "total_samples"])
             samples = samples.withColumnRenamed("data_id", "TRAITID").withColumnRenamed("total_samples", "N")
-            variance = summaries.pheno_variance(slices.maf_between(rows, maf), samples)
+            variance = summaries.pheno_variance(rows, samples, None if sketches is None else slices.in_traits(sketches, metadata), maf)
         results["segments"], results["intervals"] = loci.locus_breaker(
             rows, maf, pvalue_limit, pvalue_sig, hole_size, locus_flanks, variance
         )

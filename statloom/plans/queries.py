@@ -704,7 +704,7 @@ def ancestry_code(spark, sf):
 def pheno_variance(spark, sf):
     samples = cat.project_catalog(views.catalog(spark, sf), ["data_id", "total_samples"]).select(
         F.col("data_id").alias("TRAITID"), F.col("total_samples").alias("N"))
-    return _rounded(summaries.pheno_variance(views.sumstats(spark, sf), samples), "pheno_variance")
+    return _rounded(summaries.pheno_variance(views.sumstats(spark, sf), samples, views.sumstats_sketches(spark, sf)), "pheno_variance")
 
 
 def manhattan_table(spark, sf):

@@ -17,7 +17,7 @@ from statloom.functions.text import short_hash, slug
 from statloom.session import scratch_path
 from statloom.schemas import BUCKET
 from statloom.sources.sinks import store_sumstats
-from statloom.sources.sumstats import read_peaks, read_table
+from statloom.sources.sumstats import read_peaks, read_sketches, read_table
 
 _schemas: dict[str, StructType] = {}
 
@@ -89,6 +89,12 @@ def sumstats_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _opened[(*key[:2], "peaks")]
 
 
+def sumstats_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches stored with `stored_sumstats`."""
+    stored_sumstats(spark, sf_dir)
+    return read_sketches(spark, _stored[(spark.sparkContext.applicationId, sf_dir, "sumstats")]).drop(BUCKET)
+
+
 def sumstats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As `sumstats`, with several variants at a position, indels and many tied p-values."""
     return _store(lambda: _sumstats_dense(spark, sf_dir), spark, sf_dir, "dense").drop(BUCKET)

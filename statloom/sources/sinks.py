@@ -14,14 +14,15 @@ from pyspark.sql.types import StructType
 
 from statloom.functions.text import trait_bucket
 from statloom.operators.peaks import peak_table
+from statloom.operators.summaries import spread_sketches
 from statloom.schemas import BUCKET, CATALOG_SCHEMA, DIMENSIONS, GROUP_COLUMNS
 from statloom.session import setting
 from statloom.sources import store
 
 log = logging.getLogger(__name__)
 
-#: What a table's path ends in for the folders of its peaks and of the traits it holds.
-PEAKS, TRAITS = "_peaks", "_traits"
+#: What a table's path ends in for the folders of its peaks, its sketches and of the traits it holds.
+PEAKS, SKETCHES, TRAITS = "_peaks", "_sketches", "_traits"
 #: Spark's setting that makes more, smaller tasks than sizes ask for, to occupy all cores.
 BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
@@ -77,13 +78,17 @@ def store_sumstats(df: DataFrame, table: str, name: str | None = None, traits: D
 
 
 def _describe(spark: SparkSession, table: str, batch: str, columns: StructType, traits: DataFrame | None = None) -> None:
-    """Write what goes beside the rows of a batch: their peaks, and the traits."""
+    """Write what goes beside the rows of a batch: their peaks, sketches of their spreads, and the traits."""
     written = store.read_parts(spark, table, store.Version(), [batch], columns)
     groups = [c for c in GROUP_COLUMNS if c in columns.names]
     if {"MLOG10P", "BETA"} & set(columns.names):
         peaks = peak_table(written).hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, "CHR", "TRAITID", "bin")
         with setting(spark, BY_SIZE, "false"):
             peaks.write.partitionBy(*groups).option("compression", "zstd").parquet(f"{table}{PEAKS}/{batch}")
+    if {"SE", "EAF"} <= set(columns.names):
+        sketches = spread_sketches(written).hint("rebalance", *groups).sortWithinPartitions(*groups, "TRAITID", "maf_class")
+        with setting(spark, BY_SIZE, "false"):
+            sketches.write.partitionBy(*groups).parquet(f"{table}{SKETCHES}/{batch}")
     key = [*groups, "TRAITID"]
     brought = written.select(*key) if traits is None else traits.select(*key)
     brought.distinct().write.parquet(f"{table}{TRAITS}/{batch}")

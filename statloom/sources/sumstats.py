@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from statloom.schemas import BUCKET, GROUP_COLUMNS, INPUT_TYPES, input_columns
 from statloom.sources import store
 from statloom.sources.files import gzip_headers, parquet_layouts
-from statloom.sources.sinks import PEAKS
+from statloom.sources.sinks import PEAKS, SKETCHES
 
 
 def cast_sumstats(df: DataFrame, with_pvalue: bool = True) -> DataFrame:
@@ -108,3 +108,16 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     top = columns["MLOG10P"].dataType.simpleString() if "MLOG10P" in columns.names else "double"
     wanted = f"TRAITID string, {BUCKET} int, CHR int, bin int, n long, first int, last int, top {top}, top_at int" + "".join(f", {c} string" for c in groups)
     return store.read_parts(spark, f"{path.rstrip('/')}{PEAKS}", version, columns=T._parse_datatype_string(wanted))
+
+
+def read_sketches(spark: SparkSession, path: str) -> DataFrame:
+    """The sketches of spreads of the stored table (see `operators.summaries.spread_sketches`), from the same batches."""
+    version = store.latest(spark, path)
+    if not version.number:
+        raise ValueError(f"{path} is not a stored table: it has no log")
+    columns = StructType.fromJson(json.loads(version.schema))
+    if not {"SE", "EAF"} <= set(columns.names):
+        raise ValueError(f"{path} has no sketches: it is stored without SE or EAF")
+    groups = [c for c in GROUP_COLUMNS if c in columns.names]
+    wanted = f"TRAITID string, {BUCKET} int, maf_class int, n long, sketch binary" + "".join(f", {c} string" for c in groups)
+    return store.read_parts(spark, f"{path.rstrip('/')}{SKETCHES}", version, columns=T._parse_datatype_string(wanted))

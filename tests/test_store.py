@@ -1,17 +1,18 @@
 """Stored tables: pruning by trait, batches that count together or not at all, catalog versions, peaks, compaction."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions.text import trait_bucket
 from statloom.operators import peaks as peaking
-from statloom.operators import regions, slices
+from statloom.operators import regions, slices, summaries
 from statloom.plans import ingest as ingesting
 from statloom.schemas import BUCKET, CATALOG_SCHEMA
 from statloom.sources import sinks, store
-from statloom.sources.sumstats import read_peaks, read_table
+from statloom.sources.sumstats import read_peaks, read_sketches, read_table
 from tests.test_files import some_rows, write_gz
 
 SCHEMA = "project string, study string, TRAITID string, CHR int, POS int, EA string, NEA string, BETA double, SE double, EAF double, MLOG10P double"
@@ -311,3 +312,24 @@ def test_aligned_effects(spark):
     named = meta.trait_dictionary(spark.createDataFrame([("t1",), ("t2",), ("t3",), ("t3",)], "data_id string"))
     got = {r.SNP: (r.ordinals, r.betas, r.ses) for r in meta.aligned_effects(table, named).collect()}
     assert got == {"1:5:A:C": ([0, 2], [0.1, 0.3], [0.2, 0.5]), "1:9:A:C": ([1], [None], [0.1])}
+
+
+def test_variance_from_stored_sketches(spark, tmp_path):
+    """Two batches of sketches bracket the median, at every filter and for traits of one variant to many; equal to a plain median."""
+    path, r = str(tmp_path / "table"), random.Random(8)
+    rows = [("p", "s", t, 1, i + 1, "A", "G", 0.1, r.choice([0.1, r.uniform(0.01, 0.3)]), round(r.choice([r.random(), r.random() * 0.02]), 4), 1.0)
+            for t, n in (("one", 1), ("two", 2), ("some", 401), ("many", 30_000)) for i in range(n)]
+    for half in (0, 1):
+        assert sinks.store_sumstats(spark.createDataFrame(rows[half::2], SCHEMA), path)
+    sizes = {"one": 10, "two": 20, "some": 300, "many": 4_000, "other": 5}
+    samples = spark.createDataFrame([("p", "s", t, n) for t, n in sizes.items()] + [("p", "s", "none", None)], "project string, study string, TRAITID string, N long")
+    table, sketches = read_table(spark, path).drop(BUCKET), read_sketches(spark, path).drop(BUCKET)
+    assert sketches.groupBy("TRAITID").agg(F.sum("n").alias("n")).where("n > 1000").collect()[0]["n"] == 30_000
+    for maf in (None, 0.01, 0.003, 0.3):
+        want = {}
+        for _, _, t, *_, se, eaf, _ in rows:
+            if maf is None or maf <= eaf <= 1.0 - maf:
+                want.setdefault(t, []).append(se * se * 2 * eaf * (1 - eaf) * sizes[t])
+        found = summaries.pheno_variance(table, samples, sketches, maf)
+        got = {x["TRAITID"]: x["pheno_variance"] for x in found.collect()}
+        assert got == {t: pytest.approx(statistics.median(v), rel=1e-12) for t, v in want.items()}
