@@ -22,8 +22,9 @@ from statloom.schemas import CHR_DOMAIN, POS_DOMAIN
 #: Settings of the session, read at each use, and their defaults.
 BROADCAST_SETTING, BROADCAST_BYTES = "spark.statloom.broadcastBytes", 64 * 1024 * 1024
 SPANS_SETTING, MAX_SPANS = "spark.statloom.pruningSpans", 64
-#: Width of the cells by which long range lists are summed up: at most 6,000 cells on 24 chromosomes.
+#: Width of the cells by which long range lists are summed up: at most 6,024 cells on 24 chromosomes, the last of each open-ended.
 SPAN_CELL = 1_000_000
+LAST_CELL = POS_DOMAIN[1] // SPAN_CELL
 
 
 def _width(field: T.StructField) -> Column:
@@ -129,8 +130,9 @@ def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> Range
     length; the longer it is, the more of its gaps are closed.
     """
     low, high = F.col(start), F.col(end)
+    cell_of = lambda c: F.least(bin_of(c, SPAN_CELL), F.lit(LAST_CELL))
     # a range that holds no position counts in a cell of its own (null)
-    cells = F.when((low <= high) & (high >= 1), F.sequence(bin_of(clip_low(low), SPAN_CELL), bin_of(F.least(high, F.lit(POS_DOMAIN[1])), SPAN_CELL)))
+    cells = F.when((low <= high) & (high >= 1), F.sequence(cell_of(clip_low(low)), cell_of(high)))
     bins = F.when(low <= high, (row_bytes(ranges) + 8) * (bin_of(high, width) - bin_of(low, width) + 1)).otherwise(0)
     inside = ranges.where(F.col("CHR").between(*CHR_DOMAIN)).select(
         "CHR", low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"), row_bytes(ranges).alias("bytes"), bins.alias("bins"), F.coalesce(cells, F.array(F.lit(None).cast("int"))).alias("cells")
@@ -144,7 +146,7 @@ def profile_ranges(ranges: DataFrame, start: str, end: str, width: int) -> Range
             clip_low(F.min("lo")).alias("least"),
             F.max("hi").alias("most"),
             F.min(F.greatest(clip_low(F.col("lo")), edge)).alias("lo"),
-            F.max(F.least("hi", F.lit(POS_DOMAIN[1]), edge + F.lit(SPAN_CELL - 1))).alias("hi"),
+            F.max(F.when(F.col("cell") == LAST_CELL, F.col("hi")).otherwise(F.least("hi", edge + F.lit(SPAN_CELL - 1)))).alias("hi"),
             F.sum(F.when(opens, F.col("bytes"))).alias("list_bytes"),
             F.sum(F.when(opens, F.col("bins"))).alias("binned_bytes"),
         )

@@ -33,6 +33,10 @@ TEMPLATE = {
 LINKS = {"trait": [{"protein_ids": v} for v in ("ECONOMY", "SMALL", "Brand#1", "Brand#2")]}
 
 
+def _place_of(df: DataFrame, name: str = "POS") -> str:
+    return dict(df.dtypes)[name]
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
 
@@ -45,7 +49,7 @@ def cast_sumstats(spark, sf):
 
     raw = views.sumstats(spark, sf)
     as_text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
-    done = cast(as_text)
+    done = cast(as_text, place=_place_of(raw))
     floats = ("BETA", "SE", "EAF", "MLOG10P")
     return done.select(
         "TRAITID", *[F.round(F.col(c).cast("double"), 4).alias(c) if c in floats else F.col(c) for c in done.columns if c != "TRAITID"]
@@ -64,12 +68,11 @@ def read_regions_bed(spark, sf):
     named = F.concat(F.element_at(F.array(F.lit("chr"), F.lit("CHR"), F.lit("")), (F.col("s_suppkey") % 3 + 1).cast("int")),
                      F.element_at(F.array(F.lit("X"), F.lit("y"), F.lit("M"), F.lit("7"), F.lit("12"), F.lit("_alt")),
                                   (F.col("s_suppkey") % 6 + 1).cast("int")))
-    raw = views.table(spark, sf, "supplier").select(
-        named.alias("CHR"), (F.col("s_suppkey") * 45000).cast("string").alias("START"), (F.col("s_suppkey") * 45000 + 10).cast("string").alias("END")
-    )
+    suppliers, end = views.table(spark, sf, "supplier"), F.col("s_suppkey") * 45000 + 10
+    raw = suppliers.select(named.alias("CHR"), (F.col("s_suppkey") * 45000).cast("string").alias("START"), end.cast("string").alias("END"))
     path = scratch_path(spark, "regions")
     raw.write.csv(path, sep="\t")
-    return read_regions(spark, path)
+    return read_regions(spark, path, views.place_type(suppliers, end))
 
 
 def read_snp_list(spark, sf):
@@ -91,7 +94,7 @@ def read_trait_snps(spark, sf):
                        "POS", "EA", "NEA")
     path = scratch_path(spark, "trait-snps")
     raw.write.csv(path, header=True)
-    return load_trait_snps(spark, path)
+    return load_trait_snps(spark, path, _place_of(raw))
 
 
 def validate_sumstats(spark, sf):
@@ -123,14 +126,15 @@ def read_sumstats_tsv(spark, sf):
     rows = views.sumstats(spark, sf).withColumn("N", F.lit(5))
     rows.select("N", "SE", "BETA", "POS", "CHR", "NEA", "EA", "EAF", "MLOG10P").write.csv(path, sep="\t", header=True, compression="gzip")
     files = [f for f in _file_list(spark, path) if f.endswith(".gz")]
-    return _shown(sumstats_files.read_sumstats_files(spark, files).drop("file_path"))
+    return _shown(sumstats_files.read_sumstats_files(spark, files, place=_place_of(rows)).drop("file_path"))
 
 
 def read_sumstats_parquet(spark, sf):
     path = scratch_path(spark, "parquet")
-    views.sumstats(spark, sf).write.parquet(path)
+    rows = views.sumstats(spark, sf)
+    rows.write.parquet(path)
     files = [f for f in _file_list(spark, path) if f.endswith(".parquet")]
-    return _shown(sumstats_files.read_sumstats_files(spark, files).drop("file_path"))
+    return _shown(sumstats_files.read_sumstats_files(spark, files, place=_place_of(rows)).drop("file_path"))
 
 
 def ingest_sumstats(spark, sf):
@@ -374,7 +378,7 @@ def locus_breaker(spark, sf):
 def locus_breaker_by_study(spark, sf):
     segments, _ = loci.locus_breaker(views.sumstats_by_study(spark, sf), maf=0.1, hole=100_000)
     return segments.groupBy("project", "study").agg(
-        F.count(F.lit(1)).alias("n_loci"), F.max("snp_MLOG10P").alias("top"), F.max("locus_end").cast("int").alias("last_end")
+        F.count(F.lit(1)).alias("n_loci"), F.max("snp_MLOG10P").alias("top"), F.max("locus_end").alias("last_end")
     )
 
 

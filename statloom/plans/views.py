@@ -53,8 +53,23 @@ def _letter(letters: str, key: str) -> Column:
     return F.substring(F.lit(letters), (F.lit(1) + F.col(key) % 4).cast("int"), F.lit(1))
 
 
+#: The largest place that an int holds with room for flanks around it.
+INT_PLACES = 2**31 - 1 - 10_000_000
+
+
+def place_type(df: DataFrame, place: Column) -> str:
+    """int, as the SQL has places, where the largest one allows; else bigint, so that no place is lost."""
+    top = df.agg(F.max(place)).first()[0]
+    return "int" if top is None or top <= INT_PLACES else "bigint"
+
+
 def _place(key: str, per_step: int) -> Column:
-    return (F.lit(1) + F.floor(F.col(key) / per_step) * 50_000).cast("int")
+    return F.lit(1) + F.floor(F.col(key) / per_step) * 50_000
+
+
+def _line_place(spark: SparkSession, sf_dir: str, per_step: int) -> Column:
+    place = _place("l_partkey", per_step)
+    return place.cast(place_type(table(spark, sf_dir, "lineitem"), place)).alias("POS")
 
 
 def _grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +129,7 @@ def _sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped_lines(spark, sf_dir).select(
         (F.lit(1) + F.col("l_partkey") % 22).cast("int").alias("CHR"),
         _id(F.col("l_suppkey")).alias("TRAITID"),
-        _place("l_partkey", 22).alias("POS"),
+        _line_place(spark, sf_dir, 22),
         _letter("ACGT", "l_partkey").alias("EA"),
         _letter("CGTA", "l_partkey").alias("NEA"),
         (F.col("discount") - 0.05).alias("BETA"),
@@ -129,7 +144,7 @@ def _sumstats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped_lines(spark, sf_dir).select(
         (F.lit(1) + F.col("l_partkey") % 22).cast("int").alias("CHR"),
         _id(F.col("l_suppkey")).alias("TRAITID"),
-        _place("l_partkey", 44).alias("POS"),
+        _line_place(spark, sf_dir, 44),
         F.concat(_letter("ACGT", "l_partkey"), indel).alias("EA"),
         _letter("CGTA", "l_partkey").alias("NEA"),
         (F.col("discount") - 0.05).alias("BETA"),
@@ -199,28 +214,35 @@ def _sumstats_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region per supplier, 10 to 110 kb wide."""
     start = F.col("s_suppkey") * 45_000
-    width = F.floor(F.abs(F.col("s_acctbal"))) * 10 + 10_000
-    return table(spark, sf_dir, "supplier").select(
+    end = start + F.floor(F.abs(F.col("s_acctbal"))) * 10 + 10_000
+    suppliers = table(spark, sf_dir, "supplier")
+    place = place_type(suppliers, end)
+    return suppliers.select(
         (F.lit(1) + F.col("s_suppkey") % 22).cast("int").alias("CHR"),
-        start.cast("int").alias("START"),
-        (start + width).cast("int").alias("END"),
+        start.cast(place).alias("START"),
+        end.cast(place).alias("END"),
     )
 
 
 def overlapping_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region per part; neighbours overlap heavily."""
     start = F.col("p_partkey") * 3_000
-    return table(spark, sf_dir, "part").select(
+    end = start + F.col("p_size") * 10_000
+    parts = table(spark, sf_dir, "part")
+    place = place_type(parts, end)
+    return parts.select(
         (F.lit(1) + F.col("p_partkey") % 22).cast("int").alias("CHR"),
-        start.cast("int").alias("START"),
-        (start + F.col("p_size") * 10_000).cast("int").alias("END"),
+        start.cast(place).alias("START"),
+        end.cast(place).alias("END"),
     )
 
 
 def snp_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point per customer, as regions one base long; only some carry a variant."""
-    start = (F.lit(1) + F.col("c_custkey") * 2_500).cast("int")
-    return table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer")
+    start = F.lit(1) + F.col("c_custkey") * 2_500
+    start = start.cast(place_type(customers, start))
+    return customers.select(
         (F.lit(1) + F.col("c_custkey") % 22).cast("int").alias("CHR"),
         start.alias("START"),
         (start + 1).alias("END"),

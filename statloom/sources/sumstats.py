@@ -17,20 +17,24 @@ from statloom.sources.files import gzip_headers, parquet_layouts
 from statloom.sources.sinks import PEAKS, SKETCHES
 
 
-def cast_sumstats(df: DataFrame, with_pvalue: bool = True) -> DataFrame:
-    """The required columns in their declared types; MLOG10P only when p-values are ingested."""
+def cast_sumstats(df: DataFrame, with_pvalue: bool = True, place: str = INPUT_TYPES["POS"]) -> DataFrame:
+    """The required columns in their declared types; MLOG10P only when p-values are ingested.
+
+    `place` is the type of POS: bigint for positions that an int does not hold, which it refuses.
+    """
     missing = [c for c in input_columns(with_pvalue) if c not in df.columns]
     if missing:
         raise ValueError(f"the input lacks the columns {', '.join(missing)}")
     extra = [c for c in ("TRAITID", "file_path") if c in df.columns]
-    return df.select(*extra, *[F.col(c).cast(INPUT_TYPES[c]).alias(c) for c in input_columns(with_pvalue)])
+    types = INPUT_TYPES | {"POS": place}
+    return df.select(*extra, *[F.col(c).cast(types[c]).alias(c) for c in input_columns(with_pvalue)])
 
 
 def _with_path(df: DataFrame) -> DataFrame:
     return df.withColumn("file_path", F.col("_metadata.file_path"))
 
 
-def read_sumstats_tsv(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True) -> DataFrame:
+def read_sumstats_tsv(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True, place: str = INPUT_TYPES["POS"]) -> DataFrame:
     """gzip TSV files; columns may come in any order, differ between files and hold extras.
 
     Files are read together per distinct header, so a thousand files of one layout are one scan.
@@ -41,7 +45,7 @@ def read_sumstats_tsv(spark: SparkSession, paths: Sequence[str], with_pvalue: bo
         _require(names, files, with_pvalue)
         schema = ", ".join(f"`{n}` string" for n in names)
         raw = spark.read.csv(files, sep="\t", header=True, schema=schema, nullValue="NA")
-        parts.append(cast_sumstats(_with_path(raw), with_pvalue))
+        parts.append(cast_sumstats(_with_path(raw), with_pvalue, place))
     if not parts:
         raise ValueError("there is no tsv.gz file to read")
     return reduce(DataFrame.unionByName, parts)
@@ -53,7 +57,7 @@ def _require(names: Sequence[str], files: Sequence[str], with_pvalue: bool) -> N
         raise ValueError(f"the columns {', '.join(missing)} are absent from {len(files)} files, such as {files[0]}")
 
 
-def read_sumstats_parquet(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True) -> DataFrame:
+def read_sumstats_parquet(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True, place: str = INPUT_TYPES["POS"]) -> DataFrame:
     """Parquet files; only the required columns are read.
 
     Every footer is looked at, on the executors: a file that lacks a required column is an error, and
@@ -62,14 +66,14 @@ def read_sumstats_parquet(spark: SparkSession, paths: Sequence[str], with_pvalue
     parts = []
     for layout, files in parquet_layouts(spark, list(paths)).items():
         _require([name for name, _ in json.loads(layout)], files, with_pvalue)
-        parts.append(cast_sumstats(_with_path(spark.read.parquet(*files)), with_pvalue))
+        parts.append(cast_sumstats(_with_path(spark.read.parquet(*files)), with_pvalue, place))
     if not parts:
         raise ValueError("there is no Parquet file to read")
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True) -> DataFrame:
-    """Parquet and gzip TSV files by suffix; any other suffix is an error."""
+def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue: bool = True, place: str = INPUT_TYPES["POS"]) -> DataFrame:
+    """Parquet and gzip TSV files by suffix; any other suffix is an error. `place` is the type of POS, see `cast_sumstats`."""
     by_kind: dict[str, list[str]] = {"parquet": [], "gz": []}
     for path in paths:
         kind = path.lower().rsplit(".", 1)[-1]
@@ -78,9 +82,9 @@ def read_sumstats_files(spark: SparkSession, paths: Sequence[str], with_pvalue:
         by_kind[kind].append(path)
     parts = []
     if by_kind["parquet"]:
-        parts.append(read_sumstats_parquet(spark, by_kind["parquet"], with_pvalue))
+        parts.append(read_sumstats_parquet(spark, by_kind["parquet"], with_pvalue, place))
     if by_kind["gz"]:
-        parts.append(read_sumstats_tsv(spark, by_kind["gz"], with_pvalue))
+        parts.append(read_sumstats_tsv(spark, by_kind["gz"], with_pvalue, place))
     if not parts:
         raise ValueError("no file is listed")
     return reduce(DataFrame.unionByName, parts)
@@ -106,7 +110,8 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     columns = StructType.fromJson(json.loads(version.schema))
     groups = [c for c in GROUP_COLUMNS if c in columns.names]
     top = columns["MLOG10P"].dataType.simpleString() if "MLOG10P" in columns.names else "double"
-    wanted = f"TRAITID string, {BUCKET} int, CHR int, bin int, n long, first int, last int, top {top}, top_at int" + "".join(f", {c} string" for c in groups)
+    place = columns["POS"].dataType.simpleString()
+    wanted = f"TRAITID string, {BUCKET} int, CHR int, bin int, n long, first {place}, last {place}, top {top}, top_at {place}" + "".join(f", {c} string" for c in groups)
     return store.read_parts(spark, f"{path.rstrip('/')}{PEAKS}", version, columns=T._parse_datatype_string(wanted))
 
 
