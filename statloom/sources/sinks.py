@@ -25,6 +25,8 @@ log = logging.getLogger(__name__)
 PEAKS, SKETCHES, TRAITS = "_peaks", "_sketches", "_traits"
 #: Spark's setting that makes more, smaller tasks than sizes ask for, to occupy all cores.
 BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+#: Spark's setting of the bytes that a task reads of files, and the rows of a stored batch that one reads at most to describe it.
+SPLIT_BYTES, DESCRIBED_ROWS = "spark.sql.files.maxPartitionBytes", 1_000_000
 
 FORMATS = ("parquet", "csv.gz", "csv")
 
@@ -77,17 +79,30 @@ def store_sumstats(df: DataFrame, table: str, name: str | None = None, traits: D
     return batch in store.change(spark, table, step).parts
 
 
+def _split_bytes(spark: SparkSession, path: str, rows: int) -> str:
+    """The session's bytes a task, or less where these hold more than DESCRIBED_ROWS rows.
+
+    Sorted rows of few values take a few bytes each; tasks sized by bytes alone would get so many that what they gather spills.
+    """
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return str(max(1, min(most, store.size_of(spark, path) * DESCRIBED_ROWS // max(1, rows))))
+
+
 def _describe(spark: SparkSession, table: str, batch: str, columns: StructType, traits: DataFrame | None = None) -> None:
-    """Write what goes beside the rows of a batch: their peaks, sketches of their spreads, and the traits."""
+    """Write what goes beside the rows of a batch: their peaks, sketches of their spreads, and the traits.
+
+    Results are dealt by project and study, whose folders else had a file from each task; a table without these is
+    written as it was grouped, without another shuffle.
+    """
     written = store.read_parts(spark, table, store.Version(), [batch], columns)
     groups = [c for c in GROUP_COLUMNS if c in columns.names]
-    if {"MLOG10P", "BETA"} & set(columns.names):
-        peaks = peak_table(written).hint("rebalance", *groups, "CHR").sortWithinPartitions(*groups, "CHR", "TRAITID", "bin")
-        with setting(spark, BY_SIZE, "false"):
+    dealt = lambda df, *by: df.hint("rebalance", *by) if groups else df
+    with setting(spark, BY_SIZE, "false"), setting(spark, SPLIT_BYTES, _split_bytes(spark, f"{table}/{batch}", written.count())):
+        if {"MLOG10P", "BETA"} & set(columns.names):
+            peaks = dealt(peak_table(written), *groups, "CHR").sortWithinPartitions(*groups, "CHR", "TRAITID", "bin")
             peaks.write.partitionBy(*groups).option("compression", "zstd").parquet(f"{table}{PEAKS}/{batch}")
-    if {"SE", "EAF"} <= set(columns.names):
-        sketches = spread_sketches(written).hint("rebalance", *groups).sortWithinPartitions(*groups, "TRAITID", "maf_class")
-        with setting(spark, BY_SIZE, "false"):
+        if {"SE", "EAF"} <= set(columns.names):
+            sketches = dealt(spread_sketches(written), *groups).sortWithinPartitions(*groups, "TRAITID", "maf_class")
             sketches.write.partitionBy(*groups).parquet(f"{table}{SKETCHES}/{batch}")
     key = [*groups, "TRAITID"]
     brought = written.select(*key) if traits is None else traits.select(*key)

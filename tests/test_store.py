@@ -333,3 +333,23 @@ def test_variance_from_stored_sketches(spark, tmp_path):
         found = summaries.pheno_variance(table, samples, sketches, maf)
         got = {x["TRAITID"]: x["pheno_variance"] for x in found.collect()}
         assert got == {t: pytest.approx(statistics.median(v), rel=1e-12) for t, v in want.items()}
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_describing_a_batch_moves_its_groups_once(spark, tmp_path, monkeypatch, grouped):
+    """Tasks read no more rows than DESCRIBED_ROWS where files can be cut so; without folders to fill, peaks and sketches are not dealt a second time."""
+    rows = spark.createDataFrame(rows_of([f"t{i}" for i in range(12)], 200, 5), SCHEMA)
+    rows = rows if grouped else rows.drop("project", "study")
+    path, dealt, splits, real = f"{tmp_path}/t", [], [], type(rows).hint
+    monkeypatch.setattr(sinks, "DESCRIBED_ROWS", 300)
+    monkeypatch.setattr(type(rows), "hint", lambda df, name, *by: (dealt.append(by), real(df, name, *by))[1])
+    told = sinks.peak_table
+    monkeypatch.setattr(sinks, "peak_table", lambda df: (splits.append((int(spark.conf.get(sinks.SPLIT_BYTES)), df.rdd.getNumPartitions())), told(df))[1])
+    sinks.store_sumstats(rows, path)
+    assert len(dealt) == (3 if grouped else 1)
+    (split, tasks), = splits
+    assert split <= store.size_of(spark, path) // 8 and tasks >= 8
+    assert spark.conf.get(sinks.SPLIT_BYTES) == "134217728b"
+    got, want = read_peaks(spark, path).drop(BUCKET), told(rows)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert read_sketches(spark, path).agg(F.sum("n")).first()[0] == rows.where("EAF BETWEEN 0 AND 1 AND SE IS NOT NULL").count()
