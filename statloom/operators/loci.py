@@ -9,6 +9,8 @@ first and last position and best variant, and only these bin rows (at most
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ SIGNIFICANT = 5.0
 HOLE = 250_000
 FLANKS = 100_000
 BLOCK = 1_000_000
+#: Bases of the blocks that `position_gap` deals rows by: at most 16 on a chromosome.
+GAP_BLOCK = 16_000_000
 
 
 def _best_first(*carried: str) -> Column:
@@ -35,16 +39,17 @@ def _best_first(*carried: str) -> Column:
 def position_gap(df: DataFrame, hole: int = HOLE) -> DataFrame:
     """Distinct positions with the distance to the previous one and whether it is a break.
 
-    Windows run inside blocks of a million bases; the last position of the
-    block before reaches the next one through a window over block rows.
+    Rows are dealt by trait and block of bases once, which serves the collapse of positions, the windows (they run
+    inside blocks) and the join; the last position of the block before reaches the next one through a window over
+    block rows. Blocks are long, so that these are few also where a trait has few variants.
     """
     keys = [*trait_keys(df.columns), "CHR"]
-    places = (
-        df.groupBy(*keys, "POS")
-        .agg(F.count(F.lit(1)).alias("n_variants"))
-        .withColumn("block", bin_of(F.col("POS"), BLOCK))
-    )
-    blocks = places.groupBy(*keys, "block").agg(F.max("POS").alias("last_pos"))
+    placed = df.select(*keys, "POS", bin_of(F.col("POS"), GAP_BLOCK).alias("block"))
+    # the join drops nulls; dropped here for both of its sides, so that these share one shuffle
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "block")])
+    dealt = placed.where(whole).repartition(*keys, "block")
+    places = dealt.groupBy(*keys, "block", "POS").agg(F.count(F.lit(1)).alias("n_variants"))
+    blocks = dealt.groupBy(*keys, "block").agg(F.max("POS").alias("last_pos"))
     before = F.lag("last_pos").over(Window.partitionBy(*keys).orderBy("block"))
     carried = blocks.select(*keys, "block", before.alias("carried"))
     within = F.lag("POS").over(Window.partitionBy(*keys, "block").orderBy("POS"))

@@ -198,6 +198,20 @@ def test_position_gap_across_blocks(spark):
     assert got == [(5, 2, None, False), (900_000, 1, 899_995, True), (1_000_001, 1, 100_001, False), (3_500_000, 1, 2_499_999, True), (3_750_000, 1, 250_000, False)]
 
 
+def test_position_gap_deals_rows_once(spark):
+    """One shuffle of the rows, by blocks and not by positions, serves both sides of the join; the only others are of block rows."""
+    places = [5, 15_999_999, 16_000_000, 16_000_000, 80_000_010, None]
+    rows = [(1, "t", p, "ACGTNN"[i], "T", 0.1, 0.1, 0.5, 5.0) for i, p in enumerate(places)]
+    rows += [(None, "t", 7, "A", "T", 0.1, 0.1, 0.5, 5.0), (1, None, 7, "A", "T", 0.1, 0.1, 0.5, 5.0)]
+    found = loci.position_gap(frame(spark, rows), 250_000)
+    got = sorted((r["POS"], r["n_variants"], r["gap"], r["is_break"]) for r in found.collect())
+    assert got == [(5, 1, None, False), (15_999_999, 1, 15_999_994, True), (16_000_000, 2, 1, False), (80_000_010, 1, 64_000_010, True)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1 and len(dealt) == 2
+    assert not any("POS" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning" in line)
+
+
 def brute_lead(dicts, trait, chrom, lo, hi):
     window = [d for d in dicts if d["TRAITID"] == trait and d["CHR"] == chrom and lo <= d["POS"] <= hi]
     if not window:
