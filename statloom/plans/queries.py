@@ -24,6 +24,8 @@ from statloom.sources.files import location_column
 Query = Callable[[SparkSession, str], DataFrame]
 
 REGION_THRESHOLD = 8.0
+#: Rows that a file of a written list has at most.
+LISTED_ROWS = 2_000_000
 TEMPLATE = {
     "category": "gwas",
     "build": "grch37",
@@ -93,7 +95,8 @@ def read_trait_snps(spark, sf):
     raw = dense.select(F.col("TRAITID").alias("SOURCE_ID"), F.concat(F.lit("chr"), F.col("CHR").cast("string")).alias("CHR"),
                        "POS", "EA", "NEA")
     path = scratch_path(spark, "trait-snps")
-    raw.write.csv(path, header=True)
+    # a gzip file is read by one task, so files are bounded
+    raw.write.option("maxRecordsPerFile", LISTED_ROWS).csv(path, header=True, compression="gzip")
     return load_trait_snps(spark, path, _place_of(raw))
 
 

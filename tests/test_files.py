@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -435,3 +436,18 @@ def test_object_store_schemes():
     from statloom.sources.files import SCHEMES, location
 
     assert location("s3a://bucket/key") == "s3a://bucket/key" and SCHEMES["s3a"] == "s3"
+
+
+def test_listed_trait_snps_are_written_packed_in_bounded_files(spark, tmp_path, monkeypatch):
+    from statloom.plans import queries, views
+
+    rows = spark.range(50).repartition(2).selectExpr("concat('t', id % 3) TRAITID", "cast(1 + id % 22 as int) CHR", "cast(id as int) POS", "'A' EA", "if(id % 2 = 0, 'C', null) NEA")
+    path = f"{tmp_path}/listed"
+    monkeypatch.setattr(views, "sumstats_dense", lambda spark, sf: rows)
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: path)
+    monkeypatch.setattr(queries, "LISTED_ROWS", 10)
+    got = queries.read_trait_snps(spark, "none")
+    assert sorted((r.SOURCE_ID, r.CHR, r.POS, r.EA, r.NEA) if r.NEA else (r.SOURCE_ID, r.CHR, r.POS, r.EA, "") for r in got.collect()) == sorted(
+        (r.TRAITID, r.CHR, r.POS, r.EA, r.NEA or "") for r in rows.collect())
+    files = [f.name for f in Path(path).glob("part-*")]
+    assert len(files) >= 5 and all(f.endswith(".csv.gz") for f in files)
