@@ -148,13 +148,14 @@ def ingest_sumstats(spark, sf):
     """
     path = scratch_path(spark, "ingest")
     rows = views.sumstats_by_study(spark, sf).repartition("project", "study")
+    place = _place_of(rows)
     rows.drop("TRAITID").write.partitionBy("project", "study").csv(f"{path}/in", sep="\t", header=True, compression="gzip")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/in").select(
         location_column(F.col("_metadata.file_path")).alias("file_path"))
     rows = listed.select(
         F.regexp_extract("file_path", "project=([^/]+)", 1).alias("project"), F.regexp_extract("file_path", "study=([^/]+)", 1).alias("study"),
         F.lit("GWAS").alias("category"), "file_path")
-    ingesting.ingest(rows, f"{path}/table", f"{path}/catalog")
+    ingesting.ingest(rows, f"{path}/table", f"{path}/catalog", place=place)
     stored = _shown(sumstats_files.read_table(spark, f"{path}/table")).drop(BUCKET)
     ledger = ingesting.stored_traits(spark, f"{path}/table")
     records = ingesting.read_catalog(spark, f"{path}/catalog").select("project", "study", F.col("data_id").alias("TRAITID"))
