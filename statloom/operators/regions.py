@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statloom.functions.variants import clip_low
 from statloom.operators.joins import (
     broadcast_if_small,
+    data_bytes,
     disjoint_pieces,
     hint_small,
     keep_inside,
@@ -18,9 +19,10 @@ from statloom.operators.slices import over_threshold, with_mlog10p
 from statloom.schemas import CHR_DOMAIN, trait_keys
 from statloom.session import cut_lineage
 
-#: Bases of a bin of the range joins (and of peaks), and blocks of regions that a trait meets one by one.
+#: Bases of a bin of the range joins (and of peaks).
 REGION_BIN = PEAK_BIN
-FLAG_BLOCKS = 16
+#: Regions of a word (the bits of a long) and of a block that a trait meets at once, as powers of two; rows of flags that a task makes.
+WORD_BITS, BLOCK_BITS, FLAG_ROWS = 6, 12, 4_000_000
 
 
 def chromosome_envelope(regions: DataFrame) -> DataFrame:
@@ -119,22 +121,36 @@ def region_flags(
     """One row per trait and listed region: does any variant exceed the threshold?
 
     A trait has rows for a chromosome only if it has a variant inside the chromosome's envelope. Both are answered from the
-    peaks, stored ones or those of the table. Traits meet the regions of a chromosome in blocks, so a long list is spread over
-    many tasks.
+    peaks, stored ones or those of the table. Regions are numbered, so that what a trait hits is a few bits: only these are dealt and joined, one row
+    for each trait, chromosome and block of regions. Rows are unfolded from them last, in tasks of about FLAG_ROWS, and need no shuffle as long as
+    the list can be broadcast.
     """
-    listed = regions.select("CHR", "START", "END")
     peaks = cut_lineage(peak_table(sumstats, width), "peaks") if peaks is None else peaks
     traits = trait_keys(peaks.columns)
-    hits = significant_regions(sumstats, listed, threshold, width, peaks) if significant is None else significant
-    hits = hits.withColumn("hit", F.lit(True))
-    present = traits_present(sumstats, listed, peaks, width)
-    block = F.pmod(F.xxhash64("START", "END"), F.lit(FLAG_BLOCKS)).cast("int")
-    spread = present.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(FLAG_BLOCKS - 1))))
-    asked = spread.join(broadcast_if_small(listed.withColumn("block", block)), ["CHR", "block"]).drop("block")
-    flagged = asked.join(hits, [*traits, "CHR", "START", "END"], "left")
-    return flagged.select(
-        *traits, "CHR", "START", "END", F.coalesce("hit", F.lit(False)).alias("PVALUE_FILT_FLAG")
-    )
+    asked = regions.select("CHR", "START", "END")
+    hits = significant_regions(sumstats, asked, threshold, width, peaks) if significant is None else significant
+    # rows of one chromosome follow each other, so that its words are full; a word may hold regions of several
+    ordered = asked.where(F.col("CHR").isNotNull()).sortWithinPartitions("CHR", "START", "END").withColumn("id", F.monotonically_increasing_id())
+    listed = cut_lineage(ordered, "listed")
+    listed_bytes = data_bytes(listed)
+    word, block = F.shiftright("id", WORD_BITS).alias("word"), F.shiftright("id", BLOCK_BITS).alias("block")
+    bit = F.col("id").bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("bit")
+
+    known = listed.select("CHR", "START", "END", block, word, bit)
+    struck = hits.select(*traits, "CHR", "START", "END").join(hint_small(known, listed_bytes), ["CHR", "START", "END"])
+    masks = struck.groupBy(*traits, "CHR", "block", "word").agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), bit)")).alias("mask"))
+    masks = masks.groupBy(*traits, "CHR", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("masks"))
+    blocks = listed.groupBy("CHR", block).agg(F.collect_set(word).alias("words"), F.count(F.lit(1)).alias("rows"))
+    met = traits_present(sumstats, asked, peaks, width).join(broadcast_if_small(blocks), "CHR")
+    met = cut_lineage(met.join(masks, [*traits, "CHR", "block"], "left"), "asked")
+
+    tasks = -(-(met.agg(F.sum("rows")).first()[0] or 1) // FLAG_ROWS)
+    dealt = met.repartition(tasks, "CHR", "block", *traits).sortWithinPartitions("CHR", "block", *traits)
+    words = dealt.select(*traits, "CHR", "masks", F.explode(F.sort_array("words")).alias("word"))
+    words = words.select(*traits, "CHR", "word", F.try_element_at("masks", F.col("word")).alias("mask"))
+    flagged = words.join(hint_small(listed.select("CHR", word, "START", "END", bit), listed_bytes), ["CHR", "word"])
+    hit = F.expr("shiftright(mask, bit)").bitwiseAND(1) == 1
+    return flagged.select(*traits, "CHR", "START", "END", F.coalesce(hit, F.lit(False)).alias("PVALUE_FILT_FLAG"))
 
 
 def extract_regions(
